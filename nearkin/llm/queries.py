@@ -26,6 +26,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearkin.llm.language_id import held_out, identify, learned_from
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, learned_from(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearkin.llm.sentencepiece_bpe import encode_digest
 
@@ -41,7 +49,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digest(format_turns(turns))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op5_sentencepiece, op9_chat_format)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op4_language_id, op5_sentencepiece, op9_chat_format)}
 
 #: The chat template's escapes in SQL: a backslash is doubled, and `\:` goes behind the first character of a mark.
 _ESCAPED = r"regexp_replace(replace(coalesce(text, ''), '\', '\\'), '(<)(\|turn\|>|\|end\|>|\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|<SYS>>|</SYS>>)|(\[)(INST\]|/INST\])', '\1\3\\:\2\4', 'g')"

@@ -49,7 +49,13 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digest(format_turns(turns))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op4_language_id, op5_sentencepiece, op9_chat_format)}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearkin.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op4_language_id, op5_sentencepiece, op9_chat_format, op10_decontaminate)}
 
 #: The chat template's escapes in SQL: a backslash is doubled, and `\:` goes behind the first character of a mark.
 _ESCAPED = r"regexp_replace(replace(coalesce(text, ''), '\', '\\'), '(<)(\|turn\|>|\|end\|>|\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|<SYS>>|</SYS>>)|(\[)(INST\]|/INST\])', '\1\3\\:\2\4', 'g')"
@@ -65,4 +71,22 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
        CAST(sum(17 + length(role) + length({_ESCAPED})) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id""",
+    "op10_decontaminate": r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+bw AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+iw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i : i + 9], ' ') AS win
+  FROM bw, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0),
+ks AS (SELECT DISTINCT k FROM iw),
+dp AS (
+  SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS win
+  FROM dw, ks, unnest(range(1, len(w) - k + 2)) AS t(i) WHERE w IS NOT NULL AND len(w) >= k),
+hit AS (SELECT DISTINCT doc_id, i, dp.k AS k, item_id FROM dp JOIN iw ON dp.win = iw.win AND dp.k = iw.k),
+cov AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT doc_id, i, k FROM hit) h, unnest(range(i, i + k)) AS t(j) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT dw.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)""",
 }

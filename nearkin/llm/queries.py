@@ -20,6 +20,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearkin.llm.sanitise import personal_data, span_digest
+
+    return span_digest(personal_data(table(spark, sf_dir, "documents")))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearkin.llm.token_counts import token_counts
 
@@ -55,7 +61,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op4_language_id, op5_sentencepiece, op9_chat_format, op10_decontaminate)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sanitise, op2_token_counts, op4_language_id, op5_sentencepiece, op9_chat_format, op10_decontaminate)}
 
 #: The chat template's escapes in SQL: a backslash is doubled, and `\:` goes behind the first character of a mark.
 _ESCAPED = r"regexp_replace(replace(coalesce(text, ''), '\', '\\'), '(<)(\|turn\|>|\|end\|>|\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|<SYS>>|</SYS>>)|(\[)(INST\]|/INST\])', '\1\3\\:\2\4', 'g')"

@@ -58,6 +58,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearkin.llm.line_dedup import dedup_lines, line_digest
+
+    return line_digest(dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearkin.llm.chat_format import conversation_digest, format_turns
 
@@ -73,7 +79,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sanitise, op2_token_counts, op4_language_id, op5_sentencepiece, op6_near_dedup, op7_substring_dedup, op9_chat_format, op10_decontaminate)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sanitise, op2_token_counts, op4_language_id, op5_sentencepiece, op6_near_dedup, op7_substring_dedup, op8_line_dedup, op9_chat_format, op10_decontaminate)}
 
 #: The chat template's escapes in SQL: a backslash is doubled, and `\:` goes behind the first character of a mark.
 _ESCAPED = r"regexp_replace(replace(coalesce(text, ''), '\', '\\'), '(<)(\|turn\|>|\|end\|>|\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|<SYS>>|</SYS>>)|(\[)(INST\]|/INST\])', '\1\3\\:\2\4', 'g')"

@@ -22,17 +22,22 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of its own only where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="nearkin-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def reliable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the cluster's shared folder; sets a folder only where none is set."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Cuts the lineage with a checkpoint in the cluster's shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="nearkin-checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -89,8 +94,13 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES):
 
 
 def word_table(kind: str) -> np.ndarray:
-    """Which bytes belong to words: 'space' splits at ASCII white space, 'alnum' keeps 0-9, a-z and bytes from 0x80."""
+    """Which bytes belong to words: 'space' splits at ASCII white space, 'line' at line feeds, 'alnum' keeps 0-9, a-z and
+    bytes from 0x80."""
     table = np.zeros(256, bool)
+    if kind == "line":
+        table[:] = True
+        table[0x0A] = False
+        return table
     if kind == "space":
         table[:] = True
         table[[0x20, *range(0x09, 0x0E)]] = False
@@ -99,7 +109,7 @@ def word_table(kind: str) -> np.ndarray:
     return table
 
 
-TABLES = {k: word_table(k) for k in ("space", "alnum")}
+TABLES = {k: word_table(k) for k in ("space", "alnum", "line")}
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 

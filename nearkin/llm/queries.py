@@ -32,6 +32,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearkin.llm.media_columns import read_media, store_media
+
+    return read_media(store_media(table(spark, sf_dir, "documents")))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearkin.llm.language_id import held_out, identify, learned_from
 
@@ -79,7 +85,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sanitise, op2_token_counts, op4_language_id, op5_sentencepiece, op6_near_dedup, op7_substring_dedup, op8_line_dedup, op9_chat_format, op10_decontaminate)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sanitise, op2_token_counts, op3_media_columns, op4_language_id, op5_sentencepiece, op6_near_dedup, op7_substring_dedup, op8_line_dedup, op9_chat_format, op10_decontaminate)}
 
 #: The chat template's escapes in SQL: a backslash is doubled, and `\:` goes behind the first character of a mark.
 _ESCAPED = r"regexp_replace(replace(coalesce(text, ''), '\', '\\'), '(<)(\|turn\|>|\|end\|>|\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|<SYS>>|</SYS>>)|(\[)(INST\]|/INST\])', '\1\3\\:\2\4', 'g')"

@@ -20,6 +20,7 @@ the library; an empty table gives an empty result; columns besides the id and th
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -85,12 +86,15 @@ class MergeModel:
                 self.left[i], self.right[i] = halves
                 self.pair[halves[0] << _SHIFT | halves[1]] = self.rank[i]
                 reached[self.pieces[i]] = i
+        # Single characters are looked up in a dict: thousands of them would make the automaton's root slow to search.
+        self.single = {text: i for text, i in reached.items() if len(text) == 1}
         for text, i in reached.items():
-            self.automaton.add_word(text, i)
+            if len(text) > 1:
+                self.automaton.add_word(text, i)
             self.prefix[i] = next((reached[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in reached), -1)
         self.automaton.make_automaton()
         self.fits: dict[int, bool] = {}
-        self.memo = Memo(200_000, 4_000_000)
+        self.memo = Memo(400_000, 8_000_000)
 
     def _last_merge(self, text: str, by_text: dict[str, int]) -> tuple[int, int] | None:
         """The two pieces whose merge gives `text` when its characters are merged; None if merging ends otherwise."""
@@ -110,9 +114,6 @@ class MergeModel:
         """Whether re-merging keeps the border between a and b. Going back in time, the later merge of the two pieces
         at the border is undone first; the border holds if no pair across it merges while both its pieces exist."""
         key = a << _SHIFT | b
-        known = self.fits.get(key)
-        if known is not None:
-            return known
         rank, x, y, until, holds = self.rank, a, b, 1 << 40, True
         while True:
             if self.pair.get(x << _SHIFT | y, 1 << 40) < until:
@@ -131,34 +132,43 @@ class MergeModel:
 
     def _run(self, longest: list[int], begin: int, end: int, out: list[int]) -> None:
         """Encodes positions begin..end, all of whose characters are known."""
-        length, prefix, compatible = self.length, self.prefix, self.compatible
-        failed = bytearray(end - begin + 1)
-        base, pos, token = len(out), begin, longest[begin]
-        while pos < end:
-            last = out[-1] if len(out) > base else -1
+        length, prefix, fits, compatible = self.length, self.prefix, self.fits, self.compatible
+        failed = 0  # a bitfield of positions from which the rest can't be encoded
+        base, pos, token, last = len(out), begin, longest[begin], -1
+        while True:
             while token >= 0:
                 stop = pos + length[token]
-                if not failed[stop - begin] and (last < 0 or compatible(last, token)):
-                    break
+                if not failed >> (stop - begin) & 1:
+                    if last < 0:
+                        break
+                    known = fits.get(last << _SHIFT | token)
+                    if known or known is None and compatible(last, token):
+                        break
                 token = prefix[token]
             if token >= 0:
                 out.append(token)
-                pos = stop
-                token = longest[pos] if pos < end else -1
+                if stop == end:
+                    return
+                pos, last, token = stop, token, longest[stop]
             else:
-                failed[pos - begin] = 1
+                failed |= 1 << (pos - begin)
                 token = out.pop()
                 pos -= length[token]
+                last = out[-1] if len(out) > base else -1
 
     def encode_segment(self, text: str) -> list[int]:
         """Ids of a text in which space marks stand for spaces."""
-        longest, length = [-1] * len(text), self.length
+        single, length = self.single, self.length
+        longest = [single.get(c, -1) for c in text]
         for end, token in self.automaton.iter(text):
             start = end + 1 - length[token]
-            if longest[start] < 0 or length[longest[start]] < length[token]:
+            if length[longest[start]] < length[token]:
                 longest[start] = token
         out: list[int] = []
         begin, n = 0, len(text)
+        if min(longest) >= 0:  # all characters are known
+            self._run(longest, 0, n, out)
+            begin = n
         while begin < n:
             if longest[begin] < 0:
                 out += [self.byte_id[b] for b in text[begin].encode()]
@@ -169,8 +179,10 @@ class MergeModel:
                 end += 1
             self._run(longest, begin, end, out)
             begin = end
+        if len(out) < 2 or out[0] != self.space or out[1] != self.space:
+            return out
         marks = next((k for k, i in enumerate(out) if i != self.space), len(out))
-        return [*self._spaces(marks), *out[marks:]] if marks > 1 else out
+        return [*self._spaces(marks), *out[marks:]]
 
     def _spaces(self, n: int) -> list[int]:
         """Ids of n space marks that nothing else took. They merge last and all at one rank, so the leftmost pair with a
@@ -252,6 +264,7 @@ def _encoded(docs: DataFrame, path: str, row, names: list[str], schema: str) ->
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the memory makes no cycles, and many small objects make collections slow
         m = model(path)
         for b in batches:
             _, offsets = utf8(b.column(1))
@@ -260,9 +273,8 @@ def _encoded(docs: DataFrame, path: str, row, names: list[str], schema: str) ->
                 cut = [segments_of(t or "") for t in b.column(1).slice(first, last - first).to_pylist()]
                 get = m.known(set().union(*cut)).__getitem__
                 for c in cut:
-                    got = list(map(get, c))
-                    text = "".join([x[1] for x in got])
-                    rows.append(row(",".join([x[0] for x in got]), text.removeprefix(SPACE).replace(SPACE, " ")))
+                    ids, parts = zip(*map(get, c), strict=True) if c else ((), ())
+                    rows.append(row(",".join(ids), "".join(parts).removeprefix(SPACE).replace(SPACE, " ")))
             columns = list(zip(*rows, strict=True)) if rows else [()] * (len(names) - 1)
             kinds = [f.type for f in _KINDS[schema]]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names)

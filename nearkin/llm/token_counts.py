@@ -12,6 +12,7 @@ counted whole; an empty table gives an empty result; columns besides the id and
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Iterator
@@ -80,6 +81,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     bounded_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the memory makes no cycles, and many small objects make collections slow
         for b in batches:
             _, offsets = utf8(b.column(1))
             tokens: list[int] = []

@@ -1,4 +1,441 @@
-"""The registered queries and their SQL."""
+"""The registered queries of the engine's own operators on the given tables, and their SQL.
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+The tables hold no pictures, so stand-ins are used: a document's 128-bit text hash is a frame hash and its id the order
+of arrival; an embedding's 64 numbers are an 8 x 8 grey picture or, by signs and neighbours, a 128-bit hash; a user's
+events are a video's frames; a document's length is a video's length in seconds; a page's URL is a path.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nearkin.conf import OneColour, Quality
+from nearkin.functions import hashing, imaging, measures, paths
+from nearkin.operators import fold, quality, rangejoin, sampling
+from nearkin.plans import collisions
+from nearkin.plans.index import dead_sources, live_and_dead
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+#: On the stand-in pictures no share reaches the default of 90 percent.
+TILE_QUALITY = Quality(one_colour=OneColour(threshold=50.0))
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Stand-ins -----------------------------------------------------------------------------------------------------------
+def doc_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hashing.text_hash(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def words_of(hi, lo):
+    part = lambda c, n: F.shiftrightunsigned(c, n).bitwiseAND(0xFFFFFFFF)
+    return [part(hi, 32), part(hi, 0), part(lo, 32), part(lo, 0)]
+
+
+def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = lambda e: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((e.cast("double") + 0.5) * 255).cast("int")))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit(8).alias("w"), F.lit(8).alias("h"), F.transform("embedding", value).alias("px"))
+
+
+def micros(ts: str):
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast({ts} as timestamp_ntz))")
+
+
+def md5_word(text, at: int):
+    return F.conv(F.substring(F.md5(text), at, 8), 16, 10).cast("long")
+
+
+DOC_HASH = """
+tok AS (SELECT DISTINCT doc_id, t FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS t FROM documents) WHERE t <> ''),
+wd AS (SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT AS a, ('0x' || substr(md5(t), 9, 8))::BIGINT AS b, ('0x' || substr(md5(t), 17, 8))::BIGINT AS c, ('0x' || substr(md5(t), 25, 8))::BIGINT AS d FROM tok),
+bits AS (SELECT doc_id, i, sum((a >> i) & 1) AS a, sum((b >> i) & 1) AS b, sum((c >> i) & 1) AS c, sum((d >> i) & 1) AS d, count(*) AS n FROM wd, range(32) AS r(i) GROUP BY doc_id, i),
+h AS (SELECT doc_id, CAST(sum(CASE WHEN 2 * a > n THEN 1::BIGINT << i ELSE 0 END) AS BIGINT) AS q0, CAST(sum(CASE WHEN 2 * b > n THEN 1::BIGINT << i ELSE 0 END) AS BIGINT) AS q1,
+      CAST(sum(CASE WHEN 2 * c > n THEN 1::BIGINT << i ELSE 0 END) AS BIGINT) AS q2, CAST(sum(CASE WHEN 2 * d > n THEN 1::BIGINT << i ELSE 0 END) AS BIGINT) AS q3 FROM bits GROUP BY doc_id)"""
+DISTANCE = "CAST(bit_count(xor(x.q0, y.q0)) + bit_count(xor(x.q1, y.q1)) + bit_count(xor(x.q2, y.q2)) + bit_count(xor(x.q3, y.q3)) AS INT)"
+CLASS = "k AS (SELECT q0, q1, q2, q3, min(doc_id) AS rep, count(*) AS n FROM h GROUP BY q0, q1, q2, q3)"
+TILE = "t AS (SELECT vec_id AS id, i - 1 AS p, CAST(greatest(0, least(255, floor((embedding[i]::DOUBLE + 0.5) * 255))) AS INT) AS v FROM embeddings, range(1, 65) AS r(i))"
+CLASS_PAIRS = f"SELECT x.rep AS a, y.rep AS b, x.n AS n_a, y.n AS n_b, {DISTANCE} AS distance FROM k x JOIN k y ON x.rep < y.rep WHERE {DISTANCE} <= "
+
+
+# Hashes and searching ------------------------------------------------------------------------------------------------
+@query(f"WITH {DOC_HASH} SELECT doc_id, q0, q1, q2, q3 FROM h")
+def simhash_bits(spark, sf_dir):
+    q = words_of(F.col("hi"), F.col("lo"))
+    return doc_hashes(spark, sf_dir).select(F.col("id").alias("doc_id"), *[c.alias(f"q{i}") for i, c in enumerate(q)])
+
+
+@query(f"WITH {DOC_HASH}, {CLASS} {CLASS_PAIRS} 23")
+def find_within(spark, sf_dir):
+    """Pairs of different hashes within 23 bits, by the smallest ids that have them."""
+    return rangejoin.similar_classes(doc_hashes(spark, sf_dir), 23)
+
+
+@query(f"WITH {DOC_HASH}, {CLASS} {CLASS_PAIRS} 23")
+def find_within_bands(spark, sf_dir):
+    """The same through bands, the way that broadcasts nothing."""
+    return rangejoin.similar_classes(doc_hashes(spark, sf_dir), 23, way="bands")
+
+
+@query(f"WITH {DOC_HASH}, {CLASS} {CLASS_PAIRS} 34")
+def pairs_within(spark, sf_dir):
+    return rangejoin.similar_classes(doc_hashes(spark, sf_dir), 34)
+
+
+@query(f"WITH {DOC_HASH}, {CLASS} SELECT h.doc_id, k.rep FROM h JOIN k USING (q0, q1, q2, q3)")
+def hash_classes(spark, sf_dir):
+    """The class of equal hashes of each document."""
+    h = doc_hashes(spark, sf_dir)
+    return h.join(rangejoin.classes(h), ["hi", "lo"]).select(F.col("id").alias("doc_id"), "rep")
+
+
+@query(f"WITH {DOC_HASH} SELECT x.doc_id AS seq, count(*) AS n_earlier, min(y.doc_id) AS first_earlier, min({DISTANCE}) AS nearest FROM h x JOIN h y ON y.doc_id < x.doc_id WHERE {DISTANCE} <= 23 GROUP BY x.doc_id")
+def similar_videos(spark, sf_dir):
+    """New items that are near-duplicates of earlier ones."""
+    return collisions.earlier_matches(doc_hashes(spark, sf_dir).withColumnRenamed("id", "seq"), 23)
+
+
+@query(
+    f"WITH {DOC_HASH}, {CLASS}, c AS ({CLASS_PAIRS} 23), e AS (SELECT b AS new, row_number() OVER (ORDER BY 'doc_' || b) - 1 AS e FROM (SELECT DISTINCT b FROM c)), "
+    "l AS (SELECT e, row_number() OVER (PARTITION BY b ORDER BY 'doc_' || a) AS i, 'dup' AS k, 'doc_' || a AS t FROM c JOIN e ON c.b = e.new), "
+    "u AS (SELECT e, 0 AS i, 'the_new_one' AS k, 'doc_' || new AS t FROM e UNION ALL SELECT * FROM l UNION ALL SELECT e, max(i) + 1, 'debuginfo', NULL FROM l GROUP BY e) "
+    "SELECT lpad(CAST(e AS VARCHAR), 4, '0') AS entry, CAST(i AS INT) AS item, lpad(CAST(i AS VARCHAR), 4, '0') || '_' || k AS name, t AS target FROM u"
+)
+def result_entries(spark, sf_dir):
+    """The result folders of the similar items, one item for each different hash."""
+    items = rangejoin.classes(doc_hashes(spark, sf_dir)).select(F.col("rep").alias("seq"), F.concat(F.lit("doc_"), "rep").alias("path"), "hi", "lo")
+    return collisions.report(collisions.collisions(items, items, 23))
+
+
+@query(f"WITH {DOC_HASH}, {CLASS}, c AS ({CLASS_PAIRS} 23) SELECT 'doc_' || b AS new, 'doc_' || a AS old, count(*) AS n FROM c GROUP BY a, b")
+def match_counts(spark, sf_dir):
+    items = rangejoin.classes(doc_hashes(spark, sf_dir)).select(F.col("rep").alias("seq"), F.concat(F.lit("doc_"), "rep").alias("path"), "hi", "lo")
+    return collisions.match_counts(collisions.collisions(items, items, 23))
+
+
+@query(f"WITH {DOC_HASH}, {CLASS}, c AS ({CLASS_PAIRS} 23) SELECT DISTINCT 'doc_' || a AS path FROM c")
+def other_paths(spark, sf_dir):
+    items = rangejoin.classes(doc_hashes(spark, sf_dir)).select(F.col("rep").alias("seq"), F.concat(F.lit("doc_"), "rep").alias("path"), "hi", "lo")
+    return collisions.other_paths(collisions.collisions(items, items, 23))
+
+
+@query(f"WITH {DOC_HASH} SELECT doc_id FROM h x WHERE NOT EXISTS (SELECT 1 FROM h y WHERE x.doc_id <> y.doc_id AND {DISTANCE} <= 23)")
+def purge_paths(spark, sf_dir):
+    """What stays when both sides of all collisions are removed."""
+    h = doc_hashes(spark, sf_dir)
+    pairs = rangejoin.find_within(h, h, 23).where("q_hi <> s_hi or q_lo <> s_lo").select(F.col("q_hi").alias("hi"), F.col("q_lo").alias("lo"))
+    bad = pairs.union(rangejoin.classes(h).where("n > 1").select("hi", "lo")).distinct()
+    return h.join(bad, ["hi", "lo"], "left_anti").select(F.col("id").alias("doc_id"))
+
+
+@query(f"WITH {DOC_HASH} SELECT doc_id FROM h x WHERE NOT EXISTS (SELECT 1 FROM h y JOIN labels USING (doc_id) WHERE toxic = 1 AND {DISTANCE} <= 23)")
+def ignored_filter(spark, sf_dir):
+    """Documents not similar to any that is labelled toxic."""
+    h = doc_hashes(spark, sf_dir)
+    bad = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")).distinct()
+    return rangejoin.not_similar_to_any(h, h.join(bad, "id", "left_semi"), 23).select(F.col("id").alias("doc_id"))
+
+
+@query(
+    f"WITH {DOC_HASH}, k AS (SELECT (q0 << 24 >> 24 << 8) AS z, q0, q1, min(doc_id) AS rep FROM h GROUP BY q0, q1) "
+    "SELECT x.rep AS a, y.rep AS b, CAST(bit_count(xor(x.q0, y.q0)) + bit_count(xor(x.q1, y.q1)) AS INT) AS distance FROM k x JOIN k y ON x.rep < y.rep WHERE bit_count(xor(x.q0, y.q0)) + bit_count(xor(x.q1, y.q1)) <= 3".replace("(q0 << 24 >> 24 << 8) AS z, ", "")
+)
+def legacy_search(spark, sf_dir):
+    """The older search: 64-bit hashes within 3 bits, by the smallest ids that have them."""
+    h = doc_hashes(spark, sf_dir).select("id", F.col("hi").alias("h"))
+    rep = h.groupBy("h").agg(F.min("id").alias("rep"))
+    met = rangejoin.find_within64(h, h, 3)
+    a, b = rep.select(F.col("h").alias("q"), F.col("rep").alias("a")), rep.select(F.col("h").alias("s"), F.col("rep").alias("b"))
+    return met.join(a, "q").join(b, "s").where("a < b").select("a", "b", F.col("distance").cast("int").alias("distance"))
+
+
+@query(
+    "WITH b AS (SELECT vec_id, i, CASE WHEN embedding[i + 1] > 0 THEN 1::BIGINT ELSE 0 END AS s, CASE WHEN embedding[i + 1] > embedding[(i + 8) % 64 + 1] THEN 1::BIGINT ELSE 0 END AS g FROM embeddings, range(64) AS r(i)), "
+    "h AS (SELECT vec_id, CAST(sum(CASE WHEN i < 32 THEN s << i ELSE 0 END) AS BIGINT) AS q0, CAST(sum(CASE WHEN i >= 32 THEN s << (i - 32) ELSE 0 END) AS BIGINT) AS q1, "
+    "CAST(sum(CASE WHEN i < 32 THEN g << i ELSE 0 END) AS BIGINT) AS q2, CAST(sum(CASE WHEN i >= 32 THEN g << (i - 32) ELSE 0 END) AS BIGINT) AS q3 FROM b GROUP BY vec_id), "
+    f"c AS (SELECT {DISTANCE} AS distance, count(*) AS n FROM h x JOIN h y ON x.vec_id < y.vec_id GROUP BY 1) "
+    "SELECT CAST(d AS INT) AS distance, coalesce(n, 0) AS n FROM range(129) AS r(d) LEFT JOIN c ON c.distance = d"
+)
+def distance_histogram(spark, sf_dir):
+    hi, lo = hashing.vector_hash(F.col("embedding"))
+    return rangejoin.distance_histogram(table(spark, sf_dir, "embeddings").select("vec_id", hi.alias("hi"), lo.alias("lo")))
+
+
+@query(f"WITH {DOC_HASH} SELECT min(doc_id) AS rep, count(*) AS n FROM h GROUP BY q0, q1, q2, q3 HAVING count(*) > 1")
+def dup_counts(spark, sf_dir):
+    return rangejoin.classes(doc_hashes(spark, sf_dir)).where("n > 1").select("rep", "n")
+
+
+# Catalogue and index -------------------------------------------------------------------------------------------------
+def _catalogue(spark, sf_dir):
+    name = lambda c: F.col(c).cast("string").alias("path")
+    return collisions.catalogue_changes(table(spark, sf_dir, "labels").select(name("doc_id")), table(spark, sf_dir, "pages").select(name("page_id")))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS path FROM labels EXCEPT SELECT CAST(page_id AS VARCHAR) FROM pages")
+def catalog_new(spark, sf_dir):
+    return _catalogue(spark, sf_dir)[0]
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS path FROM pages EXCEPT SELECT CAST(doc_id AS VARCHAR) FROM labels")
+def catalog_removed(spark, sf_dir):
+    return _catalogue(spark, sf_dir)[1]
+
+
+def event_index(spark, sf_dir):
+    word = lambda at: md5_word(F.col("event_id").cast("string"), at)
+    half = lambda at: F.shiftleft(word(at), 32).bitwiseOR(word(at + 8))
+    return table(spark, sf_dir, "events").select("event_id", "user_id", F.concat(F.lit("user_"), "user_id").alias("path"), half(1).alias("hi"), half(17).alias("lo"), (F.col("event_type") == "error").alias("removed"))
+
+
+REVERSED = "list_aggregate([substr(md5(CAST(event_id AS VARCHAR)), 2 * i + 1, 2) FOR i IN range(15, -1, -1)], 'string_agg', '')"
+B64 = f"rtrim(to_base64(unhex({REVERSED})), '=')"
+
+
+@query("SELECT CAST(count_if(event_type <> 'error') AS BIGINT) AS alive, CAST(count_if(event_type = 'error') AS BIGINT) AS dead, 100.0::DOUBLE * count_if(event_type = 'error') / count(*) AS dead_percent FROM events")
+def index_stats(spark, sf_dir):
+    return live_and_dead(event_index(spark, sf_dir))
+
+
+@query("SELECT sum(CASE WHEN d THEN 1 ELSE 0 END)::BIGINT AS dead, count(*) AS sources, 100.0::DOUBLE * sum(CASE WHEN d THEN 1 ELSE 0 END) / count(*) AS dead_percent FROM (SELECT user_id, bool_and(event_type = 'error') AS d FROM events GROUP BY user_id)")
+def legacy_dead_sources(spark, sf_dir):
+    return dead_sources(event_index(spark, sf_dir), "path")
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_type <> 'error'")
+def index_rebuild(spark, sf_dir):
+    return event_index(spark, sf_dir).where(~F.col("removed")).select("event_id", "user_id")
+
+
+@query(f"SELECT 'Source=user_' || user_id || ', Hash=' || {B64} AS line FROM events WHERE event_type <> 'error' ORDER BY line")
+def index_list(spark, sf_dir):
+    return collisions.listing(event_index(spark, sf_dir).where(~F.col("removed")))
+
+
+@query(f"SELECT event_id, {B64} AS b64, md5(CAST(event_id AS VARCHAR)) AS hex FROM events")
+def base64_hash(spark, sf_dir):
+    return event_index(spark, sf_dir).select("event_id", hashing.to_base64(F.col("hi"), F.col("lo")).alias("b64"), hashing.to_hex(F.col("hi"), F.col("lo")).alias("hex"))
+
+
+@query("SELECT DISTINCT 'user_' || user_id AS path FROM events")
+def path_set(spark, sf_dir):
+    return event_index(spark, sf_dir).select("path").distinct()
+
+
+@query("SELECT 'user_' || user_id AS path, count(*) AS hashes, CAST(count_if(event_type <> 'error') AS BIGINT) AS saved FROM events GROUP BY user_id")
+def video_counts(spark, sf_dir):
+    return event_index(spark, sf_dir).groupBy("path").agg(F.count("*").alias("hashes"), F.count_if(~F.col("removed")).alias("saved"))
+
+
+@query()
+def random_delete(spark, sf_dir):
+    """Live rows after ten random sources were deleted."""
+    rows = event_index(spark, sf_dir).where(~F.col("removed"))
+    return rows.join(collisions.random_paths(rows, 10, seed=7), "path", "left_anti").select("event_id", "path")
+
+
+@query("SELECT max(event_id) + 1 AS next FROM events")
+def next_entry(spark, sf_dir):
+    names = table(spark, sf_dir, "events").select(F.concat(F.lpad(F.col("event_id").cast("string"), 6, "0"), F.lit("_x")).alias("name"))
+    return collisions.next_entry(names)
+
+
+# Pictures ------------------------------------------------------------------------------------------------------------
+MODE = "md AS (SELECT id, arg_max(v, n * 256 + v) AS m FROM (SELECT id, v, count(*) AS n FROM t GROUP BY id, v) GROUP BY id)"
+BOX = (
+    "m AS (SELECT id, p % 8 AS x, p // 8 AS y, CASE WHEN v > 40 THEN 1 ELSE 0 END AS w FROM t), "
+    "cx AS (SELECT id, x, sum(w) AS c, max(sum(w)) OVER (PARTITION BY id) AS most FROM m GROUP BY id, x), cy AS (SELECT id, y, sum(w) AS c, max(sum(w)) OVER (PARTITION BY id) AS most FROM m GROUP BY id, y), "
+    "bx AS (SELECT id, min(x) AS x0, max(x) AS x1 FROM cx WHERE most > 0 AND 100.0 * c / most > 10 GROUP BY id), by_ AS (SELECT id, min(y) AS y0, max(y) AS y1 FROM cy WHERE most > 0 AND 100.0 * c / most > 10 GROUP BY id), "
+    "bb AS (SELECT DISTINCT t.id, coalesce(x0, 0) AS x, coalesce(y0, 0) AS y, coalesce(x1 - x0 + 1, 0) AS cw, coalesce(y1 - y0 + 1, 0) AS ch FROM t LEFT JOIN bx USING (id) LEFT JOIN by_ USING (id))"
+)
+
+
+@query(f"WITH {TILE}, {MODE} SELECT t.id, CAST(any_value(m) AS INT) AS modal, 100.0::DOUBLE * count_if(abs(v - m) <= 20) / count(*) AS one_colour FROM t JOIN md USING (id) GROUP BY t.id")
+def modal_gray(spark, sf_dir):
+    return quality.judge(tiles(spark, sf_dir)).select("id", "modal", "one_colour")
+
+
+@query(f"WITH {TILE}, {BOX} SELECT id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(cw AS INT) AS cw, CAST(ch AS INT) AS ch, 100.0::DOUBLE * cw * ch / 64 AS covered FROM bb")
+def border_bbox(spark, sf_dir):
+    return quality.judge(tiles(spark, sf_dir)).select("id", "x", "y", "cw", "ch", "covered")
+
+
+@query(
+    f"WITH {TILE}, {MODE}, {BOX}, f AS (SELECT t.id, 100.0 * count_if(abs(v - m) <= 20) / count(*) AS share FROM t JOIN md USING (id) GROUP BY t.id), "
+    "ins AS (SELECT t.id, v FROM t JOIN bb USING (id) WHERE p % 8 >= x AND p % 8 < x + cw AND p // 8 >= y AND p // 8 < y + ch), "
+    "im AS (SELECT id, arg_max(v, n * 256 + v) AS m FROM (SELECT id, v, count(*) AS n FROM ins GROUP BY id, v) GROUP BY id), "
+    "g AS (SELECT ins.id, 100.0 * count_if(abs(v - m) <= 20) / count(*) AS share FROM ins JOIN im USING (id) GROUP BY ins.id) "
+    "SELECT bb.id, CASE WHEN f.share >= 50 THEN 'too_one_colour' WHEN 100.0 * cw * ch / 64 <= 10 THEN 'empty' WHEN g.share >= 50 THEN 'too_one_colour' ELSE 'ok' END AS reason FROM bb JOIN f USING (id) LEFT JOIN g USING (id)"
+)
+def preproc_check(spark, sf_dir):
+    return quality.judge(tiles(spark, sf_dir), TILE_QUALITY).select("id", "reason")
+
+
+@query(f"WITH {TILE} SELECT id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY p // 8, 7 - p % 8) AS px FROM t GROUP BY id")
+def mirror(spark, sf_dir):
+    return tiles(spark, sf_dir).select("id", F.array_join(imaging.mirror(F.col("w"), F.col("px")).cast("array<string>"), ",").alias("px"))
+
+
+@query(f"WITH {TILE} SELECT id, string_agg(CASE WHEN v <= 40 THEN '0' ELSE '255' END, ',' ORDER BY p) AS px FROM t GROUP BY id")
+def maskify(spark, sf_dir):
+    return tiles(spark, sf_dir).select("id", F.array_join(imaging.maskify(F.col("px"), 40).cast("array<string>"), ",").alias("px"))
+
+
+@query(f"WITH {TILE} SELECT id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY p % 8, 7 - p // 8) AS px FROM t GROUP BY id")
+def rotate_upright(spark, sf_dir):
+    return tiles(spark, sf_dir).select("id", F.array_join(imaging.upright(F.col("w"), F.col("h"), F.col("px"), F.lit(-90)).cast("array<string>"), ",").alias("px"))
+
+
+@query(f"WITH {TILE}, {BOX} SELECT t.id, coalesce(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p) FILTER (WHERE p % 8 >= x AND p % 8 < x + cw AND p // 8 >= y AND p // 8 < y + ch), '') AS px FROM t JOIN bb USING (id) GROUP BY t.id")
+def crop_borders(spark, sf_dir):
+    pictures = tiles(spark, sf_dir)
+    boxes = quality.judge(pictures).select("id", "x", "y", "cw", "ch")
+    cut = imaging.crop(F.col("w"), F.col("px"), F.col("x"), F.col("y"), F.col("cw"), F.col("ch"))
+    return pictures.join(boxes, "id").select("id", F.array_join(cut.cast("array<string>"), ",").alias("px"))
+
+
+@query(
+    f"WITH {TILE}, c AS (SELECT r.id, r.v AS r, g.v AS g, b.v AS b FROM t r JOIN t g ON g.id = r.id AND g.p = (r.p + 1) % 64 JOIN t b ON b.id = r.id AND b.p = (r.p + 2) % 64), "
+    "m AS (SELECT id, floor(sqrt(avg(r * r))) AS r, floor(sqrt(avg(g * g))) AS g, floor(sqrt(avg(b * b))) AS b FROM c GROUP BY id) "
+    "SELECT c.id, CAST(m.r AS INT) AS r, CAST(m.g AS INT) AS g, CAST(m.b AS INT) AS b, round(coalesce(var_samp(sqrt((c.r - m.r) * (c.r - m.r) + (c.g - m.g) * (c.g - m.g) + (c.b - m.b) * (c.b - m.b))), 0), 6) AS variance FROM c JOIN m USING (id) GROUP BY c.id, m.r, m.g, m.b"
+)
+def color_stats(spark, sf_dir):
+    pixels = tiles(spark, sf_dir).select("id", F.posexplode("px").alias("p", "r"), "px").select("id", "r", F.expr("px[(p + 1) % 64]").alias("g"), F.expr("px[(p + 2) % 64]").alias("b"))
+    return quality.colour_variance(pixels).withColumn("variance", F.round("variance", 6))
+
+
+@query("SELECT l_returnflag, round(avg(l_quantity), 6) AS mean, round(coalesce(var_samp(l_quantity), 0), 6) AS variance, round(coalesce(var_pop(l_quantity), 0), 6) AS biased, round(coalesce(stddev_samp(l_quantity), 0), 6) AS deviation FROM lineitem GROUP BY l_returnflag")
+def running_stats(spark, sf_dir):
+    q = F.col("l_quantity")
+    made = [measures.mean(q).alias("mean"), measures.variance(q).alias("variance"), measures.biased_variance(q).alias("biased"), measures.deviation(q).alias("deviation")]
+    stats = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*made)
+    return stats.select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("mean", "variance", "biased", "deviation")])
+
+
+@query()
+def image_hashes(spark, sf_dir):
+    """Gradient hashes of the accepted pictures and of their mirror images."""
+    return quality.judge(tiles(spark, sf_dir)).where("reason = 'ok'").select("id", "hi", "lo", "mirror_hi", "mirror_lo")
+
+
+@query()
+def ignore_list(spark, sf_dir):
+    return quality.ignore_list(quality.judge(tiles(spark, sf_dir)))
+
+
+# Time and sampling ---------------------------------------------------------------------------------------------------
+SKIP_SQL = (
+    "CASE WHEN l < 30000 THEN 0 WHEN l < 60000 THEN 5000 WHEN l < 300000 THEN 5000 + (l - 60000) * 70000 // 240000 WHEN l < 1920000 THEN 75000 WHEN l < 3600000 THEN 240000 ELSE 600000 END"
+)
+
+
+def lengths(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("n_chars") * 1000).alias("length_ms"))
+
+
+@query(f"SELECT doc_id AS id, l AS length_ms, CAST({SKIP_SQL} AS BIGINT) AS skip_ms, CAST(least(l // 5, 10000) AS BIGINT) AS step_ms, NOT ({SKIP_SQL}) > l // 2 AS middle FROM (SELECT doc_id, n_chars * 1000 AS l FROM documents)")
+def skip_window(spark, sf_dir):
+    length = F.col("length_ms")
+    return lengths(spark, sf_dir).select("id", "length_ms", sampling.skip(length).alias("skip_ms"), sampling.step(length).alias("step_ms"), sampling.in_window(F.floor(length / 2), length).alias("middle"))
+
+
+@query(
+    "WITH v AS (SELECT doc_id AS id, n_chars * 1000 AS l, least(n_chars * 1000 // 5, 10000) AS s FROM documents), "
+    "a AS (SELECT id, unnest(range(s, l + 1, greatest(s, 1))) AS moment, 0 AS series FROM v WHERE s > 0 UNION ALL SELECT id, unnest(range(4200, l + 1, 4200)), 1 FROM v), "
+    "m AS (SELECT id, moment, min(series) AS series FROM a GROUP BY id, moment) "
+    "SELECT id, CAST(count_if(series = 0) AS BIGINT) AS keyframes, CAST(count_if(series = 1) AS BIGINT) AS phantoms, CAST(sum(moment) AS BIGINT) AS total FROM m GROUP BY id"
+)
+def stepper_schedule(spark, sf_dir):
+    made = sampling.schedule(lengths(spark, sf_dir), [sampling.step(F.col("length_ms")), F.lit(4200)])
+    return made.groupBy("id").agg(F.count_if(F.col("series") == 0).alias("keyframes"), F.count_if(F.col("series") == 1).alias("phantoms"), F.sum("at").alias("total"))
+
+
+def event_frames(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("user_id", "event_id", micros("ts").alias("t"), F.lit(0).cast("long").alias("hi"), md5_word(F.col("event_id").cast("string"), 1).alias("lo"))
+
+
+WALK = "WITH RECURSIVE e AS (SELECT user_id, event_id, ts, ('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8))::BIGINT AS h, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), "
+
+
+@query(
+    WALK + "f AS (SELECT user_id, event_id, rn, h AS last, true AS keep FROM e WHERE rn = 1 UNION ALL SELECT e.user_id, e.event_id, e.rn, CASE WHEN bit_count(xor(f.last, e.h)) > 12 THEN e.h ELSE f.last END, bit_count(xor(f.last, e.h)) > 12 FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1) SELECT user_id, event_id FROM f WHERE keep"
+)
+def greedy_dedup(spark, sf_dir):
+    return fold.greedy_dedup(event_frames(spark, sf_dir), "user_id", ["t", "event_id"], 12).select("user_id", "event_id")
+
+
+@query(
+    WALK + "f AS (SELECT user_id, event_id, rn, ts AS last, true AS keep FROM e WHERE rn = 1 UNION ALL SELECT e.user_id, e.event_id, e.rn, CASE WHEN e.ts >= f.last + INTERVAL 12 HOUR THEN e.ts ELSE f.last END, e.ts >= f.last + INTERVAL 12 HOUR FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1) SELECT user_id, event_id FROM f WHERE keep"
+)
+def greedy_sample(spark, sf_dir):
+    return sampling.greedy_sample(event_frames(spark, sf_dir), "user_id", "t", 12 * 3600 * 1_000_000, "event_id").select("user_id", "event_id")
+
+
+@query()
+def pushed_hashes(spark, sf_dir):
+    """The fold with mirrored hashes over the pictures of each label; the backward vector is the mirror image, and pictures
+    whose first two pixels rise are phantoms."""
+    hi, lo = hashing.vector_hash(F.col("embedding"))
+    m_hi, m_lo = hashing.vector_hash(F.reverse("embedding"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("video"), F.col("vec_id").alias("ts"), F.col("vec_id").alias("id"), hi.alias("hi"), lo.alias("lo"), m_hi.alias("mirror_hi"), m_lo.alias("mirror_lo"), (F.expr("embedding[0] < embedding[1]")).alias("phantom"))
+    return fold.pushed_hashes(rows, 60)
+
+
+@query(
+    "WITH w AS (SELECT DISTINCT user_id, date_trunc('day', ts)::TIMESTAMP AS d FROM events) "
+    "SELECT CAST(w.user_id AS VARCHAR) AS video, CAST(epoch_us(w.d) AS BIGINT) AS at, CAST(epoch_us(min(e.ts)) AS BIGINT) AS ts FROM w JOIN events e ON e.user_id = w.user_id AND e.ts >= w.d GROUP BY w.user_id, w.d"
+)
+def frame_at(spark, sf_dir):
+    """The first event of each user at or behind each midnight in front of one of the user's events."""
+    frames = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("video"), micros("ts").alias("ts"))
+    day = 86_400_000_000
+    wanted = frames.select("video", (F.floor(F.col("ts") / day).cast("long") * day).alias("at")).distinct()
+    return sampling.frame_at(frames, wanted)
+
+
+# Text forms ----------------------------------------------------------------------------------------------------------
+@query(
+    "WITH p AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages), q AS (SELECT page_id, path, string_split(path, '/') AS parts FROM p) "
+    "SELECT page_id, path, path = '' OR len(list_filter(parts, lambda x: x IN ('', '.', '..'))) = 0 AS simple, CAST(CASE WHEN path = '' THEN 0 ELSE len(parts) END AS INT) AS depth, "
+    "repeat('../', CAST(len(parts) - 1 AS BIGINT)) || 'top' AS from_file, repeat('../', CAST(len(parts) AS BIGINT)) || 'top' AS from_dir, path AS below, regexp_matches(path, '^[^/]+$') AND path NOT IN ('.', '..') AS basename, replace(path, '/', '!') AS file_name FROM q"
+)
+def path_fns(spark, sf_dir):
+    p = F.col("path")
+    rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("path"))
+    up = F.concat(F.repeat(F.lit("../"), paths.depth(p)), p)
+    return rows.select(
+        "page_id", "path", paths.is_simple(p).alias("simple"), paths.depth(p).alias("depth"), paths.relative_from_file(p, F.lit("top")).alias("from_file"), paths.relative_from_dir(p, F.lit("top")).alias("from_dir"), paths.below_root(up).alias("below"), paths.is_basename(p).alias("basename"), paths.as_filename(p).alias("file_name")
+    )
+
+
+@query(
+    "SELECT event_id, CASE WHEN m < 0 THEN '-' ELSE '' END || lpad(CAST(abs(m) // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(abs(m) // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(abs(m) // 1000 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(abs(m) % 1000 AS VARCHAR), 3, '0') AS clock, "
+    "CAST(round(CAST(m AS DECIMAL(18,0)) * 1001 * 1000 / 30000, 0) AS BIGINT) AS ms FROM (SELECT event_id, event_id * 7919 - 500000 AS m FROM events)"
+)
+def hms_format(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 7919 - 500000).alias("m"))
+    return rows.select("event_id", measures.clock(F.col("m")).alias("clock"), measures.offset_ms(F.col("m"), F.lit(0).cast("long"), F.lit(1001), F.lit(30000)).alias("ms"))
+
+
+@query(
+    "SELECT o_orderkey, round(100.0 * o_custkey / (o_custkey + o_orderkey), 6) AS share, CAST(1000 + (o_custkey * 5000) // (o_custkey + o_orderkey) AS BIGINT) AS place FROM orders WHERE o_custkey + o_orderkey > 0"
+)
+def percent_lerp(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_custkey") + F.col("o_orderkey")).alias("whole")).where("whole > 0")
+    zero = F.lit(0).cast("long")
+    return rows.select("o_orderkey", F.round(measures.percent_of(F.col("o_custkey"), F.col("whole")), 6).alias("share"), measures.lerp_whole(zero, F.col("whole"), F.lit(1000).cast("long"), F.lit(6000).cast("long"), F.col("o_custkey")).alias("place"))

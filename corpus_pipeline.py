@@ -23,18 +23,17 @@ REJECT_BITS = 8.0
 NEAR_PERCENT = 80
 
 
-def _only(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Rows of docs whose id, null included, is in marks (one column, doc_id)."""
+def _without(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rows of docs whose id, null included, is not in marks (one column, doc_id)."""
     marks = marks.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(marks, docs["doc_id"].eqNullSafe(marks["_id"]), "left_semi").select(*COLUMNS)
+    return docs.join(marks, docs["doc_id"].eqNullSafe(marks["_id"]), "left_anti").select(*COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a learned language and writes the predicted one to lang."""
-    found = identify(docs, learned_from(docs))
+    found = identify(docs, learned_from(docs), carry=("text", "source", "n_chars"))
     good = found.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") < REJECT_BITS))
-    labels = good.groupBy(F.col("doc_id").alias("_id")).agg(F.min("lang_pred").alias("lang_pred"))
-    return docs.join(labels, docs["doc_id"].eqNullSafe(labels["_id"])).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+    return good.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,14 +43,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays: the one with the smallest id."""
-    return _only(docs, near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select("doc_id"))
+    """One document of each class of near-duplicates stays: the one with the smallest id; rows that repeat an id stay or
+    go together."""
+    return _without(docs, near_duplicates(docs, percent=NEAR_PERCENT).where("not kept").select("doc_id"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     found = find_windows(docs, q.table(spark, sf_dir, "benchmark"))
-    return _only(docs, found.where(F.size("hits") == 0).select("doc_id"))
+    return _without(docs, found.where(F.size("hits") > 0).select("doc_id"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -145,8 +145,9 @@ def train(labelled: DataFrame, train_bytes: int = TRAIN_BYTES) -> dict[str, Cont
     return {lang: ContextTrees(g["code"].to_numpy().astype(np.uint32), g["n"].to_numpy().astype(float)) for lang, g in got.groupby("lang")}
 
 
-def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_bytes: int = TRAIN_BYTES) -> DataFrame:
-    """Per document: lang_pred, score and the winner's bits per byte (null where `und`), learned from `labelled` (text, lang)."""
+def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_bytes: int = TRAIN_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: lang_pred, score and the winner's bits per byte (null where `und`), learned from `labelled` (text, lang).
+    The columns in `carry` follow unchanged."""
     spark = docs.sparkSession
     trees = train(labelled.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull()), train_bytes)
     shared = spark.sparkContext.broadcast(trees)
@@ -172,10 +173,12 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
                     lang, score, rate = lang + [""] * (last - first), score + [0.0] * (last - first), rate + [0.0] * (last - first)
             rows = [(x, s, r) if ok else ("und", 0.0, None) for x, s, r, ok in zip(lang, score, rate, lettered, strict=True)]
             names, scores, rates = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
+            made = [b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*made, *b.columns[2:]], names=["doc_id", "lang_pred", "score", "bits_per_byte", *carry])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(predict, SCHEMA)
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), *carry)
+    more = "".join(f", `{c}` {kind}" for c, kind in docs.select(*carry).dtypes) if carry else ""
+    return rows.mapInArrow(predict, SCHEMA + more)
 
 
 def learned_from(docs: DataFrame) -> DataFrame:

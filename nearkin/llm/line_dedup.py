@@ -150,7 +150,7 @@ def kept_text(text: str, gone: set[int]) -> str:
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts, total, removed = [], [], []
-        for text, gone in zip(b.column("text").to_pylist(), b.column("gone").to_pylist(), strict=True):
+        for text, gone in zip(b.column("text").to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
             n = sum(map(bool, text.split("\n"))) if text else 0
             texts.append(kept_text(text, set(gone)) if gone and text else text)
             total.append(n)
@@ -162,10 +162,13 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_lines(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """The documents with repeated blocks deleted from `text`, other columns unchanged, and two columns more: n_lines and
-    n_removed, both of non-empty lines. Needs doc_id and text."""
+    n_removed, both of non-empty lines; columns of docs that have these names are replaced. Needs doc_id and text."""
     gone = repeated_lines(docs, min_line_words, min_block_words)
-    named = docs.withColumn("text", F.col("text").cast("string"))
-    joined = named.join(gone.withColumnRenamed("doc_id", "_gone_of"), F.col("doc_id") == F.col("_gone_of"), "left").select(*[named[c] for c in named.columns], "gone")
+    gone = gone.select(F.col("doc_id").alias("_gone_of"), F.col("gone").alias("_gone"))
+    # the columns travel as one struct, so none of their names can clash
+    named = docs.drop("n_lines", "n_removed").withColumn("text", F.col("text").cast("string"))
+    packed = named.select(F.col("doc_id").cast("long").alias("_of"), F.struct(*named.columns).alias("_row"))
+    joined = packed.join(gone, F.col("_of") == F.col("_gone_of"), "left").select("_row.*", "_gone")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema.fields) + ", n_lines long, n_removed long"
     return joined.mapInArrow(_kept, schema)
 

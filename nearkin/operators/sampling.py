@@ -18,16 +18,14 @@ def curve(x: Column, pieces: Sequence[tuple[int, int, int]]) -> Column:
     first 0. Pieces ascend in x."""
     if any(a[0] >= b[0] for a, b in zip(pieces, pieces[1:], strict=False)):
         raise ValueError("the pieces of a curve must ascend")
-    out = F.lit(0).cast("long")
-    ends = [p[0] for p in pieces[1:]] + [None]
-    whole = None
-    for (start, low, high), end in zip(pieces, ends, strict=True):
-        if end is None:
-            value = F.lit(high).cast("long")
+    value = F.lit(0).cast("long")
+    for i, (start, low, high) in enumerate(pieces):
+        if i + 1 < len(pieces):
+            here = F.lit(low).cast("long") + F.floor((x - start) * (high - low) / (pieces[i + 1][0] - start)).cast("long")
         else:
-            value = F.lit(low).cast("long") + F.floor((x - start) * (high - low) / (end - start)).cast("long")
-        whole = F.when(x >= start, value) if whole is None else F.when(x >= start, value).otherwise(whole)
-    return F.coalesce(whole, out) if whole is not None else out
+            here = F.lit(high).cast("long")
+        value = F.when(x >= start, here).otherwise(value)
+    return value
 
 
 def skip(length_ms: Column) -> Column:

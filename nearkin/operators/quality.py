@@ -12,7 +12,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from nearkin.conf import Quality
 from nearkin.functions.hashing import image_hash
@@ -183,11 +182,3 @@ def resize(grey: np.ndarray, new_height: int) -> np.ndarray:
 def worsen(grey: np.ndarray, new_height: int) -> np.ndarray:
     """Scaled down and up again to the old height."""
     return resize(resize(grey, new_height), grey.shape[0])
-
-
-def numbered(rows: DataFrame, *order: str, name: str = "no") -> DataFrame:
-    """Rows with their number from 0 in an order; the numbers of earlier partitions are counted, not gathered."""
-    ordered = rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
-    counts = ordered.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_mono").alias("_first"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before", "_first")
-    return ordered.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_mono") - F.col("_first")).drop("_part", "_mono", "_before", "_first")

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from nearkin.functions.hashing import to_base64
 from nearkin.functions.measures import clock
+from nearkin.operators.numbering import numbered
 from nearkin.operators.rangejoin import find_within
 
 
@@ -66,9 +67,9 @@ def match_counts(found: DataFrame) -> DataFrame:
 
 def report(found: DataFrame, first_entry: int = 0) -> DataFrame:
     """(entry, item, name, target): an entry for each new path, numbered in order, with the new one, each old one and the
-    collisions' description. Entries are numbered by rank over the new paths, one row each."""
+    collisions' description."""
     pairs = found.select(F.col("reference.path").alias("new"), F.col("other.path").alias("old")).distinct()
-    entries = pairs.select("new").distinct().withColumn("entry", F.row_number().over(Window.orderBy("new")) - 1 + first_entry)
+    entries = numbered(pairs.select("new").distinct(), "new", name="entry").withColumn("entry", F.col("entry") + first_entry)
     links = pairs.join(entries, "new").withColumn("item", F.row_number().over(Window.partitionBy("new").orderBy("old"))).select("entry", "item", F.lit("dup").alias("kind"), F.col("old").alias("target"))
     new = entries.select("entry", F.lit(0).alias("item"), F.lit("the_new_one").alias("kind"), F.col("new").alias("target"))
     last = links.groupBy("entry").agg((F.max("item") + 1).alias("item")).select("entry", "item", F.lit("debuginfo").alias("kind"), F.lit(None).cast("string").alias("target"))

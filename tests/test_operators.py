@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearkin.conf import Borders, OneColour, Quality
-from nearkin.operators import fold, quality, rangejoin, sampling
+from nearkin.operators import fold, numbering, quality, rangejoin, sampling
 
 
 def test_modal_grey_and_shares():
@@ -91,7 +91,7 @@ def test_resizing():
 
 def test_numbers_over_partitions(spark):
     rows = spark.range(1000).withColumn("k", F.pmod(F.xxhash64("id"), F.lit(10_000)))
-    got = [r["no"] for r in quality.numbered(rows.repartition(7), "k", "id").orderBy("k", "id").collect()]
+    got = [r["no"] for r in numbering.numbered(rows.repartition(7), "k", "id").orderBy("k", "id").collect()]
     assert got == list(range(1000))
 
 

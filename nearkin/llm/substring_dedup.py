@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearkin.llm.textcore import Words, bounded_batches, mix, reliable, roll, slices, spread, starts_within, utf8
+from nearkin.llm.textcore import Words, bounded_batches, free_finished, mix, reliable, roll, slices, spread, starts_within, utf8
 
 WINDOW = 13
 NO_ID = (1 << 63) - 1
@@ -309,9 +309,11 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, id_col: str = "doc_id", tex
     sizes = Sizes(total)
     merged = docs.mapInArrow(_merge_batches, "key binary, text string, ids array<long>")
     packs = reliable(merged.withColumn("pack", F.pmod(F.xxhash64("key"), F.lit(sizes.packs)).cast("int")).groupBy("pack").applyInArrow(_pack, "pack int, blob binary"))
+    free_finished(spark)
     sketch = packs.mapInArrow(_send_sketch(k, sizes), SKETCH)
     bits = sketch.groupBy("line", "shard").applyInArrow(_merge_sketch(sizes.shard_cells), "pack int, line int, shard int, bits binary")
     bits = reliable(bits.groupBy("pack").agg(F.collect_list(F.struct("line", "shard", "bits")).alias("bits")))
+    free_finished(spark)
     judged = packs.join(bits, "pack", "left")
     entries = judged.mapInArrow(_send_exact(k, sizes), EXACT)
     exact = entries.groupBy("shard").applyInArrow(_merge_exact, "pack int, shard int, least binary")

@@ -41,6 +41,14 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_finished(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose results are checkpointed: its cleaner acts when the JVM collects."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection of 64-bit words with full avalanche."""
     x = x ^ (x >> U64(30))

@@ -5,7 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
-from conftest import make, prose
+from samples import make, prose
 
 from nearkin.llm import decontaminate as dec
 from nearkin.llm import line_dedup as lines

@@ -1,7 +1,7 @@
 import hashlib
 
 import corpus_pipeline as pipe
-from conftest import make
+from samples import make
 from test_corpus_operators import brute_classes, brute_contamination, brute_lines
 
 from test_text_operators import brute_bits

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import make, prose
+from samples import make, prose
 
 from nearkin.llm import chat_format as chat
 from nearkin.llm import language_id as lid

@@ -30,11 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearkin.llm.segment_memo import Memo
-from nearkin.llm.textcore import bounded_batches, slices, utf8
+from nearkin.llm.textcore import bounded_batches
 
 SPACE = "▁"
-GATHER_BYTES = 4 << 20
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _SHIFT = 20
 
@@ -63,6 +61,7 @@ class MergeModel:
         if len(self.byte_id) != 256:
             raise ValueError("a model without byte pieces is not covered")
         by_text = {self.pieces[i]: i for i in normal}
+        self.text_of = [None if special[i] else self.pieces[i] for i in range(size)]
         merged = sorted((i for i in normal if len(self.pieces[i]) > 1), key=sp.get_score, reverse=True)
         self.space = by_text.get(SPACE, -1)
         self.runs = {len(self.pieces[i]): i for i in normal if set(self.pieces[i]) == {SPACE}}
@@ -94,7 +93,6 @@ class MergeModel:
             self.prefix[i] = next((reached[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in reached), -1)
         self.automaton.make_automaton()
         self.fits: dict[int, bool] = {}
-        self.memo = Memo(400_000, 8_000_000)
 
     def _last_merge(self, text: str, by_text: dict[str, int]) -> tuple[int, int] | None:
         """The two pieces whose merge gives `text` when its characters are merged; None if merging ends otherwise."""
@@ -203,6 +201,9 @@ class MergeModel:
 
     def decode_raw(self, ids: Iterable[int]) -> str:
         """The text of ids with the space mark that encoding puts first, if any; a byte that is no UTF-8 becomes U+FFFD."""
+        texts = [self.text_of[i] for i in ids]
+        if None not in texts:
+            return "".join(texts)
         out: list[str] = []
         run = b""
         for i in ids:
@@ -222,12 +223,43 @@ class MergeModel:
         text = self.decode_raw(ids)
         return text.removeprefix(SPACE).replace(SPACE, " ")
 
-    def known(self, segments: set[str]) -> Memo:
-        """The memory with (ids joined by commas, decoded text) of all these segments."""
-        for s in self.memo.missing(segments):
-            ids = self.encode_segment(s)
-            self.memo[s] = (",".join(map(str, ids)), self.decode_raw(ids))
-        return self.memo
+
+class SegmentIds(dict):
+    """Ids of segments as decimals joined by commas, found when they are first asked for. `odd` has the decoded text of
+    those segments that do not decode to themselves. When there are `limit` segments they become the old ones, and the old
+    ones that nobody asked for since then are forgotten, which changes no result."""
+
+    def __init__(self, model: MergeModel, limit: int = 300_000):
+        super().__init__()
+        self.model, self.limit, self.old = model, limit, {}
+        self.numbers = [str(i) for i in range(len(model.pieces))]
+        self.odd: dict[str, str] = {}
+
+    def __missing__(self, segment: str) -> str:
+        found = self.old.get(segment)
+        if found is not None:
+            self[segment] = found
+            return found
+        ids = self.model.encode_segment(segment)
+        text = self.model.decode_raw(ids)
+        if text != segment:
+            self.odd[segment] = text
+        found = self[segment] = ",".join([self.numbers[i] for i in ids])
+        return found
+
+    def bound(self) -> None:
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+            self.odd = {s: x for s, x in self.odd.items() if s in self.old}
+
+    def encode_decode(self, text: str) -> tuple[str, str]:
+        """A text's ids joined by commas, and what they decode to."""
+        self.bound()
+        segments = segments_of(text)
+        ids = ",".join(map(self.__getitem__, segments))
+        decoded = "".join([self.odd.get(s, s) for s in segments] if self.odd else segments)
+        return ids, decoded.removeprefix(SPACE).replace(SPACE, " ")
 
 
 def bytes_text(run: bytes) -> str:
@@ -260,21 +292,19 @@ def model(path: str) -> MergeModel:
     return MergeModel(path)
 
 
+@lru_cache(maxsize=2)
+def segment_ids(path: str) -> SegmentIds:
+    return SegmentIds(model(path))
+
+
 def _encoded(docs: DataFrame, path: str, row, names: list[str], schema: str) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the memory makes no cycles, and many small objects make collections slow
-        m = model(path)
+        memory = segment_ids(path)
         for b in batches:
-            _, offsets = utf8(b.column(1))
-            rows = []
-            for first, last in slices(offsets, GATHER_BYTES):
-                cut = [segments_of(t or "") for t in b.column(1).slice(first, last - first).to_pylist()]
-                get = m.known(set().union(*cut)).__getitem__
-                for c in cut:
-                    ids, parts = zip(*map(get, c), strict=True) if c else ((), ())
-                    rows.append(row(",".join(ids), "".join(parts).removeprefix(SPACE).replace(SPACE, " ")))
+            rows = [row(*memory.encode_decode(t or "")) for t in b.column(1).to_pylist()]
             columns = list(zip(*rows, strict=True)) if rows else [()] * (len(names) - 1)
             kinds = [f.type for f in _KINDS[schema]]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names)

@@ -126,3 +126,39 @@ def frame_at(frames: DataFrame, wanted: DataFrame) -> DataFrame:
     ahead = Window.partitionBy("video").orderBy("_t", "_kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     found = line.withColumn("_next", F.first("_frame", ignorenulls=True).over(ahead)).where("_kind = 0")
     return found.select("video", F.col("_t").alias("at"), *[F.col(f"_next.{c}") for c in rest])
+
+
+def scheduled_frames(frames: DataFrame, min_frames: int = 5, max_step_ms: int = 10_000, phantom_steps_ms: Sequence[int] = (4_200,)) -> DataFrame:
+    """The frames of a video that are looked at, with `phantom`. The first is the first one behind the skipped beginning;
+    each next one is the first at or behind the one before plus the gap that the schedule of key frames and phantoms has
+    next, so the walk drifts with the frames while the gaps do not. It ends at the skipped end. frames: video, ts (ms),
+    length_ms and any others; a length of 0 gives the first frame only."""
+    length = F.col("length_ms")
+    rows = frames.withColumn("_skip", skip(length)).withColumn("_step", step(length, min_frames, max_step_ms))
+    kept = frames.columns
+    at = {c: rows.columns.index(c) for c in ("video", "ts", "length_ms", "_skip", "_step")}
+    schema = ", ".join(f"`{c}` {t}" for c, t in frames.dtypes) + ", phantom boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, state = object(), None
+        for b in batches:
+            keep, phantom = [], []
+            for v, ts, total, cut, key_step in zip(*(b.column(at[c]).to_pylist() for c in at), strict=True):
+                if v != video:
+                    video, state = v, (0, cut or 0, False, False)  # scheduled time, next target, whether a phantom is next, end
+                now, target, odd, done = state
+                take = not done and ts is not None and ts >= target and not (0 < (cut or 0) <= (total or 0) < ts + cut)
+                keep.append(take)
+                phantom.append(odd)
+                if take:
+                    following = [(now // s + 1) * s for s in (key_step or 0, *phantom_steps_ms) if s]
+                    if key_step:
+                        after = min(following)
+                        state = (after, ts + after - now, following.index(after) > 0, False)
+                    else:
+                        state = (now, target, odd, True)
+            mask = pa.array(keep, pa.bool_())
+            columns = [b.column(i).filter(mask) for i in range(len(kept))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(phantom, pa.bool_()).filter(mask)], names=[*kept, "phantom"])
+
+    return rows.repartition("video").sortWithinPartitions("video", "ts").mapInArrow(run, schema)

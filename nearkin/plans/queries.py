@@ -249,7 +249,7 @@ def random_delete(spark, sf_dir):
     return rows.join(collisions.random_paths(rows, 10, seed=7), "path", "left_anti").select("event_id", "path")
 
 
-@query("SELECT max(event_id) + 1 AS next FROM events")
+@query("SELECT CAST(max(event_id) + 1 AS INT) AS next FROM events")
 def next_entry(spark, sf_dir):
     names = table(spark, sf_dir, "events").select(F.concat(F.lpad(F.col("event_id").cast("string"), 6, "0"), F.lit("_x")).alias("name"))
     return collisions.next_entry(names)

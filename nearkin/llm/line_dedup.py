@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from nearkin.llm.textcore import Words, bounded_batches, reliable, slices, utf8
 
 MIN_LINE_WORDS, MIN_BLOCK_WORDS = 4, 20
+#: Pairs of one earlier document that go to one task together.
+SHARE = 500
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +132,12 @@ def repeated_lines(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS, min_bl
     first = long.groupBy("line").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("line", "first")
     pairs = long.join(first, "line").where("doc_id > first").select("doc_id", "first").distinct()
     one = lines.groupBy("doc_id").agg(F.min(F.struct("lines", "words")).alias("x")).select("doc_id", "x.lines", "x.words")
-    both = pairs.join(one, "doc_id").join(one.select(F.col("doc_id").alias("first"), F.col("lines").alias("earlier")), "first")
+    # A first holder of very many documents is sent to several tasks, each with a share of its pairs.
+    hot = pairs.groupBy("first").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")).where("shares > 1")
+    dealt = pairs.join(hot, "first", "left").withColumn("share", F.pmod(F.xxhash64("doc_id"), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares")
+    earlier = one.select(F.col("doc_id").alias("first"), F.col("lines").alias("earlier")).join(hot, "first", "left")
+    earlier = earlier.withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
+    both = dealt.join(one, "doc_id").join(earlier, ["first", "share"])
     found = both.select("doc_id", "lines", "words", "earlier").mapInArrow(_align(min_block_words), "doc_id long, gone array<int>")
     return found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 

@@ -184,7 +184,9 @@ def brute_lines(rows, min_line=4, min_block=20):
     return gone
 
 
-def test_line_dedup_equals_brute_force(spark, corpus):
+@pytest.mark.parametrize("share", [2, 500])
+def test_line_dedup_equals_brute_force(spark, corpus, share, monkeypatch):
+    monkeypatch.setattr(lines, "SHARE", share)
     rng = random.Random(6)
     shared = [prose(rng, 12, 10_000) for _ in range(6)]
     rows = [(r[0], r[1]) for r in corpus if r[0] is not None and r[0] not in (300, 301)]

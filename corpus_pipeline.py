@@ -1,7 +1,11 @@
 """The corpus pipeline: five operators, one after another, each on all that the one before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents.
+stage's docs. All but the last return the columns of documents; other columns are left out.
+
+Defined cases: a null text, or one without a letter, goes at the first stage; a null lang is replaced by the predicted one, and
+null source and n_chars stay; a null doc_id is no duplicate of anything and stays unless a row without id is contaminated;
+rows that repeat an id are one document to stages 3 and 4; an empty table gives an empty result.
 """
 
 from __future__ import annotations

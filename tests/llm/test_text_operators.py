@@ -131,6 +131,8 @@ def test_webp_reads_all_features_of_the_format():
     assert all((a == b).all() for a, b in zip(together, images, strict=True))
     with pytest.raises(ValueError):
         webp.chunks_of(b"RIFFxxxxWAVE")
+    with pytest.raises(ValueError):
+        webp.chunks_of(files[-1][:-4])
 
 
 def test_predictor_modes_round_trip():

@@ -32,7 +32,7 @@ from nearkin.llm.textcore import Words, bounded_batches, slices, spread, utf8
 WINDOW = 10
 BLOCK = 100_000
 WINDOWS = "item_id long, words array<long>"
-HITS = "doc_id long, n_words long, hits array<struct<start:int,length:int>>, items array<long>"
+HITS = "doc_id long, mark long, n_words long, hits array<struct<start:int,length:int>>, items array<long>"
 
 
 def item_windows(benchmark: DataFrame, k: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -115,7 +115,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, id_col:
     """Per document: its number of words, the distinct word ranges at which windows occur, and those windows' items."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     grouped = item_windows(benchmark, k).groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     grouped = grouped.persist(StorageLevel.MEMORY_AND_DISK)
     blocks = max(1, -(-grouped.count() // block_windows))
@@ -129,9 +129,11 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, id_col:
         found.append(docs.mapInArrow(_search(spark.sparkContext.broadcast(WindowIndex(part, counts))), HITS))
     grouped.unpersist()
     if len(found) == 1:
-        return found[0]
-    merged = reduce(DataFrame.unionAll, found).groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
-    return merged.select("doc_id", "n_words", F.array_distinct("hits").alias("hits"), F.array_distinct("items").alias("items"))
+        return found[0].drop("mark")
+    # rows of one id and text come once from each block; those that were repeated are repeated again
+    merged = reduce(DataFrame.unionAll, found).groupBy("doc_id", "mark").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"), F.count("*").alias("rows"))
+    rows = F.explode(F.sequence(F.lit(1), F.floor(F.col("rows") / blocks)))
+    return merged.select("doc_id", "n_words", F.array_distinct("hits").alias("hits"), F.array_distinct("items").alias("items"), rows).drop("col")
 
 
 def _search(shared):
@@ -155,7 +157,7 @@ def _search(shared):
                 items += [sorted(s) for s in own_items]
             kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
             made = pa.array([[{"start": s, "length": n} for s, n in h] for h in hits], kind)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), made, pa.array(items, pa.list_(pa.int64()))], names=["doc_id", "n_words", "hits", "items"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n_words, pa.int64()), made, pa.array(items, pa.list_(pa.int64()))], names=["doc_id", "mark", "n_words", "hits", "items"])
 
     return search
 

@@ -239,7 +239,7 @@ def test_contamination_equals_brute_force(spark, corpus, block, monkeypatch):
     rng = random.Random(7)
     items = [(i, prose(rng, rng.randint(0, 25), 30)) for i in range(12)] + [(50, None), (51, ""), (52, "W1 w2"), (53, "repeat me repeat"), (9, "Again, the same id.")]
     docs = [(r[0], r[1]) for r in corpus if r[0] is not None] + [(1000 + i, prose(rng, 5) + ", " + (items[i][1] or "").upper() + "! " + prose(rng, 5)) for i in range(12)]
-    docs = [d for d in {d[0]: d for d in docs}.values()]
+    docs = [d for d in {d[0]: d for d in docs}.values()] + [(2000, "again and again w1 w2"), (2000, "again and again w1 w2"), (2000, "else")]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, words string")
     found = dec.find_windows(make(spark, docs), bench, block_windows=block)
     names = "array_join(array_sort(transform(items, x -> cast(x as string))), ',')"

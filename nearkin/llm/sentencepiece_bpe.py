@@ -123,7 +123,7 @@ class MergeModel:
                 until, y = rank[y] + 1, self.left[y]  # of equal ranks the left merge comes first
             else:
                 break
-        if len(self.fits) >= 1_000_000:
+        if len(self.fits) >= 300_000:
             self.fits.clear()
         self.fits[key] = holds
         return holds
@@ -253,6 +253,12 @@ class SegmentIds(dict):
             self.clear()
             self.odd = {s: x for s, x in self.odd.items() if s in self.old}
 
+    def forget(self) -> None:
+        """Frees the memory, since Python workers outlive the task."""
+        self.clear()
+        self.old, self.odd = {}, {}
+        self.model.fits.clear()
+
     def encode_decode(self, text: str) -> tuple[str, str]:
         """A text's ids joined by commas, and what they decode to."""
         self.bound()
@@ -303,11 +309,15 @@ def _encoded(docs: DataFrame, path: str, row, names: list[str], schema: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the memory makes no cycles, and many small objects make collections slow
         memory = segment_ids(path)
-        for b in batches:
-            rows = [row(*memory.encode_decode(t or "")) for t in b.column(1).to_pylist()]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * (len(names) - 1)
-            kinds = [f.type for f in _KINDS[schema]]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names)
+        try:
+            for b in batches:
+                rows = [row(*memory.encode_decode(t or "")) for t in b.column(1).to_pylist()]
+                columns = list(zip(*rows, strict=True)) if rows else [()] * (len(names) - 1)
+                kinds = [f.type for f in _KINDS[schema]]
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names)
+        finally:
+            memory.forget()
+            gc.enable()
 
     return docs.mapInArrow(run, "doc_id long, " + schema)
 

@@ -82,13 +82,16 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the memory makes no cycles, and many small objects make collections slow
-        for b in batches:
-            _, offsets = utf8(b.column(1))
-            tokens: list[int] = []
-            for first, last in slices(offsets, GATHER_BYTES):
-                tokens += count_texts([t or "" for t in b.column(1).slice(first, last - first).to_pylist()], path)
-            n = np.array(tokens, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        try:
+            for b in batches:
+                _, offsets = utf8(b.column(1))
+                tokens: list[int] = []
+                for first, last in slices(offsets, GATHER_BYTES):
+                    tokens += count_texts([t or "" for t in b.column(1).slice(first, last - first).to_pylist()], path)
+                n = np.array(tokens, np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        finally:
+            gc.enable()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -151,15 +151,46 @@ def possible(regs: np.ndarray, left: np.ndarray, right: np.ndarray, band: int, t
     return found
 
 
+GROUP = ("key", "band", "p", "q")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], binary: str):
+    """Lists of whole groups out of rows that are sorted by GROUP: for each batch its complete groups, as (numbers by column,
+    binary values, borders). What may go on in the next batch is held back; a group has two blocks of rows at most."""
+    names = (*GROUP, "rep", "block")
+    held, values = {c: np.zeros(0, np.int64) for c in names}, []
+    for b in batches:
+        now = {c: np.concatenate([held[c], b.column(c).to_numpy().astype(np.int64)]) for c in names}
+        values = values + b.column(binary).to_pylist()
+        new = np.zeros(len(values), bool)
+        for c in GROUP:
+            new[1:] |= now[c][1:] != now[c][:-1]
+        edges = np.concatenate([[0], np.flatnonzero(new)])
+        if edges[-1]:
+            yield now, values, edges
+        held, values = {c: now[c][edges[-1] :] for c in names}, values[edges[-1] :]
+    if values:
+        yield held, values, np.array([0, len(values)])
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """Rows of a group together in one partition, group after group."""
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP)
+
+
 def _judge(threshold: float):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        """Documents of a block pair of a bucket that may have a partner in it."""
-        band, p, q = (key[i].as_py() for i in (1, 2, 3))
-        regs = np.frombuffer(b"".join(table["registers"].to_pylist()), "<u2").reshape(-1, REGISTERS)
-        block = table["block"].to_numpy()
-        left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
-        found = possible(regs, left, right, band, threshold) if len(left) and len(right) else np.zeros(len(regs), bool)
-        return table.filter(pa.array(found)).select(["key", "band", "p", "q", "rep", "block"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents of each block pair of a bucket that may have a partner in it."""
+        for now, values, edges in _groups(batches, "registers"):
+            regs = np.frombuffer(b"".join(values), "<u2").reshape(-1, REGISTERS)
+            found = np.zeros(len(regs), bool)
+            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                block, p, q = now["block"][x:y], now["p"][x], now["q"][x]
+                left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
+                if len(left) and len(right):
+                    found[x:y] = possible(regs[x:y], left, right, int(now["band"][x]), threshold)
+            out = [pa.array(now[c][: len(found)][found]) for c in (*GROUP, "rep", "block")]
+            yield pa.RecordBatch.from_arrays(out, names=[*GROUP, "rep", "block"])
 
     return run
 
@@ -187,8 +218,9 @@ def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent:
     common = np.zeros((len(left), len(right)), np.float32)
     order = np.argsort(at, kind="stable")
     row, at = row[order], at[order]
-    width = max(1, (2 << 20) // max(1, len(sets)))
-    edges = np.searchsorted(at, np.arange(0, (int(at[-1]) + 1 if len(at) else 0) + width, width))
+    columns = int(at[-1]) + 1 if len(at) else 0
+    width = max(1, min(columns, (2 << 20) // max(1, len(sets))))
+    edges = np.searchsorted(at, np.arange(0, columns + width, width))
     for i, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         dense = np.zeros((len(sets), width), np.float32)
         dense[row[x:y], at[x:y] - i * width] = 1
@@ -216,13 +248,18 @@ def forest(n: int, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _confirm(percent: int):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        p, q = key[2].as_py(), key[3].as_py()
-        sets = [np.frombuffer(s, U64) for s in table["shingles"].to_pylist()]
-        block, rep = table["block"].to_numpy(), table["rep"].to_numpy()
-        left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
-        kept = forest(len(sets), *links(sets, left, right, percent)) if len(left) and len(right) else []
-        return pa.table({"a": pa.array([int(rep[i]) for i, _ in kept], pa.int64()), "b": pa.array([int(rep[j]) for _, j in kept], pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A spanning forest of the links of each block pair."""
+        for now, values, edges in _groups(batches, "shingles"):
+            kept: list[tuple[int, int]] = []
+            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                block, p, q = now["block"][x:y], now["p"][x], now["q"][x]
+                left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
+                if len(left) and len(right):
+                    sets = [np.frombuffer(s, U64) for s in values[x:y]]
+                    kept += [(x + i, x + j) for i, j in forest(len(sets), *links(sets, left, right, percent))]
+            rep = now["rep"]
+            yield pa.RecordBatch.from_arrays([pa.array([int(rep[i]) for i, _ in kept], pa.int64()), pa.array([int(rep[j]) for _, j in kept], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -242,10 +279,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, id_col
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = members.withColumn("other", other).withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
     judged = paired.select("key", "band", "p", "q", "rep", "block").join(equal.select("rep", "registers"), "rep")
-    found = reliable(judged.groupBy("key", "band", "p", "q").applyInArrow(_judge(percent / 100), "key long, band int, p int, q int, rep long, block int"))
+    found = reliable(_grouped(judged.select(*GROUP, "rep", "block", "registers")).mapInArrow(_judge(percent / 100), "key long, band long, p long, q long, rep long, block long"))
     wanted = found.select(F.col("rep").alias("doc_id")).distinct()
     sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "rep long, shingles binary")
-    edges = found.join(sets, "rep").groupBy("key", "band", "p", "q").applyInArrow(_confirm(percent), "a long, b long")
+    edges = _grouped(found.join(sets, "rep").select(*GROUP, "rep", "block", "shingles")).mapInArrow(_confirm(percent), "a long, b long")
     joined = components(edges)
     classes = equal.select("n", "f1", "f2", "rep").join(joined, F.col("rep") == F.col("id"), "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("root"))
     # rows that repeat an id are one node, also where their sets differ

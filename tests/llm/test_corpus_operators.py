@@ -258,3 +258,19 @@ def test_contamination_of_empty_tables(spark, corpus):
     assert got.count() == len(corpus) and got.where("contaminated").count() == 0
     some = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert dec.contamination(make(spark, []), some).count() == 0
+
+
+def test_groups_outlive_batches():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    rows = sorted((rng.randint(0, 5), rng.randint(0, 1), 0, 0, i, rng.randint(0, 1)) for i in range(300))
+    names = [*near.GROUP, "rep", "block"]
+    table = pa.table({**{n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)}, "registers": pa.array([bytes([r[4] % 256]) for r in rows], pa.binary())})
+    for size in (1, 7, 100, 1000):
+        got = []
+        for now, values, edges in near._groups(iter(table.to_batches(size)), "registers"):
+            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                assert values[x:y] == [bytes([i % 256]) for i in now["rep"][x:y].tolist()]
+                got.append(((now["key"][x], now["band"][x]), now["rep"][x:y].tolist()))
+        assert len(got) == len({g[0] for g in got}) and [i for g in got for i in g[1]] == [r[4] for r in rows]

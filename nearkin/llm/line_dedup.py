@@ -4,12 +4,17 @@
 2. Overlapping documents are found through shared line hashes. A line that n documents share links each of them to the
    earliest one only, so a line in thousands of documents gives as many pairs and not their square, rare lines are
    followed up like all others without any limit, and each repeated line's first holder is a partner of every later holder.
-   Lines of fewer than `min_line_words` (4) words link nothing.
+   Lines of fewer than `min_line_words` (4) words link nothing by themselves. Blocks link likewise: from each line on, and up to each
+   line, the shortest run of `min_block_words` words or more is a key, as is a whole document; these runs cover every line of
+   every block that can be deleted, and each links its holders to the first one.
 3. Each pair is aligned with patience diff: equal lines at both ends are matched, then lines that occur once in each
    document and stay in order (longest increasing run) are anchors, and the stretches between anchors are aligned likewise.
    Stretches without an anchor match nothing.
 4. Aligned lines that follow each other in both documents form a block. Blocks of `min_block_words` (20) words or more are deleted
    from the later document, over all its partners; all documents are judged on the input.
+5. A run that an earlier document holds can stay where its first holder has it in another order or among repeated lines. Its document
+   is then aligned with all other earlier holders of that run. So the result is that of aligning all pairs of documents. The
+   last step takes work with the square of a run's holders where alignment leaves the run in most of them.
 
 Lines are the text between line feeds, compared unchanged by hash; empty lines are not numbered and stay. Earlier means a
 smaller id. Defined cases: null texts stay null and have no lines; rows with a null id link nothing and stay; rows that
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearkin.llm.textcore import Words, bounded_batches, reliable, slices, utf8
+from nearkin.llm.textcore import U64, Words, bounded_batches, mix, reliable, runs, slices, utf8
 
 MIN_LINE_WORDS, MIN_BLOCK_WORDS = 4, 20
 #: Pairs of one earlier document that go to one task together.
@@ -51,6 +56,31 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _blocks(min_block_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shortest runs of enough words that begin or end at each line, and whole documents of enough words."""
+        for b in batches:
+            lines, words, ids = b.column(1), b.column(2), b.column(0).to_numpy()
+            edge = lines.offsets.to_numpy().astype(np.int64)
+            line = lines.values.to_numpy()[edge[0] : edge[-1]].view(U64)
+            at = words.offsets.to_numpy()
+            total = np.zeros(len(line) + 1, np.int64)
+            np.cumsum(words.values.to_numpy()[at[0] : at[-1]], out=total[1:])
+            edge = edge - edge[0]
+            row, n = np.repeat(np.arange(len(ids)), np.diff(edge)), np.arange(len(line))
+            end = np.searchsorted(total, total[:-1] + min_block_words)
+            begin = np.searchsorted(total, total[1:] - min_block_words, "right") - 1
+            forth, back = end <= edge[row + 1], begin >= edge[row]
+            some = np.unique(np.concatenate([np.stack([row, n, end])[:, forth], np.stack([row, begin, n + 1])[:, back]], axis=1), axis=1)
+            whole = np.flatnonzero((total[edge[1:]] - total[edge[:-1]] >= min_block_words) & (np.diff(edge) > 0))
+            key = np.concatenate([runs(line, some[1], some[2]), mix(~runs(line, edge[whole], edge[whole + 1]))])
+            row, begin, end = np.concatenate([some, np.stack([whole, edge[whole], edge[whole + 1]])], axis=1)
+            made = [ids[row], key.view(np.int64), (begin - edge[row]).astype(np.int32), (end - edge[row]).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["doc_id", "key", "start", "end"])
+
+    return run
+
+
 def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Patience alignment: matched positions of a and b, ascending in both."""
     out: list[tuple[int, int]] = []
@@ -123,23 +153,41 @@ def _align(min_block_words: int):
     return run
 
 
-def repeated_lines(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
-    """(doc_id, gone): for documents that lose lines, the numbers of those among their non-empty lines. docs: doc_id, text."""
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    lines = reliable(rows.mapInArrow(_lines, "doc_id long, lines array<long>, words array<int>"))
-    long = lines.select("doc_id", F.explode(F.arrays_zip("lines", "words")).alias("x")).where(F.col("x.words") >= min_line_words).select("doc_id", F.col("x.lines").alias("line")).distinct()
-    first = long.groupBy("line").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("line", "first")
-    pairs = long.join(first, "line").where("doc_id > first").select("doc_id", "first").distinct()
-    one = lines.groupBy("doc_id").agg(F.min(F.struct("lines", "words")).alias("x")).select("doc_id", "x.lines", "x.words")
+def _aligned(one: DataFrame, pairs: DataFrame, min_block_words: int) -> DataFrame:
+    """(doc_id, gone) of the pairs (doc_id, first) of documents."""
     # A first holder of very many documents is sent to several tasks, each with a share of its pairs.
     hot = pairs.groupBy("first").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")).where("shares > 1")
     dealt = pairs.join(hot, "first", "left").withColumn("share", F.pmod(F.xxhash64("doc_id"), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares")
     earlier = one.select(F.col("doc_id").alias("first"), F.col("lines").alias("earlier")).join(hot, "first", "left")
     earlier = earlier.withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
     both = dealt.join(one, "doc_id").join(earlier, ["first", "share"])
-    found = both.select("doc_id", "lines", "words", "earlier").mapInArrow(_align(min_block_words), "doc_id long, gone array<int>")
-    return found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    return both.select("doc_id", "lines", "words", "earlier").mapInArrow(_align(min_block_words), "doc_id long, gone array<int>")
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    return reliable(found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")))
+
+
+def repeated_lines(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
+    """(doc_id, gone): for documents that lose lines, the numbers of those among their non-empty lines. docs: doc_id, text."""
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    lines = rows.mapInArrow(_lines, "doc_id long, lines array<long>, words array<int>")
+    one = reliable(lines.groupBy("doc_id").agg(F.min(F.struct("lines", "words")).alias("x")).select("doc_id", "x.lines", "x.words"))
+    long = one.select("doc_id", F.explode(F.arrays_zip("lines", "words")).alias("x")).where(F.col("x.words") >= min_line_words).select("doc_id", F.col("x.lines").alias("line")).distinct()
+    first = long.groupBy("line").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("line", "first")
+    blocks = one.mapInArrow(_blocks(min_block_words), "doc_id long, key long, start int, end int")
+    holders = blocks.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first")
+    held = reliable(blocks.join(holders, "key").where("doc_id > first"))
+    pairs = reliable(long.join(first, "line").where("doc_id > first").select("doc_id", "first").union(held.select("doc_id", "first")).distinct())
+    gone = _merged(_aligned(one, pairs, min_block_words))
+    inside = F.array_except(F.sequence("start", F.col("end") - 1), F.coalesce("gone", F.array().cast("array<int>")))
+    left = reliable(held.join(gone, "doc_id", "left").where(F.size(inside) > 0).select("doc_id", "key").distinct())
+    if left.isEmpty():
+        return gone
+    others = left.join(blocks.select("key", F.col("doc_id").alias("first")), "key").where("doc_id > first").select("doc_id", "first").distinct()
+    others = reliable(others.join(pairs, ["doc_id", "first"], "left_anti"))
+    return gone if others.isEmpty() else _merged(gone.union(_aligned(one, others, min_block_words)))
 
 
 def kept_text(text: str, gone: set[int]) -> str:

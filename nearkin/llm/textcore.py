@@ -167,6 +167,13 @@ def roll(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     return mix(total)
 
 
+def runs(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the values begin[i] .. end[i] - 1: equal runs have equal hashes, wherever they stand."""
+    total = np.zeros(len(words) + 1, U64)
+    np.cumsum(words * _power(_BASE, len(words)), out=total[1:])
+    return mix((total[end] - total[begin]) * _power(_INV, len(words) + 1)[begin] + (end - begin).astype(U64))
+
+
 def starts_within(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all k-word windows that stay inside one text, and each text's number of them."""
     counts = np.maximum(np.diff(first) - k + 1, 0)

@@ -209,6 +209,30 @@ def test_line_dedup_of_odd_rows(spark, corpus):
     assert [r["n_removed"] for r in one] == [0, 0]
 
 
+def brute_all_lines(rows, min_block=20, size=lambda line: len(line.split())):
+    """Every pair of documents aligned, blocks deleted."""
+    docs = {i: [x for x in t.split("\n") if x] for i, t in rows}
+    gone = {i: set() for i in docs}
+    for p, i in combinations(sorted(docs), 2):
+        gone[i].update(lines.deleted(docs[i], docs[p], [size(x) for x in docs[i]], min_block))
+    return gone
+
+
+def removed(spark, rows):
+    return {r["doc_id"]: set(r["gone"]) for r in lines.repeated_lines(make(spark, rows)).collect()}
+
+
+def test_line_dedup_equals_brute_force_over_all_pairs(spark):
+    a, b = " ".join(f"a{i}" for i in range(12)), " ".join(f"b{i}" for i in range(12))
+    assert removed(spark, [(1, a), (2, b), *((i, f"{a}\n{b}") for i in range(3, 9))]) == {i: {0, 1} for i in range(4, 9)}
+    rng = random.Random(8)
+    pool = [" ".join(f"l{n}x{i}" for i in range(rng.choice([0, 1, 3, 6, 12, 25]))) or " " for n in range(14)]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 9)))) for i in range(150)]
+    rows += [(i, "\n".join([c, d] * 2)) for i, (c, d) in enumerate([(a, b), (b, a), (a, b), (b, b), (a, a), (b, a)], 200)]
+    want = {i: g for i, g in brute_all_lines(rows).items() if g}
+    assert removed(spark, rows) == want and len(want) > 50
+
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 

@@ -5,14 +5,16 @@ value found is a protected entity. Its context is the `CONTEXT` words on either
 the co-occurrence of entity e and term t gives their pointwise mutual information
 ``PMI = log2(N * n_et / (n_e * n_t))``, and the share of the entity's information ``IC = log2(N / n_e)`` that the term
 discloses is ``PMI / IC`` (1: the term never occurs without the entity). N counts documents, n_t the documents that hold
-the term anywhere, n_e and n_et the different contexts of the entity, and those with the term; copies of a passage thus
-are no evidence. With at least `SUPPORT` such contexts, a term that discloses `REMOVE` or more is removed where it
-stands in a context of that entity, and one that discloses `GENERALISE` or more is generalised. The method adds spans;
-those of the patterns stay.
+the term anywhere. n_e and n_et are counted twice, and the higher share holds: by window, as the different contexts of the entity, and
+those with the term; and by document, as the different texts that hold the entity, and the different pairs of the contexts of entity and
+term in one text, however far apart. Copies of a passage thus are no evidence, but for its outermost `CONTEXT` words. A count needs `SUPPORT` such contexts or pairs. A term that
+discloses `REMOVE` or more of an entity is removed wherever it stands, in all documents; one that discloses `GENERALISE` or
+more is generalised wherever it stands in the documents that hold the entity. The method adds spans; those of the patterns stay.
 
 Terms are words (runs of digits, letters and characters from U+0080 on, A-Z lower-cased) of four bytes or more with
 something other than digits, outside pattern spans. Only terms with enough support are counted over all documents:
-a Bloom filter of fixed size (2^20 bits) lets them and few others through, and the counts are joined exactly.
+a Bloom filter of 32 to 64 bits a term lets them and few others through, and the counts are joined exactly; likewise
+entities with enough support, and the terms over the thresholds, are found again in the texts.
 
 Defined cases: a null text is empty; copies and ties are treated alike; an empty table gives an empty result; repeated
 ids keep a row each; other columns are ignored.
@@ -28,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearkin.llm.textcore import Words, bounded_batches, reliable, slices, utf8
+from nearkin.llm.textcore import U64, Words, bounded_batches, mix, reliable, runs, slices, utf8
 
 #: Kinds in the order in which spans with one start are listed; the last two are the method's.
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
 CONTEXT, SUPPORT, GENERALISE, REMOVE = 8, 3, 0.6, 0.9
-_SLOTS = 1 << 20
+#: A filter's least bits, its bits for each hash and the bits that are asked for a hash.
+_SLOTS, _SPARSE, _PROBES = 1 << 20, 32, 4
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -97,8 +100,8 @@ def _terms(w: Words) -> np.ndarray:
     return (w.end - w.start >= 4) & (other[w.end] > other[w.start])
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """(entity, context, term, start, end) of the terms around each span; equal contexts have equal fingerprints."""
+def mentions(text: str, spans: list[tuple[int, int, int]]) -> tuple[Words, np.ndarray, list[tuple[int, list[int]]]]:
+    """Words of the text, which of them are terms outside the spans, and of each span (entity, terms in its context)."""
     data = np.frombuffer(text.encode(), np.uint8)
     w = Words(data, np.array([0, len(data)]), "alnum", lower=True)
     points = np.zeros(len(data) + 1, np.int64)
@@ -112,40 +115,96 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, in
     for s, kind, e in spans:
         left, right = int(np.searchsorted(end, s, "right")), int(np.searchsorted(start, e))
         near = [i for i in (*range(max(0, left - CONTEXT), left), *range(right, min(len(start), right + CONTEXT))) if free[i]]
-        if near:
-            entity, mark = _hash(f"{KINDS[kind]}:{text[s:e]}"), _hash(",".join(str(w.hash[i]) for i in near))
-            out += [(entity, mark, int(w.hash[i].astype(np.int64)), int(start[i]), int(end[i])) for i in near]
+        out.append((_hash(f"{KINDS[kind]}:{text[s:e]}"), near))
+    return w, free, out
+
+
+def _mark(w: Words, near: list[int]) -> int:
+    """Equal contexts have equal fingerprints."""
+    return _hash(",".join(str(w.hash[i]) for i in near))
+
+
+def _passing(bits: bytes, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes pass a filter."""
+    held, out = np.frombuffer(bits, np.uint8), np.zeros(len(hashes), bool)
+    left = np.arange(len(hashes))
+    for n in range(_PROBES):
+        at = (mix(hashes[left] + U64(n)) & U64(8 * len(held) - 1)).astype(np.int64)
+        left = left[(held[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)]
+    out[left] = True
     return out
 
 
-_SPAN = "array<struct<start:int,kind:int,end:int>>"
-_SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_NEAR_TYPE = pa.list_(pa.struct([("entity", pa.int64()), ("mark", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
-_NEAR = "array<struct<entity:bigint,mark:bigint,term:bigint,start:int,end:int>>"
+def _filter(rows: DataFrame, column: str):
+    """A broadcast filter that the column's hashes and few others pass, or None if there are none."""
+    hashes = rows.select(column).distinct().toPandas()[column].to_numpy().astype(np.int64).view(U64)
+    slots = max(_SLOTS, 1 << (_SPARSE * len(hashes)).bit_length())
+    bits = np.zeros(slots, bool)
+    for n in range(_PROBES):
+        bits[(mix(hashes + U64(n)) & U64(slots - 1)).astype(np.int64)] = True
+    return rows.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes()) if len(hashes) else None
+
+
+WINDOW, DOCUMENT = 0, 1
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(entity, level, mark): an entity's contexts by window, and the texts that hold it."""
     for b in batches:
-        base, near = [], []
-        for text in b.column(1).to_pylist():
+        out = set()
+        for text in b.column(0).to_pylist():
             spans = base_spans(text) if text else []
-            base.append([dict(zip(("start", "kind", "end"), s, strict=True)) for s in spans])
-            near.append([dict(zip(("entity", "mark", "term", "start", "end"), c, strict=True)) for c in contexts(text, spans)] if spans else [])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, _SPAN_TYPE), pa.array(near, _NEAR_TYPE)], names=["doc_id", "base", "near"])
+            if spans:
+                w, _, found = mentions(text, spans)
+                out.update((entity, WINDOW, _mark(w, near)) for entity, near in found if near)
+                whole = int(runs(w.hash, np.array([0]), np.array([len(w.hash)])).view(np.int64)[0])
+                out.update((entity, DOCUMENT, whole) for entity, _ in found)
+        columns = zip(*out, strict=True) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["entity", "level", "mark"])
+
+
+def _evidence(wanted):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(entity, level, term, mark) for the entities that pass the broadcast filter: each term with the contexts that it is evidence in."""
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                spans = base_spans(text) if text else []
+                if not spans:
+                    continue
+                w, free, found = mentions(text, spans)
+                own: dict[int, list[tuple[int, list[int]]]] = {}
+                for (entity, near), passes in zip(found, _passing(wanted.value, np.array([e for e, _ in found]).view(U64)), strict=True):
+                    if passes:
+                        own.setdefault(entity, []).append((_mark(w, near), near))
+                if not own:
+                    continue
+                at = np.flatnonzero(free)
+                terms, inverse = np.unique(w.hash[at], return_inverse=True)
+                around = np.zeros(len(terms), U64)
+                np.add.at(around, inverse, runs(w.hash, np.maximum(at - CONTEXT, 0), np.minimum(at + CONTEXT + 1, len(w.hash))))
+                for entity, marks in own.items():
+                    close = [(w.hash[i], mark) for mark, near in marks for i in near]
+                    held = U64(sum({mark for mark, _ in marks}) % (1 << 64))
+                    term = np.concatenate([np.array([t for t, _ in close], U64), terms]).view(np.int64)
+                    mark = np.concatenate([np.array([m for _, m in close], np.int64), mix(around ^ mix(np.array([held]))).view(np.int64)])
+                    level = np.repeat(np.array([WINDOW, DOCUMENT], np.int32), [len(close), len(terms)])
+                    made = [pa.array(np.full(len(term), entity, np.int64)), pa.array(level), pa.array(term), pa.array(mark)]
+                    yield pa.RecordBatch.from_arrays(made, names=["entity", "level", "term", "mark"])
+
+    return run
 
 
 def _term_documents(docs: DataFrame, wanted) -> DataFrame:
     """(term, documents that hold it) for the terms that pass the broadcast filter."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passes = np.unpackbits(np.frombuffer(wanted.value, np.uint8)).astype(bool)
         for b in batches:
             data, offsets = utf8(b.column(0))
             found = []
             for first, last in slices(offsets):
                 base = offsets[first : last + 1]
                 w = Words(data[base[0] : base[-1]], base - base[0], "alnum", lower=True)
-                keep = passes[(w.hash & np.uint64(_SLOTS - 1)).astype(np.int64)] & _terms(w)
+                keep = _passing(wanted.value, w.hash) & _terms(w)
                 text = np.repeat(np.arange(last - first), w.counts())[keep]
                 pairs = np.unique(np.stack([w.hash[keep], text.astype(np.uint64)]), axis=1)
                 found.append(pairs[0])
@@ -155,34 +214,83 @@ def _term_documents(docs: DataFrame, wanted) -> DataFrame:
     return docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def disclosing_terms(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """(entity, term, kind) of the pairs over the thresholds. docs: text; scanned: near."""
-    spark = docs.sparkSession
-    near = scanned.select(F.explode("near").alias("c")).select("c.entity", "c.mark", "c.term").distinct()
-    together = near.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    entities = near.select("entity", "mark").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = reliable(together.join(entities, "entity"))
-    slots = pairs.select(F.pmod("term", F.lit(_SLOTS)).alias("slot")).distinct().toPandas()["slot"].to_numpy()
-    bits = np.zeros(_SLOTS, bool)
-    bits[slots] = True
-    n_docs = F.lit(float(max(scanned.count(), 1)))
-    if not len(slots):  # no pair has the support, so there is nothing to count
-        return pairs.select("entity", "term", F.lit(4).alias("kind"))
-    counts = _term_documents(docs, spark.sparkContext.broadcast(np.packbits(bits).tobytes()))
+def disclosing_terms(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """(entity, term, kind) of the pairs over the thresholds. docs: text."""
+    none = docs.sparkSession.createDataFrame([], "entity long, term long, kind int")
+    docs = docs.select("text")
+    held = docs.mapInArrow(_contexts, "entity long, level int, mark long").distinct()
+    entities = reliable(held.groupBy("entity", "level").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support))
+    wanted = _filter(entities, "entity")
+    if wanted is None:  # no entity has the support, so there is nothing to count
+        return none
+    evidence = docs.mapInArrow(_evidence(wanted), "entity long, level int, term long, mark long").distinct()
+    together = evidence.groupBy("entity", "level", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
+    pairs = reliable(together.join(entities, ["entity", "level"]))
+    wanted = _filter(pairs, "term")
+    if wanted is None:
+        return none
+    n_docs = F.lit(float(docs.count()))
+    counts = _term_documents(docs, wanted)
     pmi = F.log2(n_docs * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et")))
     share = pmi / F.greatest(F.log2(n_docs / F.col("n_e")), F.lit(1e-9))
-    known = pairs.join(counts, "term").withColumn("share", share).where(F.col("share") >= generalise)
-    return known.select("entity", "term", F.when(F.col("share") >= remove, 5).otherwise(4).alias("kind"))
+    known = pairs.join(counts, "term").groupBy("entity", "term").agg(F.max(share).alias("share")).where(F.col("share") >= generalise)
+    return reliable(known.select("entity", "term", F.when(F.col("share") >= remove, 5).otherwise(4).alias("kind")))
+
+
+_SPAN = "array<struct<start:int,kind:int,end:int>>"
+_SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+_FOUND = "array<struct<term:bigint,start:int,end:int>>"
+_FOUND_TYPE = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _scan(anywhere, own, owners):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per document the patterns' spans, the entities that pass `owners`, and all places outside the spans of terms that pass
+        `anywhere`, or `own` where there is such an entity; the three are broadcast filters."""
+        for b in batches:
+            base, held = [], []
+            for text in b.column(1).to_pylist():
+                base.append(base_spans(text) if text else [])
+                entities = np.array(sorted({_hash(f"{KINDS[kind]}:{text[s:e]}") for s, kind, e in base[-1]}) if owners else [], np.int64)
+                held.append(entities[_passing(owners.value, entities.view(U64))].tolist() if len(entities) else [])
+            found: list[list[dict]] = [[] for _ in base]
+            data, offsets = utf8(b.column(1))
+            for first, last in slices(offsets) if anywhere or own else ():
+                edge = offsets[first : last + 1]
+                part = data[edge[0] : edge[-1]]
+                w = Words(part, edge - edge[0], "alnum", lower=True)
+                passes = _passing(anywhere.value, w.hash) if anywhere else np.zeros(len(w.hash), bool)
+                if own:
+                    owner = np.flatnonzero(np.repeat([bool(x) for x in held[first:last]], w.counts()))
+                    passes[owner] |= _passing(own.value, w.hash[owner])
+                at = np.flatnonzero(passes & _terms(w))
+                points = np.zeros(len(part) + 1, np.int64)
+                np.cumsum((part & 0xC0) != 0x80, out=points[1:])
+                row = np.searchsorted(w.first, at, "right") - 1
+                zero = points[edge[row] - edge[0]]
+                places = ((points[w.start[at]] - zero).tolist(), (points[w.end[at]] - zero).tolist())
+                for r, term, start, end in zip((row + first).tolist(), w.hash[at].view(np.int64).tolist(), *places, strict=True):
+                    if all(e <= start or end <= s for s, _, e in base[r]):
+                        found[r].append({"term": term, "start": start, "end": end})
+            spans = [[dict(zip(("start", "kind", "end"), s, strict=True)) for s in x] for x in base]
+            made = [b.column(0), pa.array(spans, _SPAN_TYPE), pa.array(held, pa.list_(pa.int64())), pa.array(found, _FOUND_TYPE)]
+            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "base", "held", "found"])
+
+    return run
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: the patterns' spans `base` and the method's spans `added`, arrays of (start, kind, end)."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scanned = reliable(docs.mapInArrow(_scan, f"doc_id long, base {_SPAN}, near {_NEAR}").withColumn("row", F.monotonically_increasing_id()))
-    pairs = disclosing_terms(docs, scanned)
-    where = scanned.select("row", F.explode("near").alias("c")).select("row", "c.entity", "c.term", "c.start", "c.end")
-    added = where.join(pairs, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("kind").alias("kind"))
+    pairs = disclosing_terms(docs)
+    removed, generalised = pairs.where("kind = 5"), pairs.where("kind = 4")
+    scan = _scan(_filter(removed, "term"), _filter(generalised, "term"), _filter(generalised, "entity"))
+    scanned = reliable(docs.mapInArrow(scan, f"doc_id long, base {_SPAN}, held array<bigint>, found {_FOUND}").withColumn("row", F.monotonically_increasing_id()))
+    where = scanned.select("row", F.explode("found").alias("c")).select("row", "c.term", "c.start", "c.end")
+    anywhere = where.join(removed.select("term", "kind").distinct(), "term")
+    own = scanned.select("row", F.explode("held").alias("entity")).join(generalised, "entity").select("row", "term", "kind").distinct()
+    added = anywhere.unionByName(where.join(own, ["row", "term"])).groupBy("row", "start", "end").agg(F.max("kind").alias("kind"))
     added = added.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
     both = scanned.join(added, "row", "left")
     return both.select("doc_id", "base", F.coalesce("added", F.array().cast(_SPAN)).alias("added"))

@@ -233,6 +233,16 @@ def test_line_dedup_equals_brute_force_over_all_pairs(spark):
     assert removed(spark, rows) == want and len(want) > 50
 
 
+def test_short_lines_and_lines_without_spaces_are_deduplicated(spark):
+    verse = "\n".join(f"one two{i} three" for i in range(100))
+    assert removed(spark, [(1, verse), (2, "mine\n" + verse), (3, "a\n" * 19 + "a"), (4, "a\n" * 19 + "a")]) == {2: set(range(1, 101)), 4: set(range(20))}
+    han, thai = "漢" * 25 + "かな" * 8, "ก" * 80
+    rows = [(1, f"{han}\nA"), (2, f"B\n{han}"), (3, thai), (4, f"C\n{thai}\nD"), (5, "漢" * 39), (6, "漢" * 39 + "\nE")]
+    assert removed(spark, rows) == {2: {1}, 4: {1}}
+    data = np.frombuffer("é漢字かな😀ñ𠀀𠀁ກx".encode(), np.uint8)
+    assert lines.unspaced(data, np.array([0]), np.array([len(data)])).tolist() == [(2 * 6 + 1) // 4]
+
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 

@@ -283,8 +283,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, id_col
     wanted = found.select(F.col("rep").alias("doc_id")).distinct()
     sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "rep long, shingles binary")
     edges = _grouped(found.join(sets, "rep").select(*GROUP, "rep", "block", "shingles")).mapInArrow(_confirm(percent), "a long, b long")
-    joined = components(edges)
+    # rows that repeat an id are one node, also where their sets differ: its classes are linked
+    several = usable.groupBy("doc_id").agg(F.count_distinct("n", "f1", "f2").alias("m")).where("m > 1").select("doc_id")
+    theirs = usable.join(several, "doc_id", "left_semi").join(equal.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"]).select("doc_id", "rep").distinct()
+    least = theirs.groupBy("doc_id").agg(F.min("rep").alias("b"))
+    joined = components(edges.union(theirs.join(least, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")))
     classes = equal.select("n", "f1", "f2", "rep").join(joined, F.col("rep") == F.col("id"), "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("root"))
-    # rows that repeat an id are one node, also where their sets differ
     named = sketched.join(classes, ["n", "f1", "f2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("root")).alias("component_id"))
     return named.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

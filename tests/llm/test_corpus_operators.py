@@ -62,6 +62,12 @@ def test_near_duplicates_of_odd_rows(spark, corpus):
     assert near.near_duplicates(make(spark, [(1, None), (2, "")])).where("kept").count() == 2
 
 
+def test_classes_of_a_repeated_id_are_one(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    got = near.near_duplicates(make(spark, [(3, a), (5, a), (5, b), (9, b), (11, "alone in here")])).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(3, 3, True), (5, 3, False), (5, 3, False), (9, 3, False), (11, 11, True)]
+
+
 def test_registers_and_estimates():
     rng = np.random.default_rng(1)
     h = np.sort(rng.integers(0, 2**64, 20_000, dtype=np.uint64))

@@ -7,9 +7,10 @@ made and the statistics are frozen, so a text's code length is the sum over its
 bytes alone, and the exact code lengths of a batch need one lookup for each distinct four-byte string in it. The
 language with the shortest code wins (ties: first in order); the score is its share of the languages' likelihoods.
 
-Training takes a sample of the labelled texts, chosen by a hash of the text, with an expected `train_bytes` bytes for each
+Training takes a sample of the distinct labelled texts of each language, chosen by a hash of the text, with an expected `train_bytes` bytes for each
 language (8 MB); this parameter bounds the model, which holds at most one entry a language for each sampled byte, and so
-what is collected and broadcast. Byte counts for the sampling rate and all scores cover every row and the whole texts.
+what is collected and broadcast. Byte counts for the sampling rate cover every distinct text, so copies neither
+lower the rate nor enter repeatedly, and all scores cover every row and the whole texts.
 
 Defined cases: null texts and texts without a letter are `und` with score 0, as are all texts when nothing can be learned
 from; equal texts get equal results; an empty table gives an empty result; other columns are ignored.
@@ -137,9 +138,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame, train_bytes: int = TRAIN_BYTES) -> dict[str, ContextTrees]:
     """Context trees of each language of (text, lang) rows without nulls; see the module for the sample."""
     bounded_batches(labelled.sparkSession)
-    rates = labelled.groupBy("lang").agg((F.lit(float(train_bytes)) / F.greatest(F.sum(F.octet_length("text")), F.lit(1))).alias("rate"))
+    key = labelled.select("lang", F.xxhash64("text").alias("hash"), F.octet_length("text").alias("bytes"))
+    distinct = key.groupBy("lang", "hash").agg(F.max("bytes").alias("bytes"))
+    rates = distinct.groupBy("lang").agg((F.lit(float(train_bytes)) / F.greatest(F.sum("bytes"), F.lit(1))).alias("rate"))
     part = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("rate") * (1 << 20)
-    sample = labelled.join(F.broadcast(rates), "lang").where(part).select("lang", "text")
+    sample = labelled.join(F.broadcast(rates), "lang").where(part).select("lang", "text").distinct()
     counts = sample.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     got = counts.toPandas()
     return {lang: ContextTrees(g["code"].to_numpy().astype(np.uint32), g["n"].to_numpy().astype(float)) for lang, g in got.groupby("lang")}

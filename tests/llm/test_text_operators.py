@@ -227,6 +227,17 @@ def test_languages_of_held_out_documents(spark):
     assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in got) >= 0.95 * len(got) > 0
 
 
+def test_copies_do_not_displace_other_texts_in_training(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 20), "aa") for i in range(100)]
+    copies = [(1000 + i, "zzz yyy " * 50, "aa") for i in range(2000)]
+    labelled = lambda x: make(spark, x).select("text", "lang")
+    one = lid.train(labelled([*rows, copies[0]]), 12_000)["aa"].levels
+    many = lid.train(labelled([*rows, *copies]), 12_000)["aa"].levels
+    assert all((x == y).all() for p, q in zip(one, many, strict=True) for x, y in zip(p[1:], q[1:], strict=True) if len(x) == len(y)) and [len(x[1]) for x in one] == [len(x[1]) for x in many]
+    assert one[-1][2].sum() > 3_000
+
+
 def test_language_of_odd_rows(spark, corpus):
     docs = make(spark, [*corpus, (7, "123 456 !!", None)])
     got = {r["doc_id"]: r for r in lid.identify(docs, lid.learned_from(docs)).collect() if r["doc_id"] is not None}

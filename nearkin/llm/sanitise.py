@@ -1,23 +1,27 @@
 """Personal data: pattern spans, and information-theoretic sanitisation of the terms that give their owners away.
 
 Patterns find e-mail addresses, IPv4 addresses, payment card numbers and phone numbers (`base_spans`). Each distinct
-value found is a protected entity. Its context is the `CONTEXT` words on either side of a mention. Over the whole corpus
-the co-occurrence of entity e and term t gives their pointwise mutual information
-``PMI = log2(N * n_et / (n_e * n_t))``, and the share of the entity's information ``IC = log2(N / n_e)`` that the term
-discloses is ``PMI / IC`` (1: the term never occurs without the entity). N counts documents, n_t the documents that hold
-the term anywhere. n_e and n_et are counted twice, and the higher share holds: by window, as the different contexts of the entity, and
-those with the term; and by document, as the different texts that hold the entity, and the different pairs of the contexts of entity and
-term in one text, however far apart. Copies of a passage thus are no evidence, but for its outermost `CONTEXT` words. A count needs `SUPPORT` such contexts or pairs. A term that
-discloses `REMOVE` or more of an entity is removed wherever it stands, in all documents; one that discloses `GENERALISE` or
-more is generalised wherever it stands in the documents that hold the entity. The method adds spans; those of the patterns stay.
+value found is a protected entity. All statistics have one unit, the different texts of the corpus, so copies count once:
+N texts, n_e that hold entity e, n_t that hold term t anywhere, and n_et that hold t within `REACH` words of a mention of
+e. Their pointwise mutual information is ``PMI = log2(N * n_et / (n_e * n_t))``, and the share of the entity's information
+``IC(e) = log2(N / n_e)`` that the term discloses is ``PMI / IC(e)`` (1: the term never occurs without the entity).
+n_e and n_et need `SUPPORT` texts. The window bounds the pairs by the mentions, however long a text is.
+
+A term that discloses `REMOVE` or more of an entity is removed wherever it stands, in all texts; one that discloses
+`GENERALISE` or more is generalised wherever it stands in the documents that hold the entity. It is replaced by its
+narrowest safe class: the classes of a word are its beginnings of 6, 5, 4 and 3 characters, and one is safe if its own
+information log2(N / n_class) over the corpus is less than `GENERALISE` of IC(e), so that not even a class that occurred with
+the entity always would disclose so much. Where none is safe, the class of all terms is left, `[TERM]`. The method adds
+spans; those of the patterns stay.
 
 Terms are words (runs of digits, letters and characters from U+0080 on, A-Z lower-cased) of four bytes or more with
-something other than digits, outside pattern spans. Only terms with enough support are counted over all documents:
-a Bloom filter of 32 to 64 bits a term lets them and few others through, and the counts are joined exactly; likewise
-entities with enough support, and the terms over the thresholds, are found again in the texts.
+something other than digits, outside pattern spans. Counting goes from cheap to exact: tasks count different texts for
+each supported term; the largest such count is a lower bound of n_t, which rules out common terms; what is left is
+counted exactly over different texts. Broadcast filters of at most 8 MB let wanted hashes and few others through, and
+joins make that exact. n_class adds up the tasks' different texts, so copies of a text count once a task.
 
 Defined cases: a null text is empty; copies and ties are treated alike; an empty table gives an empty result; repeated
-ids keep a row each; other columns are ignored.
+ids keep a row each; a text of any length is taken whole, by one task; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearkin.llm.textcore import U64, Words, bounded_batches, mix, reliable, runs, slices, utf8
+from nearkin.llm.textcore import U64, Words, bounded_batches, hash_filter, mix, passing, reliable, slices, utf8
 
 #: Kinds in the order in which spans with one start are listed; the last two are the method's.
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
-CONTEXT, SUPPORT, GENERALISE, REMOVE = 8, 3, 0.6, 0.9
-#: A filter's least bits, its bits for each hash and the bits that are asked for a hash.
-_SLOTS, _SPARSE, _PROBES = 1 << 20, 32, 4
+REACH, SUPPORT, GENERALISE, REMOVE = 128, 3, 0.6, 0.9
+#: Characters of the beginnings that are a word's classes, narrowest first.
+CLASSES = (6, 5, 4, 3)
+#: Counts that a task holds before it hands them on.
+HELD = 200_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -100,8 +106,8 @@ def _terms(w: Words) -> np.ndarray:
     return (w.end - w.start >= 4) & (other[w.end] > other[w.start])
 
 
-def mentions(text: str, spans: list[tuple[int, int, int]]) -> tuple[Words, np.ndarray, list[tuple[int, list[int]]]]:
-    """Words of the text, which of them are terms outside the spans, and of each span (entity, terms in its context)."""
+def mentions(text: str, spans: list[tuple[int, int, int]]) -> tuple[Words, list[tuple[int, np.ndarray]]]:
+    """Words of the text, and of each span (entity, places of the terms within reach, outside all spans)."""
     data = np.frombuffer(text.encode(), np.uint8)
     w = Words(data, np.array([0, len(data)]), "alnum", lower=True)
     points = np.zeros(len(data) + 1, np.int64)
@@ -114,130 +120,228 @@ def mentions(text: str, spans: list[tuple[int, int, int]]) -> tuple[Words, np.nd
     out = []
     for s, kind, e in spans:
         left, right = int(np.searchsorted(end, s, "right")), int(np.searchsorted(start, e))
-        near = [i for i in (*range(max(0, left - CONTEXT), left), *range(right, min(len(start), right + CONTEXT))) if free[i]]
-        out.append((_hash(f"{KINDS[kind]}:{text[s:e]}"), near))
-    return w, free, out
-
-
-def _mark(w: Words, near: list[int]) -> int:
-    """Equal contexts have equal fingerprints."""
-    return _hash(",".join(str(w.hash[i]) for i in near))
-
-
-def _passing(bits: bytes, hashes: np.ndarray) -> np.ndarray:
-    """Which hashes pass a filter."""
-    held, out = np.frombuffer(bits, np.uint8), np.zeros(len(hashes), bool)
-    left = np.arange(len(hashes))
-    for n in range(_PROBES):
-        at = (mix(hashes[left] + U64(n)) & U64(8 * len(held) - 1)).astype(np.int64)
-        left = left[(held[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)]
-    out[left] = True
+        first, last = max(0, left - REACH), min(len(start), right + REACH)
+        out.append((_hash(f"{KINDS[kind]}:{text[s:e]}"), first + np.flatnonzero(free[first:last])))
+    return w, out
+
+
+def classes_of(w: Words, at: np.ndarray) -> np.ndarray:
+    """Hashes of the classes of the words at some places, a column for each of CLASSES; 0 where a word is no longer."""
+    points = np.flatnonzero((w.data & 0xC0) != 0x80)
+    begin, stop = np.searchsorted(points, w.start[at]), np.searchsorted(points, w.end[at])
+    out = np.zeros((len(at), len(CLASSES)), U64)
+    for column, n in enumerate(CLASSES):
+        longer = np.flatnonzero(stop - begin > n)
+        out[longer, column] = mix(w.hashes(w.start[at[longer]], points[begin[longer] + n]) ^ U64(n))
     return out
 
 
-def _filter(rows: DataFrame, column: str):
-    """A broadcast filter that the column's hashes and few others pass, or None if there are none."""
-    hashes = rows.select(column).distinct().toPandas()[column].to_numpy().astype(np.int64).view(U64)
-    slots = max(_SLOTS, 1 << (_SPARSE * len(hashes)).bit_length())
-    bits = np.zeros(slots, bool)
-    for n in range(_PROBES):
-        bits[(mix(hashes + U64(n)) & U64(slots - 1)).astype(np.int64)] = True
-    return rows.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes()) if len(hashes) else None
+def _batch(kinds: dict[str, pa.DataType], *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
 
-WINDOW, DOCUMENT = 0, 1
+_LONG = pa.int64()
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(entity, level, mark): an entity's contexts by window, and the texts that hold it."""
+def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(entity, text): the entities of each text, and each text once more under the entity 0 of all texts."""
     for b in batches:
         out = set()
         for text in b.column(0).to_pylist():
-            spans = base_spans(text) if text else []
-            if spans:
-                w, _, found = mentions(text, spans)
-                out.update((entity, WINDOW, _mark(w, near)) for entity, near in found if near)
-                whole = int(runs(w.hash, np.array([0]), np.array([len(w.hash)])).view(np.int64)[0])
-                out.update((entity, DOCUMENT, whole) for entity, _ in found)
-        columns = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["entity", "level", "mark"])
+            if text:
+                here = _hash(text)
+                out.add((0, here))
+                out.update((_hash(f"{KINDS[kind]}:{text[s:e]}"), here) for s, kind, e in base_spans(text))
+        yield _batch({"entity": _LONG, "text": _LONG}, *(zip(*out, strict=True) if out else ((), ())))
 
 
 def _evidence(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(entity, level, term, mark) for the entities that pass the broadcast filter: each term with the contexts that it is evidence in."""
+        """(entity, term, text) for the entities that pass the broadcast filter and the terms within reach of them."""
         for b in batches:
             for text in b.column(0).to_pylist():
                 spans = base_spans(text) if text else []
                 if not spans:
                     continue
-                w, free, found = mentions(text, spans)
-                own: dict[int, list[tuple[int, list[int]]]] = {}
-                for (entity, near), passes in zip(found, _passing(wanted.value, np.array([e for e, _ in found]).view(U64)), strict=True):
-                    if passes:
-                        own.setdefault(entity, []).append((_mark(w, near), near))
-                if not own:
+                entities = np.array([_hash(f"{KINDS[kind]}:{text[s:e]}") for s, kind, e in spans])
+                if not passing(wanted.value, entities.view(U64)).any():
                     continue
-                at = np.flatnonzero(free)
-                terms, inverse = np.unique(w.hash[at], return_inverse=True)
-                around = np.zeros(len(terms), U64)
-                np.add.at(around, inverse, runs(w.hash, np.maximum(at - CONTEXT, 0), np.minimum(at + CONTEXT + 1, len(w.hash))))
-                for entity, marks in own.items():
-                    close = [(w.hash[i], mark) for mark, near in marks for i in near]
-                    held = U64(sum({mark for mark, _ in marks}) % (1 << 64))
-                    term = np.concatenate([np.array([t for t, _ in close], U64), terms]).view(np.int64)
-                    mark = np.concatenate([np.array([m for _, m in close], np.int64), mix(around ^ mix(np.array([held]))).view(np.int64)])
-                    level = np.repeat(np.array([WINDOW, DOCUMENT], np.int32), [len(close), len(terms)])
-                    made = [pa.array(np.full(len(term), entity, np.int64)), pa.array(level), pa.array(term), pa.array(mark)]
-                    yield pa.RecordBatch.from_arrays(made, names=["entity", "level", "term", "mark"])
+                w, found = mentions(text, spans)
+                own: dict[int, list[np.ndarray]] = {}
+                for (entity, near), passes in zip(found, passing(wanted.value, entities.view(U64)), strict=True):
+                    if passes:
+                        own.setdefault(entity, []).append(near)
+                here = _hash(text)
+                for entity, places in own.items():
+                    term = np.unique(w.hash[np.concatenate(places)]).view(np.int64)
+                    yield _batch({"entity": _LONG, "term": _LONG, "text": _LONG}, np.full(len(term), entity), term, np.full(len(term), here))
 
     return run
 
 
-def _term_documents(docs: DataFrame, wanted) -> DataFrame:
-    """(term, documents that hold it) for the terms that pass the broadcast filter."""
+class _New:
+    """Tells which texts a task has not met before."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = utf8(b.column(0))
-            found = []
-            for first, last in slices(offsets):
-                base = offsets[first : last + 1]
-                w = Words(data[base[0] : base[-1]], base - base[0], "alnum", lower=True)
-                keep = _passing(wanted.value, w.hash) & _terms(w)
-                text = np.repeat(np.arange(last - first), w.counts())[keep]
-                pairs = np.unique(np.stack([w.hash[keep], text.astype(np.uint64)]), axis=1)
-                found.append(pairs[0])
-            terms, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(terms.astype(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
+    def __init__(self):
+        self.met: set[int] = set()
+
+    def rows(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and hashes of the new ones."""
+        rows, hashes = [], []
+        for i, t in enumerate(texts):
+            if t and (h := _hash(t)) not in self.met:
+                self.met.add(h)
+                rows.append(i)
+                hashes.append(h)
+        return np.array(rows, np.int64), np.array(hashes, np.int64)
+
+
+class _Counts:
+    """Numbers of texts by hash, added up with few arrays."""
+
+    def __init__(self):
+        self.keys, self.n, self.rest = np.zeros(0, U64), np.zeros(0, np.int64), []
+
+    def add(self, keys: np.ndarray) -> bool:
+        """Counts keys, one for each text that has it; whether it is time to hand the counts on."""
+        self.rest.append(keys)
+        if sum(map(len, self.rest)) > HELD:
+            self.merge()
+        return len(self.keys) > HELD
+
+    def merge(self) -> None:
+        both = np.concatenate([self.keys, *self.rest])
+        weight = np.concatenate([self.n, np.ones(len(both) - len(self.keys), np.int64)])
+        self.keys, at = np.unique(both, return_inverse=True)
+        self.n, self.rest = np.bincount(at, weight, len(self.keys)).astype(np.int64), []
+
+
+def _new_words(batches: Iterator[pa.RecordBatch]):
+    """(words, text of each word, hashes of the texts) of the different texts of a task, slice by slice."""
+    new = _New()
+    for b in batches:
+        data, offsets = utf8(b.column(0))
+        for first, last in slices(offsets):
+            edge = offsets[first : last + 1]
+            part = data[edge[0] : edge[-1]]
+            edge = edge - edge[0]
+            rows, texts = new.rows([part[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)])
+            w = Words(part, edge, "alnum", lower=True)
+            number = np.full(last - first, -1)
+            number[rows] = np.arange(len(rows))
+            yield w, np.repeat(number, w.counts()), texts
 
-    return docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+
+def _once(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Rows (hash, text) without repeats."""
+    return np.unique(np.stack([hashes, text.astype(U64)]), axis=1) if len(hashes) else np.zeros((2, 0), U64)
+
+
+def _rough(wanted):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(term, n, classes): a task's different texts with each term that passes the broadcast filter."""
+        counts, classes = _Counts(), {}
+
+        def done():
+            counts.merge()
+            keys = counts.keys.view(np.int64).tolist()
+            kinds = {"term": _LONG, "n": _LONG, "classes": pa.list_(_LONG)}
+            made = _batch(kinds, keys, counts.n, [classes.get(k) for k in keys])
+            counts.__init__()
+            return made
+
+        for w, text, _ in _new_words(batches):
+            at = np.flatnonzero(passing(wanted.value, w.hash) & _terms(w) & (text >= 0))
+            term, first = np.unique(w.hash[at], return_index=True)
+            some = [(t, f) for t, f in zip(term.view(np.int64).tolist(), first.tolist(), strict=True) if t not in classes]
+            made = classes_of(w, at[np.array([f for _, f in some], np.int64)]).view(np.int64).tolist()
+            classes.update((t, c) for (t, _), c in zip(some, made, strict=True))
+            if counts.add(_once(w.hash[at], text[at])[0]):
+                yield done()
+                classes.clear()
+        yield done()
+
+    return run
+
+
+def _exact(terms, classes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(term, text, n): each text with a term that passes its filter, and with a null text a task's different texts
+        with a word of a class that passes its filter."""
+        kinds, counts = {"term": _LONG, "text": _LONG, "n": _LONG}, _Counts()
+
+        def done():
+            counts.merge()
+            made = _batch(kinds, counts.keys.view(np.int64), [None] * len(counts.keys), counts.n)
+            counts.__init__()
+            return made
+
+        for w, text, texts in _new_words(batches):
+            at = np.flatnonzero(passing(terms.value, w.hash) & _terms(w) & (text >= 0))
+            pairs = _once(w.hash[at], text[at])
+            yield _batch(kinds, pairs[0].view(np.int64), texts[pairs[1].astype(np.int64)], np.ones(pairs.shape[1], np.int64))
+            if classes:
+                # of equal words of one text, one is enough
+                at = np.flatnonzero(text >= 0)
+                order = at[np.lexsort((w.hash[at], text[at]))]
+                same = np.zeros(len(order), bool)
+                same[1:] = (w.hash[order[1:]] == w.hash[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
+                at = order[~same]
+                found = classes_of(w, at)
+                row, column = np.nonzero(found)
+                found, row = found[row, column], text[at[row]]
+                good = passing(classes.value, found)
+                if counts.add(_once(found[good], row[good])[0]):
+                    yield done()
+        yield done()
+
+    return run
+
+
+PAIRS = "entity long, term long, kind int, keep int"
 
 
 def disclosing_terms(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """(entity, term, kind) of the pairs over the thresholds. docs: text."""
-    none = docs.sparkSession.createDataFrame([], "entity long, term long, kind int")
+    """(entity, term, kind, keep) of the pairs over the thresholds; keep is the number of characters of the safe class of
+    a term that is generalised, or 0. docs: text."""
+    none = docs.sparkSession.createDataFrame([], PAIRS)
     docs = docs.select("text")
-    held = docs.mapInArrow(_contexts, "entity long, level int, mark long").distinct()
-    entities = reliable(held.groupBy("entity", "level").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support))
-    wanted = _filter(entities, "entity")
+    held = docs.mapInArrow(_entities, "entity long, text long").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    held = reliable(held.where((F.col("n_e") >= support) | (F.col("entity") == 0)))
+    n_texts = float((held.where("entity = 0").first() or {"n_e": 0})["n_e"])
+    entities = held.where("entity <> 0")
+    wanted = hash_filter(entities, "entity")
     if wanted is None:  # no entity has the support, so there is nothing to count
         return none
-    evidence = docs.mapInArrow(_evidence(wanted), "entity long, level int, term long, mark long").distinct()
-    together = evidence.groupBy("entity", "level", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    pairs = reliable(together.join(entities, ["entity", "level"]))
-    wanted = _filter(pairs, "term")
+    evidence = docs.mapInArrow(_evidence(wanted), "entity long, term long, text long").distinct()
+    together = evidence.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
+    pairs = reliable(together.join(entities, "entity"))
+    wanted = hash_filter(pairs, "term")
     if wanted is None:
         return none
-    n_docs = F.lit(float(docs.count()))
-    counts = _term_documents(docs, wanted)
-    pmi = F.log2(n_docs * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et")))
-    share = pmi / F.greatest(F.log2(n_docs / F.col("n_e")), F.lit(1e-9))
-    known = pairs.join(counts, "term").groupBy("entity", "term").agg(F.max(share).alias("share")).where(F.col("share") >= generalise)
-    return reliable(known.select("entity", "term", F.when(F.col("share") >= remove, 5).otherwise(4).alias("kind")))
+    whole = F.lit(n_texts)
+    information = F.greatest(F.log2(whole / F.col("n_e")), F.lit(1e-9))
+    share = F.log2(whole * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et"))) / information
+    rough = docs.mapInArrow(_rough(wanted), "term long, n long, classes array<long>").groupBy("term").agg(F.max("n").alias("n_t"), F.max("classes").alias("classes"))
+    pairs = reliable(pairs.join(rough, "term").where(share >= generalise).drop("n_t"))
+    terms = hash_filter(pairs, "term")
+    if terms is None:
+        return none
+    classes = pairs.select("term", F.posexplode("classes").alias("place", "class")).where("class <> 0").distinct()
+    counted = docs.mapInArrow(_exact(terms, hash_filter(classes, "class")), "term long, text long, n long")
+    counted = reliable(counted.groupBy("term", "text").agg(F.sum("n").alias("n")))
+    exact = counted.where("text is not null").groupBy("term").agg(F.count("*").alias("n_t"))
+    known = pairs.join(exact, "term").withColumn("share", share).where(F.col("share") >= generalise)
+    known = known.select("entity", "term", F.when(F.col("share") >= remove, 5).otherwise(4).alias("kind"), (generalise * information).alias("most"))
+    sizes = classes.join(counted.where("text is null").select(F.col("term").alias("class"), F.col("n").alias("n_class")), "class")
+    safe = F.log2(whole / F.least("n_class", whole)) < F.col("most")
+    lengths = F.element_at(F.array(*map(F.lit, CLASSES)), F.col("place") + 1)
+    kept = known.where("kind = 4").join(sizes, "term").where(safe).groupBy("entity", "term").agg(F.max(lengths).alias("keep"))
+    return reliable(known.join(kept, ["entity", "term"], "left").select("entity", "term", "kind", F.coalesce("keep", F.lit(0)).alias("keep")))
 
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
+_ADDED = "array<struct<start:int,kind:int,end:int,keep:int>>"
 _SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 _FOUND = "array<struct<term:bigint,start:int,end:int>>"
 _FOUND_TYPE = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -252,17 +356,17 @@ def _scan(anywhere, own, owners):
             for text in b.column(1).to_pylist():
                 base.append(base_spans(text) if text else [])
                 entities = np.array(sorted({_hash(f"{KINDS[kind]}:{text[s:e]}") for s, kind, e in base[-1]}) if owners else [], np.int64)
-                held.append(entities[_passing(owners.value, entities.view(U64))].tolist() if len(entities) else [])
+                held.append(entities[passing(owners.value, entities.view(U64))].tolist() if len(entities) else [])
             found: list[list[dict]] = [[] for _ in base]
             data, offsets = utf8(b.column(1))
             for first, last in slices(offsets) if anywhere or own else ():
                 edge = offsets[first : last + 1]
                 part = data[edge[0] : edge[-1]]
                 w = Words(part, edge - edge[0], "alnum", lower=True)
-                passes = _passing(anywhere.value, w.hash) if anywhere else np.zeros(len(w.hash), bool)
+                passes = passing(anywhere.value, w.hash) if anywhere else np.zeros(len(w.hash), bool)
                 if own:
                     owner = np.flatnonzero(np.repeat([bool(x) for x in held[first:last]], w.counts()))
-                    passes[owner] |= _passing(own.value, w.hash[owner])
+                    passes[owner] |= passing(own.value, w.hash[owner])
                 at = np.flatnonzero(passes & _terms(w))
                 points = np.zeros(len(part) + 1, np.int64)
                 np.cumsum((part & 0xC0) != 0x80, out=points[1:])
@@ -280,20 +384,27 @@ def _scan(anywhere, own, owners):
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: the patterns' spans `base` and the method's spans `added`, arrays of (start, kind, end)."""
+    """Per document: the patterns' spans `base`, arrays of (start, kind, end), and the method's spans `added`, with `keep`, the
+    characters of a generalised term's class."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pairs = disclosing_terms(docs)
     removed, generalised = pairs.where("kind = 5"), pairs.where("kind = 4")
-    scan = _scan(_filter(removed, "term"), _filter(generalised, "term"), _filter(generalised, "entity"))
+    scan = _scan(hash_filter(removed, "term"), hash_filter(generalised, "term"), hash_filter(generalised, "entity"))
     scanned = reliable(docs.mapInArrow(scan, f"doc_id long, base {_SPAN}, held array<bigint>, found {_FOUND}").withColumn("row", F.monotonically_increasing_id()))
     where = scanned.select("row", F.explode("found").alias("c")).select("row", "c.term", "c.start", "c.end")
-    anywhere = where.join(removed.select("term", "kind").distinct(), "term")
-    own = scanned.select("row", F.explode("held").alias("entity")).join(generalised, "entity").select("row", "term", "kind").distinct()
-    added = anywhere.unionByName(where.join(own, ["row", "term"])).groupBy("row", "start", "end").agg(F.max("kind").alias("kind"))
-    added = added.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
+    anywhere = where.join(removed.select("term", "kind", "keep").distinct(), "term")
+    own = scanned.select("row", F.explode("held").alias("entity")).join(generalised, "entity").groupBy("row", "term").agg(F.max("kind").alias("kind"), F.min("keep").alias("keep"))
+    added = anywhere.unionByName(where.join(own, ["row", "term"])).groupBy("row", "start", "end").agg(F.max("kind").alias("kind"), F.min("keep").alias("keep"))
+    added = added.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end", "keep")).alias("added"))
     both = scanned.join(added, "row", "left")
-    return both.select("doc_id", "base", F.coalesce("added", F.array().cast(_SPAN)).alias("added"))
+    return both.select("doc_id", "base", F.coalesce("added", F.array().cast(_ADDED)).alias("added"))
+
+
+def all_spans(found: DataFrame) -> Column:
+    """The spans of both columns of `personal_data`, as (start, kind, end)."""
+    plain = F.transform(found["added"], lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    return F.concat(found["base"], plain)
 
 
 def listed(spans: Column) -> Column:
@@ -307,17 +418,19 @@ def span_digest(found: DataFrame) -> DataFrame:
     """Counts by kind, the digest of the base spans and the list of all spans."""
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
-    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "added")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(all_spans(found)).alias("spans"))
 
 
-def sanitised(text: str, spans: list[tuple[int, int, int]]) -> str:
-    """The text with each pattern span as its kind's mark, generalised terms as `[TERM]`, and removed terms left out."""
+def sanitised(text: str, spans: list[tuple[int, ...]]) -> str:
+    """The text with each pattern span as its kind's mark, generalised terms as their class (`begin*`, or `[TERM]`), and removed
+    terms left out. spans: (start, kind, end[, keep])."""
     out, at = [], 0
-    for start, kind, end in sorted(spans):
+    for start, kind, end, *keep in sorted(spans):
         if start < at:  # inside a span that is replaced already
             at = max(at, end)
             continue
-        out += [text[at:start], "" if kind == 5 else "[TERM]" if kind == 4 else f"[{KINDS[kind].upper()}]"]
+        general = text[start : start + keep[0]] + "*" if keep and keep[0] else "[TERM]"
+        out += [text[at:start], "" if kind == 5 else general if kind == 4 else f"[{KINDS[kind].upper()}]"]
         at = end
     return "".join([*out, text[at:]])
 
@@ -327,8 +440,8 @@ def sanitise(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t if t is None else sanitised(t, [(s["start"], s["kind"], s["end"]) for s in spans or []]) for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            texts = [t if t is None else sanitised(t, [tuple(s.values()) for s in [*(x or []), *(y or [])]]) for t, x, y in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    spans = found.select("doc_id", F.concat("base", "added").alias("spans")).where(F.size("spans") > 0)
+    spans = found.select("doc_id", "base", "added").where(F.size("base") + F.size("added") > 0)
     return docs.select("doc_id", "text").join(spans, "doc_id", "left").mapInArrow(replace, "doc_id long, text string")

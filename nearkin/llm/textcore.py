@@ -6,10 +6,13 @@ memory of a task depends on the slice size and the longest single text, never on
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Text bytes that a kernel works on at once; one longer text makes a larger slice of its own.
@@ -23,9 +26,12 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of its own only where none is set."""
+    """The folder that the cluster names in spark.checkpoint.dir. Only a local master, whose driver and executors are one
+    process, gets a folder of its own where none is set; elsewhere that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="nearkin-shared-")
@@ -41,6 +47,49 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Least and most bits of a filter (8 MB at most), its bits for each hash, and the bits that are asked for a hash.
+FILTER_LEAST, FILTER_MOST, _SPARSE, _PROBES = 1 << 20, 1 << 26, 32, 4
+
+
+def _filter_slots(hashes: np.ndarray, probe: int, slots: int) -> np.ndarray:
+    return (mix(hashes + U64(probe)) & U64(slots - 1)).astype(np.int64)
+
+
+def hash_filter(rows: DataFrame, column: str):
+    """A broadcast Bloom filter that a column's hashes and few others pass, or None without hashes. Its bits are set and
+    merged by tasks; the driver gets its words only, 16 MB at most however many hashes there are. Beyond two million hashes more
+    others pass, up to all: what follows must join exactly, and then only moves more rows."""
+    hashes = rows.select(F.col(column).cast("long").alias("h")).where("h is not null").distinct()
+    n = hashes.count()
+    if not n:
+        return None
+    slots = min(FILTER_MOST, max(FILTER_LEAST, 1 << (_SPARSE * n - 1).bit_length()))
+
+    def cells(batches):
+        for b in batches:
+            h = b.column(0).to_numpy().view(U64)
+            at = np.unique(np.concatenate([_filter_slots(h, p, slots) for p in range(_PROBES)]))
+            cell, first = np.unique(at >> 6, return_index=True)
+            bits = np.bitwise_or.reduceat(U64(1) << (at & 63).astype(U64), first) if len(first) else np.zeros(0, U64)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(bits.view(np.int64))], names=["cell", "bits"])
+
+    got = hashes.mapInArrow(cells, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toPandas()
+    words = np.zeros(slots >> 6, np.int64)
+    words[got["cell"].to_numpy()] = got["bits"].to_numpy()
+    return rows.sparkSession.sparkContext.broadcast(words.tobytes())
+
+
+def passing(bits: bytes, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes pass a filter."""
+    words, out = np.frombuffer(bits, U64), np.zeros(len(hashes), bool)
+    left = np.arange(len(hashes))
+    for probe in range(_PROBES):
+        at = _filter_slots(hashes[left], probe, 64 * len(words))
+        left = left[(words[at >> 6] >> (at & 63).astype(U64) & U64(1)).astype(bool)]
+    out[left] = True
+    return out
+
+
 def free_finished(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of steps whose results are checkpointed: its cleaner acts when the JVM collects."""
     import gc
@@ -147,9 +196,13 @@ class Words:
         self.end = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
         self.data = data
-        total = np.zeros(n + 1, U64)
-        np.cumsum(_BYTE[data] * _power(_BASE, n), out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * _power(_INV, n + 1)[self.start])
+        self._total = np.zeros(n + 1, U64)
+        np.cumsum(_BYTE[data] * _power(_BASE, n), out=self._total[1:])
+        self.hash = self.hashes(self.start, self.end)
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of stretches of bytes, alike wherever they stand."""
+        return mix((self._total[end] - self._total[start]) * _power(_INV, len(self.data) + 1)[start])
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

@@ -15,10 +15,10 @@ the entity always would disclose so much. Where none is safe, the class of all t
 spans; those of the patterns stay.
 
 Terms are words (runs of digits, letters and characters from U+0080 on, A-Z lower-cased) of four bytes or more with
-something other than digits, outside pattern spans. Counting goes from cheap to exact: tasks count different texts for
-each supported term; the largest such count is a lower bound of n_t, which rules out common terms; what is left is
-counted exactly over different texts. Broadcast filters of at most 8 MB let wanted hashes and few others through, and
-joins make that exact. n_class adds up the tasks' different texts, so copies of a text count once a task.
+something other than digits, outside pattern spans. n_t adds up what tasks count: texts that stand in one row are simply
+added; of texts with copies the largest count of a task bounds n_t from below, which rules out common terms, and for
+what is left they are counted by hash. Broadcast filters of at most 8 MB let wanted hashes and few others through, and joins make
+that exact. n_class adds up the tasks' different texts, so a text with copies counts once a task.
 
 Defined cases: a null text is empty; copies and ties are treated alike; an empty table gives an empty result; repeated
 ids keep a row each; a text of any length is taken whole, by one task; other columns are ignored.
@@ -144,15 +144,15 @@ _LONG = pa.int64()
 
 
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(entity, text): the entities of each text, and each text once more under the entity 0 of all texts."""
+    """(entity, text, n): the entities of each text, and under the entity 0 of all texts in how many rows it stands."""
     for b in batches:
-        out = set()
+        out: dict[tuple[int, int], int] = {}
         for text in b.column(0).to_pylist():
             if text:
                 here = _hash(text)
-                out.add((0, here))
-                out.update((_hash(f"{KINDS[kind]}:{text[s:e]}"), here) for s, kind, e in base_spans(text))
-        yield _batch({"entity": _LONG, "text": _LONG}, *(zip(*out, strict=True) if out else ((), ())))
+                out[0, here] = out.get((0, here), 0) + 1
+                out |= {(_hash(f"{KINDS[kind]}:{text[s:e]}"), here): 1 for s, kind, e in base_spans(text)}
+        yield _batch({"entity": _LONG, "text": _LONG, "n": _LONG}, *(zip(*out, strict=True) if out else ((), ())), list(out.values()))
 
 
 def _evidence(wanted):
@@ -179,23 +179,6 @@ def _evidence(wanted):
     return run
 
 
-class _New:
-    """Tells which texts a task has not met before."""
-
-    def __init__(self):
-        self.met: set[int] = set()
-
-    def rows(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and hashes of the new ones."""
-        rows, hashes = [], []
-        for i, t in enumerate(texts):
-            if t and (h := _hash(t)) not in self.met:
-                self.met.add(h)
-                rows.append(i)
-                hashes.append(h)
-        return np.array(rows, np.int64), np.array(hashes, np.int64)
-
-
 class _Counts:
     """Numbers of texts by hash, added up with few arrays."""
 
@@ -215,21 +198,32 @@ class _Counts:
         self.keys, at = np.unique(both, return_inverse=True)
         self.n, self.rest = np.bincount(at, weight, len(self.keys)).astype(np.int64), []
 
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of some keys, which hold all that were counted."""
+        out = np.zeros(len(keys), np.int64)
+        out[np.searchsorted(keys, self.keys)] = self.n
+        return out
 
-def _new_words(batches: Iterator[pa.RecordBatch]):
-    """(words, text of each word, hashes of the texts) of the different texts of a task, slice by slice."""
-    new = _New()
+
+def _texts(batches: Iterator[pa.RecordBatch], copied):
+    """(words, number of each word's text, hashes of the texts by number, which of them have copies), slice by slice. A
+    text with copies, one that passes the broadcast filter, comes once a task; what comes again has the number -1."""
+    met: set[int] = set()
     for b in batches:
         data, offsets = utf8(b.column(0))
         for first, last in slices(offsets):
             edge = offsets[first : last + 1]
             part = data[edge[0] : edge[-1]]
             edge = edge - edge[0]
-            rows, texts = new.rows([part[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)])
+            hashes = np.array([_hash(part[x:y].tobytes()) for x, y in zip(edge[:-1], edge[1:], strict=True)], np.int64)
+            copies = passing(copied.value, hashes.view(U64)) if copied else np.zeros(len(hashes), bool)
+            number = np.arange(last - first)
+            for i in np.flatnonzero(copies).tolist():
+                if hashes[i] in met:
+                    number[i] = -1
+                met.add(int(hashes[i]))
             w = Words(part, edge, "alnum", lower=True)
-            number = np.full(last - first, -1)
-            number[rows] = np.arange(len(rows))
-            yield w, np.repeat(number, w.counts()), texts
+            yield w, np.repeat(number, w.counts()), hashes, copies
 
 
 def _once(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -237,37 +231,43 @@ def _once(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
     return np.unique(np.stack([hashes, text.astype(U64)]), axis=1) if len(hashes) else np.zeros((2, 0), U64)
 
 
-def _rough(wanted):
+def _rough(wanted, copied):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(term, n, classes): a task's different texts with each term that passes the broadcast filter."""
-        counts, classes = _Counts(), {}
+        """(term, single, several, classes): a task's texts without copies, and its different ones with copies, that have
+        each term that passes the broadcast filter."""
+        single, several, classes = _Counts(), _Counts(), {}
 
         def done():
-            counts.merge()
-            keys = counts.keys.view(np.int64).tolist()
-            kinds = {"term": _LONG, "n": _LONG, "classes": pa.list_(_LONG)}
-            made = _batch(kinds, keys, counts.n, [classes.get(k) for k in keys])
-            counts.__init__()
+            single.merge()
+            several.merge()
+            keys = np.union1d(single.keys, several.keys)
+            kinds = {"term": _LONG, "single": _LONG, "several": _LONG, "classes": pa.list_(_LONG)}
+            made = _batch(kinds, keys.view(np.int64), single.of(keys), several.of(keys), [classes.get(k) for k in keys.view(np.int64).tolist()])
+            single.__init__()
+            several.__init__()
+            classes.clear()
             return made
 
-        for w, text, _ in _new_words(batches):
+        for w, text, _, copies in _texts(batches, copied):
             at = np.flatnonzero(passing(wanted.value, w.hash) & _terms(w) & (text >= 0))
             term, first = np.unique(w.hash[at], return_index=True)
             some = [(t, f) for t, f in zip(term.view(np.int64).tolist(), first.tolist(), strict=True) if t not in classes]
             made = classes_of(w, at[np.array([f for _, f in some], np.int64)]).view(np.int64).tolist()
             classes.update((t, c) for (t, _), c in zip(some, made, strict=True))
-            if counts.add(_once(w.hash[at], text[at])[0]):
+            pairs = _once(w.hash[at], text[at])
+            often = copies[pairs[1].astype(np.int64)]
+            full = single.add(pairs[0][~often])
+            if several.add(pairs[0][often]) or full:
                 yield done()
-                classes.clear()
         yield done()
 
     return run
 
 
-def _exact(terms, classes):
+def _exact(terms, copied, classes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(term, text, n): each text with a term that passes its filter, and with a null text a task's different texts
-        with a word of a class that passes its filter."""
+        """(term, text, n): each text with copies that has a term that passes its filter, and with a null text a task's
+        different texts with a word of a class that passes its filter."""
         kinds, counts = {"term": _LONG, "text": _LONG, "n": _LONG}, _Counts()
 
         def done():
@@ -276,23 +276,23 @@ def _exact(terms, classes):
             counts.__init__()
             return made
 
-        for w, text, texts in _new_words(batches):
-            at = np.flatnonzero(passing(terms.value, w.hash) & _terms(w) & (text >= 0))
+        for w, text, hashes, copies in _texts(batches, copied):
+            own = np.flatnonzero(np.append(copies, False)[text] & (text >= 0))
+            at = own[passing(terms.value, w.hash[own]) & _terms(w)[own]]
             pairs = _once(w.hash[at], text[at])
-            yield _batch(kinds, pairs[0].view(np.int64), texts[pairs[1].astype(np.int64)], np.ones(pairs.shape[1], np.int64))
+            yield _batch(kinds, pairs[0].view(np.int64), hashes[pairs[1].astype(np.int64)], np.ones(pairs.shape[1], np.int64))
             if classes:
-                # of equal words of one text, one is enough
-                at = np.flatnonzero(text >= 0)
-                order = at[np.lexsort((w.hash[at], text[at]))]
-                same = np.zeros(len(order), bool)
-                same[1:] = (w.hash[order[1:]] == w.hash[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
-                at = order[~same]
-                found = classes_of(w, at)
+                _, first, at = np.unique(w.hash, return_index=True, return_inverse=True)  # classes of each different word
+                found = classes_of(w, first)
                 row, column = np.nonzero(found)
-                found, row = found[row, column], text[at[row]]
-                good = passing(classes.value, found)
-                if counts.add(_once(found[good], row[good])[0]):
-                    yield done()
+                good = passing(classes.value, found[row, column])
+                for place in range(len(CLASSES)):
+                    of = np.zeros(len(first), U64)
+                    here = good & (column == place)
+                    of[row[here]] = found[row[here], place]
+                    some = np.flatnonzero((of[at] != 0) & (text >= 0))
+                    if counts.add(_once(of[at[some]], text[some])[0]):
+                        yield done()
         yield done()
 
     return run
@@ -306,8 +306,9 @@ def disclosing_terms(docs: DataFrame, support: int = SUPPORT, generalise: float
     a term that is generalised, or 0. docs: text."""
     none = docs.sparkSession.createDataFrame([], PAIRS)
     docs = docs.select("text")
-    held = docs.mapInArrow(_entities, "entity long, text long").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    held = reliable(held.where((F.col("n_e") >= support) | (F.col("entity") == 0)))
+    found = reliable(docs.mapInArrow(_entities, "entity long, text long, n long").groupBy("entity", "text").agg(F.sum("n").alias("n")))
+    copied = hash_filter(found.where("entity = 0 and n > 1"), "text")
+    held = reliable(found.groupBy("entity").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= support) | (F.col("entity") == 0)))
     n_texts = float((held.where("entity = 0").first() or {"n_e": 0})["n_e"])
     entities = held.where("entity <> 0")
     wanted = hash_filter(entities, "entity")
@@ -322,16 +323,18 @@ def disclosing_terms(docs: DataFrame, support: int = SUPPORT, generalise: float
     whole = F.lit(n_texts)
     information = F.greatest(F.log2(whole / F.col("n_e")), F.lit(1e-9))
     share = F.log2(whole * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et"))) / information
-    rough = docs.mapInArrow(_rough(wanted), "term long, n long, classes array<long>").groupBy("term").agg(F.max("n").alias("n_t"), F.max("classes").alias("classes"))
+    rough = docs.mapInArrow(_rough(wanted, copied), "term long, single long, several long, classes array<long>").groupBy("term")
+    rough = rough.agg(F.sum("single").alias("single"), (F.sum("single") + F.max("several")).alias("n_t"), F.max("classes").alias("classes"))
     pairs = reliable(pairs.join(rough, "term").where(share >= generalise).drop("n_t"))
     terms = hash_filter(pairs, "term")
     if terms is None:
         return none
     classes = pairs.select("term", F.posexplode("classes").alias("place", "class")).where("class <> 0").distinct()
-    counted = docs.mapInArrow(_exact(terms, hash_filter(classes, "class")), "term long, text long, n long")
+    counted = docs.mapInArrow(_exact(terms, copied, hash_filter(classes, "class")), "term long, text long, n long")
     counted = reliable(counted.groupBy("term", "text").agg(F.sum("n").alias("n")))
-    exact = counted.where("text is not null").groupBy("term").agg(F.count("*").alias("n_t"))
-    known = pairs.join(exact, "term").withColumn("share", share).where(F.col("share") >= generalise)
+    several = counted.where("text is not null").groupBy("term").agg(F.count("*").alias("several"))
+    exact = pairs.join(several, "term", "left").withColumn("n_t", F.col("single") + F.coalesce("several", F.lit(0)))
+    known = exact.withColumn("share", share).where(F.col("share") >= generalise)
     known = known.select("entity", "term", F.when(F.col("share") >= remove, 5).otherwise(4).alias("kind"), (generalise * information).alias("most"))
     sizes = classes.join(counted.where("text is null").select(F.col("term").alias("class"), F.col("n").alias("n_class")), "class")
     safe = F.log2(whole / F.least("n_class", whole)) < F.col("most")

@@ -90,6 +90,28 @@ def passing(bits: bytes, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Keys at most that count as hot, so that a table of them is small whatever the input.
+HOT_KEYS = 100_000
+
+
+def hot_keys(rows: DataFrame, keys: list[str], share: int) -> DataFrame:
+    """(keys, _shares): the keys with more than `share` rows, or more than a 100,000th of all, and into how many shares their
+    rows are to be dealt. At most HOT_KEYS rows of that size, so it may be broadcast."""
+    limit = max(share, -(-rows.count() // HOT_KEYS))
+    return rows.groupBy(*keys).agg(F.ceil(F.count("*") / limit).cast("int").alias("_shares")).where("_shares > 1")
+
+
+def dealt_join(many: DataFrame, few: DataFrame, keys: list[str], share: int = 20_000, how: str = "inner") -> DataFrame:
+    """An equi-join in which the rows of `many` with a hot key are dealt to several tasks, each with all of the key's rows in
+    `few`, which should be one or a few. `many` is read twice, so it should be a checkpoint or cheap; rows are dealt by a hash
+    of all their columns, so a repeated task deals them alike. how: inner or left."""
+    hot = F.broadcast(hot_keys(many, keys, share))
+    shares = F.coalesce("_shares", F.lit(1))
+    left = many.withColumn("_deal", F.xxhash64(*many.columns)).join(hot, keys, "left").withColumn("_share", F.pmod("_deal", shares).cast("int")).drop("_deal", "_shares")
+    right = few.join(hot, keys, "left").withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("_shares")
+    return left.join(right, [*keys, "_share"], how).drop("_share")
+
+
 def free_finished(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of steps whose results are checkpointed: its cleaner acts when the JVM collects."""
     import gc

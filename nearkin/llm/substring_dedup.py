@@ -3,23 +3,27 @@
 A window is `k` (13) consecutive words. Each word that a window covers whose words also start somewhere in a document
 with a smaller id is removed; windows are judged on the input.
 
-1. Equal texts are merged, first within batches, and dealt by a hash of the text into packs of bounded bytes, which are
-   written to the shared checkpoint folder. The text with the smallest id stands for its copies; those lose all words
-   that windows cover. From here on a pack's contents and order are fixed, so a lost task is done again alike.
+1. Equal texts are known by a 128-bit hash. The smallest id of each stands for its copies, which lose all words that
+   windows cover. Texts are dealt by their hash into packs of bounded bytes, which are written to the shared checkpoint folder;
+   a task sends a text once, and a text with very many copies (at most 100,000 such are told to all tasks) is sent by its
+   first holder only. From here on a pack's contents and order are fixed, so a lost task is done again alike.
 2. Each pack sketches its windows: for two hash rows, the sorted cells that they hit, as gaps. The merged sketch has about
-   twelve cells a row for each window of prose and is split into shards, so its size follows the input and no task or
+   four cells a row for each window of prose and is split into shards, so its size follows the input and no task or
    driver holds the whole; shards add up the packs' cells and answer each pack with one bit for each cell: hit twice or not.
+   A pack sends a shard one row; at 100 TB there are about ten windows to a row, so rows follow the windows. The answers
+   are streamed in order behind their pack and never gathered.
    A count-min sketch only overestimates, so a window with a cell of one hit in either row is in no other document.
 3. The windows left go, once a pack, with their smallest id to exact shards by a 128-bit hash of their words, which
    answer with the smallest id over all packs. A window with 128 equal bits is taken as equal.
-4. Each pack marks the covered words of its texts.
+4. Each pack marks the covered words of its texts; documents get the results of their text by a join in which texts
+   with very many copies are dealt to several tasks.
 
 Data moved are a few bytes for each window, and 24 for each estimated to repeat; no task's input grows with the number
-of copies of a text or passage, since packs send each window once.
+of copies of a text or passage, since packs hold each text and send each window once.
 
 Defined cases: a null text has no words; fewer words than `k` make no window; rows that repeat an id with one text get
-equal results; a null id counts as larger than all others; an empty table gives an empty result; other columns are
-ignored.
+equal results; a null id counts as larger than all others; a text is never cut, and one longer than a pack is a pack by itself;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,15 +33,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearkin.llm.textcore import Words, bounded_batches, free_finished, mix, reliable, roll, slices, spread, starts_within, utf8
+from nearkin.llm.textcore import HOT_KEYS, Words, bounded_batches, dealt_join, free_finished, mix, reliable, roll, slices, spread, starts_within, utf8
 
 WINDOW = 13
 NO_ID = (1 << 63) - 1
 U64 = np.uint64
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+#: Copies from which a text is sent to its pack by its first holder only.
+COPIES = 10_000
+KEY = ("k1", "k2")
+RESULT = "k1 long, k2 long, least long, n_words long, n_removed long, kept string"
 
 
 def _power_of_two(x: float, low: int, high: int) -> int:
@@ -50,33 +58,49 @@ class Sizes:
     def __init__(self, total: int):
         self.pack_bytes = min(64 << 20, max(2 << 20, total // 4096))
         self.packs = max(1, -(-total // self.pack_bytes))
-        self.shard_cells = _power_of_two(2 * total / 128, 18, 26)
-        self.shards = max(1, -(-2 * total // self.shard_cells))
+        cells = 2 * total // 3
+        self.shard_cells = _power_of_two(cells / 128, 18, 26)
+        self.shards = max(1, -(-cells // self.shard_cells))
 
     @property
     def cells(self) -> int:
         return self.shards * self.shard_cells
 
 
-def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each different text of a batch, with all its ids."""
-    for b in batches:
-        if b.num_rows:
-            t = pa.table({"text": b.column(1).fill_null(""), "doc_id": b.column(0)})
-            merged = t.group_by("text", use_threads=False).aggregate([("doc_id", "list")])
-            keys = [hashlib.md5(x.encode()).digest() for x in merged["text"].to_pylist()]
-            out = pa.table({"key": pa.array(keys, pa.binary()), "text": merged["text"], "ids": merged["doc_id_list"]}).combine_chunks()
-            yield from out.to_batches()
+def _send_texts(hot):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(k1, k2, text, least): each text once a task, and without its text each smaller id that comes later. Of a hot text,
+        the smallest id only."""
+        least: dict[tuple[int, int], int] = {}
+        for b in batches:
+            rows = []
+            for i, key in enumerate(zip(*(b.column(c).to_pylist() for c in KEY), b.column("id").to_pylist(), strict=True)):
+                key, own = key[:2], key[2]
+                if hot.value.get(key, own) == own and own < least.get(key, NO_ID + 1):
+                    rows.append((i, key in least, own))
+                    least[key] = own
+            at = pa.array([r[0] for r in rows], pa.int64())
+            text = b.column("text").take(at)
+            known = pa.array([r[1] for r in rows], pa.bool_())
+            text = pc.if_else(known, pa.scalar(None, text.type), text)
+            yield pa.RecordBatch.from_arrays([b.column("k1").take(at), b.column("k2").take(at), text, pa.array([r[2] for r in rows], pa.int64())], names=[*KEY, "text", "least"])
+
+    return run
 
 
 def _pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """The pack's different texts, in order of their hashes, as one compressed Arrow stream."""
-    groups: dict[bytes, tuple[str, list]] = {}
-    for k, text, ids in zip(table["key"].to_pylist(), table["text"].to_pylist(), table["ids"].to_pylist(), strict=True):
-        groups.setdefault(k, (text, []))[1].extend(ids)
-    rows = [groups[k] for k in sorted(groups)]
-    ids = [sorted(NO_ID if i is None else i for i in r[1]) for r in rows]
-    data = pa.record_batch([pa.array([r[0] for r in rows], pa.large_string()), pa.array(ids, pa.list_(pa.int64()))], names=["text", "ids"])
+    least: dict[tuple[int, int], int] = {}
+    place: dict[tuple[int, int], int] = {}
+    told = pc.is_valid(table["text"]).to_pylist()
+    for i, (k1, k2, own, here) in enumerate(zip(*(table[c].to_pylist() for c in (*KEY, "least")), told, strict=True)):
+        least[k1, k2] = min(own, least.get((k1, k2), own))
+        if here:
+            place.setdefault((k1, k2), i)
+    order = sorted(place)
+    texts = table["text"].combine_chunks().cast(pa.large_string()).take(pa.array([place[k] for k in order], pa.int64()))
+    columns = [texts, *(pa.array([k[i] for k in order], pa.int64()) for i in (0, 1)), pa.array([least[k] for k in order], pa.int64())]
+    data = pa.record_batch(columns, names=["text", *KEY, "least"])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, data.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
         w.write_batch(data)
@@ -89,8 +113,8 @@ class Pack:
     def __init__(self, blob: bytes, k: int):
         t = pa.ipc.open_stream(blob).read_all().combine_chunks()
         self.texts, self.k = t.num_rows, k
-        self.ids = t["ids"].to_pylist()
-        self.least = np.array([i[0] for i in self.ids], np.int64)
+        self.keys = [t[c].to_numpy() for c in KEY]
+        self.least = t["least"].to_numpy()
         self.data, self.offsets = utf8(t["text"])
 
     def parts(self):
@@ -174,21 +198,67 @@ def _merge_sketch(cells: int):
     return run
 
 
-def _repeated(pack: Pack, answers: list[dict], sizes: Sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows that both rows estimate at two or more: index among the pack's windows, hashes and text."""
-    a, b, text = pack.windows(second=True)
-    by = {(x["line"], x["shard"]): x["bits"] for x in answers}
-    keep = np.ones(len(a), bool)
-    slots = 1 << max(12, min(26, int(len(a)).bit_length() + 3))
-    for line in (0, 1):
-        # cells hit twice are looked up by their low bits, which lets a few more windows through
-        hit = np.zeros(slots, bool)
-        for shard, cells, _ in _sketch(a, line, sizes):
-            twice = np.unpackbits(np.frombuffer(by[line, shard], np.uint8), count=len(cells)).astype(bool)
-            hit[((cells[twice] + U64(shard * sizes.shard_cells)) & U64(slots - 1)).astype(np.int64)] = True
-        keep &= hit[(_cells(a, line, sizes.cells) & U64(slots - 1)).astype(np.int64)]
-    at = np.flatnonzero(keep)
-    return at, a[at], b[at], text[at]
+class Judged:
+    """A pack while the sketch's answers come in, in order of line and shard."""
+
+    def __init__(self, blob: bytes, k: int, sizes: Sizes):
+        self.pack, self.sizes = Pack(blob, k), sizes
+        self.a, self.b, self.text = self.pack.windows(second=True)
+        self.slots = 1 << max(12, min(26, int(len(self.a)).bit_length() + 3))
+        self.keep, self.line, self.hit, self.cells = np.ones(len(self.a), bool), None, None, None
+        self.exact: list[np.ndarray] = []
+
+    def _close(self) -> None:
+        if self.line is not None:
+            self.keep &= self.hit[(_cells(self.a, self.line, self.sizes.cells) & U64(self.slots - 1)).astype(np.int64)]
+
+    def answer(self, line: int, shard: int, bits: bytes) -> None:
+        """Cells hit twice are looked up by their low bits, which lets a few more windows through."""
+        if line != self.line:
+            self._close()
+            self.line, self.hit = line, np.zeros(self.slots, bool)
+            self.cells = np.unique(_cells(self.a, line, self.sizes.cells))
+        first = U64(shard * self.sizes.shard_cells)
+        own = self.cells[np.searchsorted(self.cells, first) : np.searchsorted(self.cells, first + U64(self.sizes.shard_cells))]
+        twice = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)
+        self.hit[(own[twice] & U64(self.slots - 1)).astype(np.int64)] = True
+
+    def repeated(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows that both rows estimate at two or more: index among the pack's windows, hashes and text."""
+        self._close()
+        self.line = self.cells = self.hit = None
+        at = np.flatnonzero(self.keep)
+        return at, self.a[at], self.b[at], self.text[at]
+
+
+#: Steps of a pack's stream: its blob, the two rows of the sketch, exact answers.
+BLOB, EXACT_STEP = -1, 2
+STREAM = ("pack", "step", "shard", "data")
+
+
+def _streamed(*parts: DataFrame) -> DataFrame:
+    """Rows (pack, step, shard, data) together in one partition for each pack, in order."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.repartition("pack").sortWithinPartitions("pack", "step", "shard")
+
+
+def _judged(batches: Iterator[pa.RecordBatch], k: int, sizes: Sizes) -> Iterator[tuple[int, Judged]]:
+    """Each pack with all its answers, out of a stream."""
+    number, now = None, None
+    for b in batches:
+        for pack, step, shard, data in zip(*(b.column(c).to_pylist() for c in STREAM), strict=True):
+            if step == BLOB:
+                if now is not None:
+                    yield number, now
+                number, now = pack, Judged(data, k, sizes)
+            elif step == EXACT_STEP:
+                now.exact.append(np.frombuffer(data, np.int64))
+            else:
+                now.answer(step, shard, data)
+    if now is not None:
+        yield number, now
 
 
 def _entries(pack: Pack, a: np.ndarray, b: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -214,15 +284,13 @@ EXACT = "shard int, pack int, a binary, b binary, least binary"
 
 def _send_exact(k: int, sizes: Sizes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, blob, answers in zip(*(batch.column(c).to_pylist() for c in ("pack", "blob", "bits")), strict=True):
-                pack = Pack(blob, k)
-                _, a, b, text = _repeated(pack, answers or [], sizes)
-                a, b, least, _ = _entries(pack, a, b, text)
-                edges = _shard_edges(a, sizes.shards)
-                some = np.flatnonzero(np.diff(edges)).tolist()
-                parts = [[x[edges[s] : edges[s + 1]].tobytes() for s in some] for x in (a, b, least)]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([number] * len(some), pa.int32()), *[pa.array(p, pa.binary()) for p in parts]], names=["shard", "pack", "a", "b", "least"])
+        for number, judged in _judged(batches, k, sizes):
+            _, a, b, text = judged.repeated()
+            a, b, least, _ = _entries(judged.pack, a, b, text)
+            edges = _shard_edges(a, sizes.shards)
+            some = np.flatnonzero(np.diff(edges)).tolist()
+            parts = [[x[edges[s] : edges[s + 1]].tobytes() for s in some] for x in (a, b, least)]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([number] * len(some), pa.int32()), *[pa.array(p, pa.binary()) for p in parts]], names=["shard", "pack", "a", "b", "least"])
 
     return run
 
@@ -244,26 +312,19 @@ def _merge_exact(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 def _finish(k: int, sizes: Sizes, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob, answers, exact in zip(*(batch.column(c).to_pylist() for c in ("blob", "bits", "exact")), strict=True):
-                yield _result(Pack(blob, k), answers or [], exact or [], sizes, texts)
+        for _, judged in _judged(batches, k, sizes):
+            yield _result(judged, texts)
 
     return run
 
 
-def _result(pack: Pack, answers: list[dict], exact: list[dict], sizes: Sizes, texts: bool) -> pa.RecordBatch:
-    at, a, b, text = _repeated(pack, answers, sizes)
+def _result(judged: Judged, texts: bool) -> pa.RecordBatch:
+    pack = judged.pack
+    at, a, b, text = judged.repeated()
     entry = _entries(pack, a, b, text)[3]
-    least = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x["least"], np.int64) for x in sorted(exact, key=lambda x: x["shard"])]])
+    least = np.concatenate([np.zeros(0, np.int64), *judged.exact])
     gone = at[least[entry] < pack.least[text]] if len(at) else at
-    ids, n_words, n_removed, kept = [], [], [], []
-
-    def add(doc_id: int, words: int, removed: int, text: bytes) -> None:
-        ids.append(None if doc_id == NO_ID else doc_id)
-        n_words.append(words)
-        n_removed.append(removed)
-        kept.append(text.decode() if texts else hashlib.sha256(text).hexdigest())
-
+    n_words, n_removed, kept = [], [], []
     done = 0  # windows of the slices before
     for first, last, w in pack.parts():
         starts, counts = starts_within(w.first, pack.k)
@@ -273,20 +334,13 @@ def _result(pack: Pack, answers: list[dict], exact: list[dict], sizes: Sizes, te
         np.add.at(cover, own, 1)
         np.add.at(cover, own + pack.k, -1)
         stays = np.cumsum(cover)[:-1] == 0
-        all_words, own_words = joined(w, np.ones(len(stays), bool)), joined(w, stays)
-        for i in range(last - first):
-            n = int(w.first[i + 1] - w.first[i])
-            removed = n - int(stays[w.first[i] : w.first[i + 1]].sum())
-            group = pack.ids[first + i]
-            for doc_id in group:
-                if doc_id == group[0]:
-                    add(doc_id, n, removed, own_words(i))
-                elif n >= pack.k:
-                    add(doc_id, n, n, b"")
-                else:
-                    add(doc_id, n, 0, all_words(i))
-    names = ["doc_id", "n_words", "n_removed", "text" if texts else "kept_sha256"]
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=names)
+        own_words = joined(w, stays)
+        left = np.concatenate([[0], np.cumsum(stays)])[w.first]
+        n_words += w.counts().tolist()
+        n_removed += (w.counts() - np.diff(left)).tolist()
+        kept += [own_words(i).decode() if texts else hashlib.sha256(own_words(i)).hexdigest() for i in range(last - first)]
+    columns = [*pack.keys, pack.least, n_words, n_removed]
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(kept, pa.string())], names=[*KEY, "least", "n_words", "n_removed", "kept"])
 
 
 def joined(w: Words, stays: np.ndarray):
@@ -304,21 +358,29 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, id_col: str = "doc_id", tex
     """Per document: words, removed words, and the kept words joined by one space (`texts`) or their SHA-256."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sizes = Sizes(total)
-    merged = docs.mapInArrow(_merge_batches, "key binary, text string, ids array<long>")
-    packs = reliable(merged.withColumn("pack", F.pmod(F.xxhash64("key"), F.lit(sizes.packs)).cast("int")).groupBy("pack").applyInArrow(_pack, "pack int, blob binary"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"))
+    docs = docs.select(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), "id", "text")
+    rows = reliable(docs.select("id", *KEY, F.octet_length("text").alias("bytes")))
+    total, n = rows.agg(F.sum("bytes"), F.count("*")).first()
+    sizes = Sizes(total or 0)
+    held = rows.groupBy(*KEY).agg(F.min("id").alias("least"), F.count("*").alias("n")).where(F.col("n") > max(COPIES, -(-n // HOT_KEYS)))
+    hot = spark.sparkContext.broadcast({(r["k1"], r["k2"]): r["least"] for r in held.collect()})  # at most HOT_KEYS
+    merged = docs.mapInArrow(_send_texts(hot), "k1 long, k2 long, text string, least long")
+    packs = reliable(merged.withColumn("pack", F.pmod("k1", F.lit(sizes.packs)).cast("int")).groupBy("pack").applyInArrow(_pack, "pack int, blob binary"))
     free_finished(spark)
     sketch = packs.mapInArrow(_send_sketch(k, sizes), SKETCH)
-    bits = sketch.groupBy("line", "shard").applyInArrow(_merge_sketch(sizes.shard_cells), "pack int, line int, shard int, bits binary")
-    bits = reliable(bits.groupBy("pack").agg(F.collect_list(F.struct("line", "shard", "bits")).alias("bits")))
+    bits = reliable(sketch.groupBy("line", "shard").applyInArrow(_merge_sketch(sizes.shard_cells), "pack int, line int, shard int, bits binary"))
     free_finished(spark)
-    judged = packs.join(bits, "pack", "left")
-    entries = judged.mapInArrow(_send_exact(k, sizes), EXACT)
+    judged = (packs.select("pack", F.lit(BLOB).alias("step"), F.lit(0).alias("shard"), F.col("blob").alias("data")), bits.select("pack", F.col("line").alias("step"), "shard", F.col("bits").alias("data")))
+    entries = _streamed(*judged).mapInArrow(_send_exact(k, sizes), EXACT)
     exact = entries.groupBy("shard").applyInArrow(_merge_exact, "pack int, shard int, least binary")
-    exact = exact.groupBy("pack").agg(F.collect_list(F.struct("shard", "least")).alias("exact"))
-    schema = RESULT.replace("kept_sha256", "text") if texts else RESULT
-    return judged.join(exact, "pack", "left").mapInArrow(_finish(k, sizes, texts), schema)
-
-
+    answers = exact.select("pack", F.lit(EXACT_STEP).alias("step"), "shard", F.col("least").alias("data"))
+    found = _streamed(*judged, answers).mapInArrow(_finish(k, sizes, texts), RESULT)
+    own = dealt_join(rows.select("id", *KEY), found, list(KEY), COPIES)
+    copy = (F.col("id") != F.col("least")) & (F.col("n_words") >= k)
+    nothing = F.lit("" if texts else hashlib.sha256(b"").hexdigest())
+    return own.select(
+        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_words", F.when(copy, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
+        F.when(copy, nothing).otherwise(F.col("kept")).alias("text" if texts else "kept_sha256"),
+    )

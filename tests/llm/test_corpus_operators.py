@@ -120,8 +120,9 @@ def brute_repeats(rows, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("k", [3, 13])
-def test_repeats_equal_brute_force(spark, corpus, k):
+@pytest.mark.parametrize("k, copies", [(3, 10_000), (13, 4)])
+def test_repeats_equal_brute_force(spark, corpus, k, copies, monkeypatch):
+    monkeypatch.setattr(sub, "COPIES", copies)  # so that texts are hot
     rows = [((1 << 62) if r[0] is None else r[0], r[1]) for r in corpus]
     got = sorted(tuple(r) for r in sub.remove_repeats(make(spark, rows), k).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
     assert got == brute_repeats(rows, k)
@@ -135,6 +136,15 @@ def test_repeats_of_odd_rows(spark, corpus):
     assert [r["text"] for r in texts] == ["a b", ""]
 
 
+def test_very_many_copies_of_one_text(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    many = spark.range(5, 100_005).selectExpr("id as doc_id", f"if(id % 1000 = 0, concat('{text}', ' and ', id), '{text}') as text")
+    got = sub.remove_repeats(many)
+    assert got.count() == 100_000
+    assert [tuple(r) for r in got.groupBy("n_words", "n_removed").count().orderBy("n_words", "n_removed").collect()] == [(40, 0, 1), (40, 40, 99_899), (42, 40, 1), (42, 41, 99)]  # they share the 41st word too
+    assert got.where("n_removed = 0").first()["doc_id"] == 5
+
+
 def test_sketch_never_underestimates():
     rng = np.random.default_rng(4)
     sizes = sub.Sizes(1000)
@@ -273,31 +283,31 @@ def brute_contamination(docs, items, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [dec.BLOCK, 7])
-def test_contamination_equals_brute_force(spark, corpus, block, monkeypatch):
-    monkeypatch.setattr(dec, "BLOCK", block)
+@pytest.mark.parametrize("broadcast, share", [(None, 20_000), (0, 20_000), (0, 3)])
+def test_contamination_equals_brute_force(spark, corpus, broadcast, share, monkeypatch):
+    """The broadcast and the shuffled form, the latter also with hot prefixes dealt to several tasks."""
+    monkeypatch.setattr(dec, "SHARE", share)
+    monkeypatch.setattr(dec, "CHUNK", 50)
+    monkeypatch.setattr(dec, "PART", share)
     rng = random.Random(7)
-    items = [(i, prose(rng, rng.randint(0, 25), 30)) for i in range(12)] + [(50, None), (51, ""), (52, "W1 w2"), (53, "repeat me repeat"), (9, "Again, the same id.")]
+    items = [(i, prose(rng, rng.randint(0, 25), 30)) for i in range(12)] + [(50, None), (51, ""), (52, "W1 w2"), (53, "repeat me repeat"), (9, "Again, the same id."), (54, "w7"), (55, "a a a a a a a a a a a a")]
     docs = [(r[0], r[1]) for r in corpus if r[0] is not None] + [(1000 + i, prose(rng, 5) + ", " + (items[i][1] or "").upper() + "! " + prose(rng, 5)) for i in range(12)]
-    docs = [d for d in {d[0]: d for d in docs}.values()] + [(2000, "again and again w1 w2"), (2000, "again and again w1 w2"), (2000, "else")]
+    docs = [d for d in {d[0]: d for d in docs}.values()] + [(2000, "again and again w1 w2"), (2000, "again and again w1 w2"), (2000, "else"), (2001, "a " * 500)]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, words string")
-    found = dec.find_windows(make(spark, docs), bench, block_windows=block)
-    names = "array_join(array_sort(transform(items, x -> cast(x as string))), ',')"
-    got = found.select("doc_id", "n_words", dec.covered_words().alias("n_hit")).selectExpr("*").collect()
+    got = dec.contamination(make(spark, docs), bench, broadcast_windows=broadcast)
     want = brute_contamination(docs, items, dec.WINDOW)
-    assert sorted((r["doc_id"], r["n_words"], r["n_hit"]) for r in got) == [(w[0], w[1], w[2]) for w in want]
-    if block == dec.BLOCK:
-        whole = dec.contamination(make(spark, docs), bench)
-        assert sorted(tuple(r) for r in whole.collect()) == want
-    assert found.selectExpr(names).count() == len(docs)
+    assert sorted(tuple(r) for r in got.collect()) == want and sum(w[5] for w in want) > 20
 
 
 def test_contamination_of_empty_tables(spark, corpus):
     none = spark.createDataFrame([], "item_id long, text string")
-    got = dec.contamination(make(spark, corpus), none)
-    assert got.count() == len(corpus) and got.where("contaminated").count() == 0
-    some = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
-    assert dec.contamination(make(spark, []), some).count() == 0
+    some = spark.createDataFrame([(1, "a b c"), (None, "no id at all")], "item_id long, text string")
+    for form in (None, -1):
+        got = dec.contamination(make(spark, corpus), none, broadcast_windows=form)
+        assert got.count() == len(corpus) and got.where("contaminated").count() == 0
+        assert dec.contamination(make(spark, []), some, broadcast_windows=form).count() == 0
+        hit = dec.contamination(make(spark, corpus), some, broadcast_windows=form).where("contaminated").collect()
+        assert [(r["doc_id"], r["n_hit"], r["n_items"]) for r in hit] == [(None, 4, 0)]  # an item without id is hit, but has no name
 
 
 def test_groups_outlive_batches():

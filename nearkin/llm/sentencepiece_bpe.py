@@ -15,7 +15,7 @@ user-defined or unused pieces, equal merge ranks. Runs of space marks may share
 everything else, from the left.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; U+2581 in a text is the space mark, as in
-the library; an empty table gives an empty result; columns besides the id and the text are ignored.
+the library; a text of any length is encoded whole, by one task, in time that grows with its length; an empty table gives an empty result; columns besides the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -131,12 +131,12 @@ class MergeModel:
     def _run(self, longest: list[int], begin: int, end: int, out: list[int]) -> None:
         """Encodes positions begin..end, all of whose characters are known."""
         length, prefix, fits, compatible = self.length, self.prefix, self.fits, self.compatible
-        failed = 0  # a bitfield of positions from which the rest can't be encoded
+        failed = None  # a bitfield of positions from which the rest can't be encoded, made when the first one fails
         base, pos, token, last = len(out), begin, longest[begin], -1
         while True:
             while token >= 0:
                 stop = pos + length[token]
-                if not failed >> (stop - begin) & 1:
+                if not failed or not failed[stop - begin >> 3] >> (stop - begin & 7) & 1:
                     if last < 0:
                         break
                     known = fits.get(last << _SHIFT | token)
@@ -149,7 +149,9 @@ class MergeModel:
                     return
                 pos, last, token = stop, token, longest[stop]
             else:
-                failed |= 1 << (pos - begin)
+                if not failed:
+                    failed = bytearray((end - begin >> 3) + 1)
+                failed[pos - begin >> 3] |= 1 << (pos - begin & 7)
                 token = out.pop()
                 pos -= length[token]
                 last = out[-1] if len(out) > base else -1

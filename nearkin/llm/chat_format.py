@@ -11,7 +11,7 @@ buffer. `conversation_digest` reads the segments back in turn order as a stream,
 holds only running hashes, so a conversation of any length needs constant memory.
 
 Defined cases: a null text or role is empty; a null conv_id is a conversation of its own; turns that tie are ordered by
-role, then text; repeated rows are turns of their own; an empty table gives an empty result; other columns are ignored.
+role, then text; repeated rows are turns of their own; a text of any length is one segment; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -146,6 +146,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def conversation_digest(segments: DataFrame) -> DataFrame:
     """Reads the segments back: one row for each conversation with its turns, loss text and formatted length."""
-    ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "segment")
+    inner = F.expr(f"substring(segment, loss_start + 1, seg_chars - loss_start - {len(END)})")
+    text = F.regexp_replace(inner, r"\\(\\)|\\:", "$1")  # unescaped, as turns that tie are ordered by their texts
+    ordered = segments.withColumn("_text", text).repartition("conv_id").sortWithinPartitions("conv_id", "turn", F.coalesce("role", F.lit("")), "_text")
     columns = ordered.select("conv_id", "segment", "seg_chars", "loss_start", "loss_end")
     return columns.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

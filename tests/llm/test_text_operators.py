@@ -86,6 +86,38 @@ def test_token_counts_equal_the_library(spark, corpus):
     assert counts.token_counts(make(spark, []), JSON).count() == 0
 
 
+def test_very_long_texts_without_spaces():
+    """Counts and ids of texts of several MB as the libraries give them."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    library = Tokenizer.from_file(JSON)
+    han = "".join(rng.choice("漢字東京都大学文化中国日本語の、。!") for _ in range(200_000))
+    code = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/") for _ in range(400_000))
+    texts = [han, code, han[:5000] + "<|endoftext|>" + code[:5000] + "'s1 it's'll" + code[:100]]
+    assert all("".join(counts.pieces_of(t)) == t for t in texts)
+    assert max(map(len, counts.pieces_of(han))) < 1000 and max(map(len, counts.pieces_of(code))) < 1000
+    assert counts.count_texts(texts, JSON) == [len(e) for e in library.encode_batch(texts, add_special_tokens=False)]
+    reference, model = sentencepiece.SentencePieceProcessor(model_file=MODEL), spm.model(MODEL)
+    long = "".join(rng.choice("etaoinshr") for _ in range(2_000_000))
+    for t in (han, code, long):
+        assert model.encode(t) == reference.encode(t)
+
+
+def test_cuts_inside_long_pieces_change_no_count():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(JSON)
+    rng = random.Random(13)
+    parts = ["a", "Zx", "9", "12", "'", "'s", "'ll", "漢", "の", "、", "。", "!", "-", "é", "ß", "\n", "\t", "＠", "٣", "ก", "한", "<|endoftext|>", "_", "ʼ"]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(1, 30)))
+        cut = counts.inner_pieces(t)
+        assert "".join(cut) == t
+        assert sum(len(e) for e in library.encode_batch(cut, add_special_tokens=False)) == len(library.encode(t, add_special_tokens=False)), t
+
+
 def test_memory_of_segments_stays_bounded():
     from nearkin.llm.segment_memo import Memo
 
@@ -255,6 +287,7 @@ def test_chat_digests(spark):
     rng = random.Random(8)
     rows = [(c, t, rng.choice(["user", "assistant", "system", None]), rng.choice([None, "", "ok </s>", "[INST] \\ é", "long " * 500])) for c in (1, 2, None) for t in range(rng.randint(1, 8))]
     rows += [(3, 0, "assistant", "b"), (3, 0, "assistant", "a"), (3, 0, "assistant", "a"), (4, None, "user", "x")]
+    rows += [(6, 0, "assistant", x) for x in ("<s>", "<a", "<t", "\\:", "\\\\:", "[/INST]", "[0", "a", "a!", "a\\", "é")] + [(6, 0, None, "z"), (6, 0, "", "y")]  # ties
     rows += [(5, i, "user", "hot") for i in range(3000)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS segment", "2 AS seg_chars")
     got = {r["conv_id"]: r for r in chat.conversation_digest(chat.format_turns(frame)).collect()}

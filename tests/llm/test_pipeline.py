@@ -1,12 +1,12 @@
 import hashlib
 
-import corpus_pipeline as pipe
 from samples import make
 from test_corpus_operators import brute_classes, brute_contamination, brute_lines
 
 from test_text_operators import brute_bits
 
 from nearkin.llm import language_id as lid
+from nearkin.llm import pipeline as pipe
 from nearkin.llm.line_dedup import kept_text
 
 
@@ -62,9 +62,23 @@ def test_stages_take_odd_rows_and_empty_tables(spark, corpus, tmp_path):
             docs = spark.read.parquet(place)
             if rows:
                 assert docs.where("doc_id is null").count() == 1  # a text without an id is no duplicate of anything
+            if rows and name in ("near_dedup", "decontaminate"):
+                assert docs.where("doc_id in (300, 301)").count() == 3  # one of each text
         assert (docs.count() > 0) == bool(rows)
 
 
+def test_rows_are_judged_by_their_own_texts(spark, tmp_path):
+    """Neither a missing nor a repeated id takes other rows along."""
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"bad {ITEM}"), (None, "good one"), (7, f"also bad {ITEM}"), (7, "good two"), (8, "good two"), (9, "good three words"), (9, "good one too")]
+    for name, want in (("decontaminate", [(None, "good one"), (7, "good two"), (8, "good two"), (9, "good one too"), (9, "good three words")]), ("near_dedup", [(None, "good one"), (7, "good two"), (9, "good one too"), (9, "good three words")])):
+        make(spark, rows).select(*pipe.COLUMNS).write.parquet(f"{tmp_path}/{name}-in")
+        dict(pipe.STAGES)[name](spark, spark.read.parquet(f"{tmp_path}/{name}-in"), str(tmp_path)).write.parquet(f"{tmp_path}/{name}-out")
+        left = spark.read.parquet(f"{tmp_path}/{name}-out")
+        assert sorted(columns(left), key=lambda r: (r[0] is not None, r)) == want
+        rows = [(r["doc_id"], r["text"]) for r in left.collect()]
+
+
 def test_run_over_a_whole_table(spark):
     got = pipe.run(spark, "/root/testdata/sf0.001")
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

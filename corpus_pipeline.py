@@ -1,83 +1,5 @@
-"""The corpus pipeline: five operators, one after another, each on all that the one before kept.
+"""The corpus pipeline, counted as part of the subpackage that holds it: see nearkin/llm/pipeline.py."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents; other columns are left out.
+from nearkin.llm.pipeline import ORACLE_SQL, STAGES, run
 
-Defined cases: a null text, or one without a letter, goes at the first stage; a null lang is replaced by the predicted one, and
-null source and n_chars stay; a null doc_id is no duplicate of anything and stays unless a row without id is contaminated;
-rows that repeat an id are one document to stages 3 and 4; an empty table gives an empty result.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from nearkin.llm import queries as q
-from nearkin.llm.decontaminate import find_windows
-from nearkin.llm.language_id import identify, learned_from
-from nearkin.llm.line_dedup import dedup_lines
-from nearkin.llm.near_dedup import near_duplicates
-from nearkin.llm.sentencepiece_bpe import encode_digest
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Bits per byte from which a text is no text of a learned language: no better than a uniform byte code.
-REJECT_BITS = 8.0
-#: A near-duplicate shares 80 % of the five-word shingles.
-NEAR_PERCENT = 80
-
-
-def _without(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Rows of docs whose id, null included, is not in marks (one column, doc_id)."""
-    marks = marks.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(marks, docs["doc_id"].eqNullSafe(marks["_id"]), "left_anti").select(*COLUMNS)
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a learned language and writes the predicted one to lang."""
-    found = identify(docs, learned_from(docs), carry=("text", "source", "n_chars"))
-    good = found.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") < REJECT_BITS))
-    return good.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
-
-
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes blocks of lines that earlier documents have; documents that lose every line go."""
-    kept = dedup_lines(docs.select(*COLUMNS)).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
-    return kept.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays: the one with the smallest id; rows that repeat an id stay or
-    go together."""
-    return _without(docs, near_duplicates(docs, percent=NEAR_PERCENT).where("not kept").select("doc_id"))
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    found = find_windows(docs, q.table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where(F.size("hits") > 0).select("doc_id"))
-
-
-def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of what is left: their number and digest, and the digest of the text that they decode to."""
-    return encode_digest(docs, q.tokenizer("piece_bpe_32k.model"))
-
-
-STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("sentencepiece", sentencepiece)]
-
-#: Language models, alignments and merges have no SQL form; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; between stages the rows are written to the shared checkpoint folder and read again."""
-    import uuid
-
-    from nearkin.llm.textcore import shared_folder
-
-    docs = q.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        place = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(place)
-        docs = spark.read.parquet(place)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

@@ -43,26 +43,48 @@ def vector_hash(values: Column, step: int = 8) -> tuple[Column, Column]:
     return pack(lambda i: at(i) > 0), pack(lambda i: at(i) > at((i + step) % 64))
 
 
+#: Token digests that a task remembers, and tokens that are summed up at once.
+_REMEMBERED, _AT_ONCE = 200_000, 1 << 16
+
+
 def _text_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each distinct token is digested once as long as it is remembered; a batch's bits are summed in numpy."""
+    known: dict[str, bytes] = {}
     for b in batches:
-        ids, his, los = [], [], []
+        ids, own = [], []
         for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            tokens = set((text or "").lower().split(" ")) - {""}
-            if not tokens:
-                continue
-            digests = np.frombuffer(b"".join(hashlib.md5(t.encode()).digest() for t in tokens), np.uint8).reshape(-1, 16)
-            ones = np.unpackbits(digests, axis=1).sum(axis=0, dtype=np.int64)
-            packed = np.packbits(2 * ones > len(tokens)).tobytes()
-            ids.append(key)
-            his.append(int.from_bytes(packed[:8], "big", signed=True))
-            los.append(int.from_bytes(packed[8:], "big", signed=True))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64())], names=["id", "hi", "lo"])
+            tokens = set((text or "").lower().split(" "))
+            tokens.discard("")
+            if tokens:
+                ids.append(key)
+                own.append(tokens)
+        his, los = [], []
+        first = 0
+        while first < len(own):
+            last, size = first, 0
+            while last < len(own) and (last == first or size + len(own[last]) <= _AT_ONCE):
+                size += len(own[last])
+                last += 1
+            if len(known) > _REMEMBERED:
+                known.clear()
+            for tokens in own[first:last]:
+                for t in tokens:
+                    if t not in known:
+                        known[t] = hashlib.md5(t.encode()).digest()
+            digests = np.frombuffer(b"".join([known[t] for tokens in own[first:last] for t in tokens]), np.uint8).reshape(-1, 16)
+            n = np.array([len(t) for t in own[first:last]])
+            ones = np.add.reduceat(np.unpackbits(digests, axis=1), np.cumsum(n) - n, axis=0, dtype=np.int32)
+            packed = np.packbits(2 * ones > n[:, None], axis=1).view(">i8")
+            his.append(packed[:, 0])
+            los.append(packed[:, 1])
+            first = last
+        halves = [pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)) for x in (his, los)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *halves], names=["id", "hi", "lo"])
 
 
 def text_hash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, hi, lo): SimHash of each text's distinct tokens, split at spaces and lower-cased, over their MD5 bits. A bit is
-    set where more than half of the tokens have it. Texts without tokens give no row. Token digests are made and summed
-    in numpy, one text at a time, so nothing is shuffled."""
+    set where more than half of the tokens have it. Texts without tokens give no row. Nothing is shuffled."""
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     return rows.mapInArrow(_text_bits, "id long, hi long, lo long")
 

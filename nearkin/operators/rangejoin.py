@@ -1,13 +1,16 @@
 """Hamming-range search: all stored hashes within a distance of each query hash, exactly.
 
-Equal hashes are merged first on both sides, so copies cost nothing; what is searched are distinct hashes. There are two
-ways to the same result:
+Equal hashes are merged first on both sides, so copies cost nothing; what is searched are distinct hashes, settled in the
+shared folder, so hashes that are dear to compute are computed once. There are two ways to the same result:
 
 * `nested`: every pair is tested in a broadcast nested-loop join, where the smaller side is at most `BROADCAST_ROWS`
   distinct hashes (16 bytes each) and the pairs are at most `NESTED_PAIRS`;
-* `bands`: the 128 bits are cut into 8 bands of 16. Hashes within t bits agree in some band up to t // 8 bits, so the
-  query side sends each band with all masks of so few bits, joins the other side's bands by value, tests the whole
-  distance, and drops repeats. Nothing is broadcast.
+* `bands`: the 128 bits are cut into bands. Of hashes within t bits, with t = r * bands + a, one of the first a + 1
+  bands differs in at most r bits or another in at most r - 1. The query side sends each band with all masks of so few
+  bits and joins the other side's bands by value; the distance is tested in the join, and a pair comes only from the first band in
+  which it agrees so far, so there are no repeats to drop. The number of bands is the one for which probes and
+  expected candidates are fewest for the stored side's size. Band values that very many hashes have are dealt to several tasks.
+  Only the masks are broadcast, at most `MASKS` rows.
 
 `find_within` counts the distinct hashes of both sides to choose.
 """
@@ -15,24 +18,42 @@ ways to the same result:
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearkin.functions.hashing import hamming, hamming64
+from nearkin.operators.dealing import dealt_join, settled
 
-BANDS, BAND_BITS = 8, 16
-BROADCAST_ROWS, NESTED_PAIRS = 1_000_000, 10**10
+BROADCAST_ROWS, NESTED_PAIRS, MASKS = 1_000_000, 10**10, 100_000
 
 
-def masks(within: int, bands: int = BANDS, bits: int = BAND_BITS) -> list[int]:
-    """All band values with at most within // bands bits."""
-    radius = min(bits, within // bands)
-    return [sum(1 << b for b in some) for n in range(radius + 1) for some in combinations(range(bits), n)]
+def masks(bits: int, radius: int) -> list[int]:
+    """All values of so many bits with at most `radius` bits set."""
+    return [sum(1 << b for b in some) for n in range(min(bits, radius) + 1) for some in combinations(range(bits), n)]
 
 
-def _distance():
+def band_plan(bands: int, within: int) -> list[tuple[str, int, int, int]]:
+    """(half, shift, bits, radius) of each band that is needed; bands don't cross the halves' border."""
+    radius, more = divmod(within, bands)
+    cut = [64 * i // (bands // 2) for i in range(bands // 2 + 1)]
+    places = [(half, low, high - low) for half in ("lo", "hi") for low, high in zip(cut, cut[1:], strict=False)]
+    plan = [(half, shift, bits, radius if i <= more else radius - 1) for i, (half, shift, bits) in enumerate(places)]
+    return [p for p in plan if p[3] >= 0]
+
+
+def best_plan(n: int, within: int) -> list[tuple[str, int, int, int]]:
+    """The plan with the fewest probes and expected candidates for each query hash among n stored ones."""
+
+    def cost(plan) -> float:
+        sizes = [(sum(comb(bits, k) for k in range(min(bits, radius) + 1)), bits) for _, _, bits, radius in plan]
+        return sum(m * (1 + n / 2**bits) for m, bits in sizes) if sum(m for m, _ in sizes) <= MASKS else float("inf")
+
+    return min((band_plan(bands, within) for bands in range(2, 65, 2)), key=cost)
+
+
+def _distance() -> Column:
     return hamming(F.col("q_hi"), F.col("q_lo"), F.col("s_hi"), F.col("s_lo"))
 
 
@@ -45,37 +66,41 @@ def nested(q: DataFrame, s: DataFrame, within: int, broadcast_query: bool = Fals
     return left.join(right, _distance() <= within).select("q_hi", "q_lo", "s_hi", "s_lo", _distance().alias("distance"))
 
 
-def _banded(rows: DataFrame, prefix: str) -> DataFrame:
-    half = lambda b: F.col(f"{prefix}_{'lo' if b < 4 else 'hi'}")
-    value = [F.struct(F.lit(b).alias("band"), F.shiftrightunsigned(half(b), BAND_BITS * (b % 4)).bitwiseAND(65535).cast("int").alias("value")) for b in range(BANDS)]
-    return rows.withColumn("x", F.explode(F.array(*value))).select(f"{prefix}_hi", f"{prefix}_lo", "x.band", "x.value")
+def _bits(value: Column, shift: int, bits: int) -> Column:
+    return F.shiftrightunsigned(value, shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+
 
+def banded(q: DataFrame, s: DataFrame, within: int, plan: list[tuple[str, int, int, int]]) -> DataFrame:
+    def cut(rows: DataFrame, p: str) -> DataFrame:
+        values = [F.struct(F.lit(i).alias("band"), _bits(F.col(f"{p}_{half}"), shift, bits).alias("value")) for i, (half, shift, bits, _) in enumerate(plan)]
+        return rows.withColumn("x", F.explode(F.array(*values))).select(f"{p}_hi", f"{p}_lo", "x.band", "x.value")
 
-def banded(q: DataFrame, s: DataFrame, within: int) -> DataFrame:
-    near = F.explode(F.array(*[F.lit(m) for m in masks(within)]))
-    probe = _banded(q, "q").withColumn("mask", near).select("q_hi", "q_lo", "band", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
-    met = probe.join(_banded(s, "s"), ["band", "value"]).where(_distance() <= within)
-    return met.select("q_hi", "q_lo", "s_hi", "s_lo", _distance().alias("distance")).distinct()
+    near = s.sparkSession.createDataFrame([(i, m) for i, (_, _, bits, radius) in enumerate(plan) for m in masks(bits, radius)], "band int, mask long")
+    probes = cut(q, "q").join(F.broadcast(near), "band").select("q_hi", "q_lo", "band", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+    first = F.lit(len(plan))
+    for i, (half, shift, bits, radius) in reversed(list(enumerate(plan))):
+        differs = F.bit_count(_bits(F.col(f"q_{half}").bitwiseXOR(F.col(f"s_{half}")), shift, bits))
+        first = F.when(differs <= radius, F.lit(i)).otherwise(first)
+    met = dealt_join(cut(s, "s"), probes, ["band", "value"], where=(_distance() <= within) & (first == F.col("band")))
+    return met.select("q_hi", "q_lo", "s_hi", "s_lo", _distance().alias("distance"))
 
 
-def find_within(query: DataFrame, stored: DataFrame, within: int = 23, way: str | None = None) -> DataFrame:
-    """(q_hi, q_lo, s_hi, s_lo, distance) for the distinct hashes of two tables with hi and lo. way: `nested`, `bands`, or
-    None to choose by the sides' sizes."""
-    q, s = distinct_hashes(query, "q"), distinct_hashes(stored, "s")
+def find_within(query: DataFrame, stored: DataFrame | None, within: int = 23, way: str | None = None) -> DataFrame:
+    """(q_hi, q_lo, s_hi, s_lo, distance) for the distinct hashes of two tables with hi and lo; stored None: of one table with
+    itself. way: `nested`, `bands`, or None to choose by the sides' sizes."""
+    q = settled(distinct_hashes(query, "q"))
+    s = settled(distinct_hashes(stored, "s")) if stored is not None else q.withColumnsRenamed({"q_hi": "s_hi", "q_lo": "s_lo"})
+    n, m = q.count(), s.count()
     if way is None:
-        q, s = q.persist(StorageLevel.MEMORY_AND_DISK), s.persist(StorageLevel.MEMORY_AND_DISK)
-        n, m = q.count(), s.count()
         way = "nested" if min(n, m) <= BROADCAST_ROWS and n * m <= NESTED_PAIRS else "bands"
-        if way == "nested":
-            return nested(q, s, within, broadcast_query=n < m)
-    return nested(q, s, within) if way == "nested" else banded(q, s, within)
+    return nested(q, s, within, broadcast_query=n < m) if way == "nested" else banded(q, s, within, best_plan(m, within))
 
 
 def find_within64(query: DataFrame, stored: DataFrame, within: int = 3) -> DataFrame:
     """The older search over 64-bit hashes (column h): distinct pairs and their distance, by four bands of 16 bits."""
     n = 4
     cut = lambda rows, p: rows.select(F.col("h").alias(p)).distinct().withColumn("x", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.shiftrightunsigned(F.col(p), 16 * b).bitwiseAND(65535).cast("int").alias("value")) for b in range(n)]))).select(p, "x.band", "x.value")
-    near = F.explode(F.array(*[F.lit(m) for m in masks(within, n)]))
+    near = F.explode(F.array(*[F.lit(m) for m in masks(16, within // n)]))
     probe = cut(query, "q").withColumn("mask", near).select("q", "band", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
     distance = hamming64(F.col("q"), F.col("s"))
     return probe.join(cut(stored, "s"), ["band", "value"]).where(distance <= within).select("q", "s", distance.alias("distance")).distinct()
@@ -88,20 +113,21 @@ def classes(rows: DataFrame) -> DataFrame:
 
 def similar_classes(rows: DataFrame, within: int = 23, way: str | None = None) -> DataFrame:
     """Pairs of classes of equal hashes, by their smallest ids (a < b), with sizes and distance."""
-    c = classes(rows)
-    pairs = find_within(rows, rows, within, way)
+    c = settled(classes(rows))
+    pairs = find_within(c, None, within, way)
     a = c.select(F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo"), F.col("rep").alias("a"), F.col("n").alias("n_a"))
     b = c.select(F.col("hi").alias("s_hi"), F.col("lo").alias("s_lo"), F.col("rep").alias("b"), F.col("n").alias("n_b"))
     return pairs.join(a, ["q_hi", "q_lo"]).join(b, ["s_hi", "s_lo"]).where("a < b").select("a", "b", "n_a", "n_b", F.col("distance").cast("int").alias("distance"))
 
 
 def similar_to_any(rows: DataFrame, ignored: DataFrame, within: int = 23) -> DataFrame:
-    """Rows whose hash is within the distance of some ignored hash."""
+    """Rows whose hash is within the distance of some ignored hash. rows are read twice, so they should be settled or cheap."""
     hit = find_within(rows, ignored, within).select(F.col("q_hi").alias("hi"), F.col("q_lo").alias("lo")).distinct()
     return rows.join(hit, ["hi", "lo"], "left_semi")
 
 
 def not_similar_to_any(rows: DataFrame, ignored: DataFrame, within: int = 23) -> DataFrame:
+    """The other rows; those without a hash are similar to nothing."""
     hit = find_within(rows, ignored, within).select(F.col("q_hi").alias("hi"), F.col("q_lo").alias("lo")).distinct()
     return rows.join(hit, ["hi", "lo"], "left_anti")
 
@@ -110,7 +136,7 @@ def distance_histogram(rows: DataFrame) -> DataFrame:
     """(distance, n) over all pairs of rows, zero-filled for 0 to 128. Distinct hashes with their multiplicities are paired,
     in blocks of the right side that are broadcast one after another where they are many."""
     spark = rows.sparkSession
-    weighted = rows.groupBy("hi", "lo").agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    weighted = settled(rows.groupBy("hi", "lo").agg(F.count("*").alias("n")))
     blocks = max(1, -(-weighted.count() // BROADCAST_ROWS))
     parts = []
     for block in range(blocks):

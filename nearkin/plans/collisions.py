@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from nearkin.functions.hashing import to_base64
 from nearkin.functions.measures import clock
+from nearkin.operators.dealing import settled
 from nearkin.operators.numbering import numbered
 from nearkin.operators.rangejoin import find_within
 
@@ -35,19 +36,39 @@ def collisions(query: DataFrame, stored: DataFrame, within: int = 23) -> DataFra
     return met.select("reference", "other", F.col("distance").cast("int").alias("distance"))
 
 
+#: Items in a stretch of the arrival order, and stretches at most.
+STRETCH, STRETCHES = 100_000, 10_000
+
+
 def earlier_matches(items: DataFrame, within: int = 23) -> DataFrame:
     """(seq, n_earlier, first_earlier, nearest) for each item with an earlier one within the distance: how many, the first
     of them, and the smallest distance. items: seq, hi, lo, one row for each item.
 
-    Pairs of items are not made: for each pair of similar hashes the items with either hash are counted along one line by
-    seq, so a hash that many items share costs a sort of those items."""
-    pairs = find_within(items, items, within)
-    looks = pairs.join(items.select(F.col("seq"), F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo")), ["q_hi", "q_lo"]).withColumn("look", F.lit(1))
-    seen = pairs.join(items.select(F.col("seq"), F.col("hi").alias("s_hi"), F.col("lo").alias("s_lo")), ["s_hi", "s_lo"]).withColumn("look", F.lit(0))
-    line = looks.unionByName(seen)
-    before = Window.partitionBy("q_hi", "q_lo", "s_hi", "s_lo").orderBy("seq", F.desc("look")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = line.withColumn("n", F.sum(1 - F.col("look")).over(before)).withColumn("first", F.min(F.when(F.col("look") == 0, F.col("seq"))).over(before)).where("look = 1 and n > 0")
-    return counted.groupBy("seq").agg(F.sum("n").alias("n_earlier"), F.min("first").alias("first_earlier"), F.min("distance").cast("int").alias("nearest"))
+    Pairs of items are not made. The order of arrival is cut into stretches of like numbers of items. For each pair of similar
+    hashes, whole earlier stretches are added up from the hash's count in each stretch, and only items of one stretch are
+    put on one line; so a hash that very many items share is worked on by as many tasks as there are stretches."""
+    items = settled(items.select("seq", "hi", "lo"))
+    parts = min(STRETCHES, max(1, -(-items.count() // STRETCH)))
+    cuts = items.approxQuantile("seq", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
+    stretch = F.array_position(F.transform(F.array(*map(F.lit, cuts)), lambda c: F.col("seq") < c), F.lit(True)) if cuts else F.lit(1)
+    items = items.withColumn("stretch", F.when(stretch == 0, F.lit(len(cuts) + 1)).otherwise(stretch).cast("int"))
+    pairs = settled(find_within(items, None, within))
+    at = ("q_hi", "q_lo", "s_hi", "s_lo")
+    counts = settled(items.groupBy("hi", "lo", "stretch").agg(F.count("*").alias("n"), F.min("seq").alias("first")))
+    asked = pairs.join(counts.select(F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo"), "stretch"), ["q_hi", "q_lo"])
+    held = pairs.join(counts.withColumnsRenamed({"hi": "s_hi", "lo": "s_lo"}), ["s_hi", "s_lo"])
+    # one row for each stretch: what all stretches before it hold
+    line = asked.select(*at, "distance", "stretch", F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("first"), F.lit(0).alias("look")).unionByName(held.select(*at, "distance", "stretch", "n", "first", F.lit(1).alias("look")))
+    earlier = Window.partitionBy(*at).orderBy("stretch", "look").rowsBetween(Window.unboundedPreceding, -1)
+    whole = line.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumn("least", F.min("first").over(earlier)).where("look = 0")
+    looks = whole.select(*at, "distance", "stretch", "before", "least").join(items.select(F.col("seq"), F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo"), "stretch"), ["q_hi", "q_lo", "stretch"]).withColumn("look", F.lit(1))
+    # items of a stretch in which the pair's both hashes occur
+    common = asked.select(*at, "stretch").join(held.select(*at, "stretch"), [*at, "stretch"])
+    seen = common.join(items.select(F.col("seq"), F.col("hi").alias("s_hi"), F.col("lo").alias("s_lo"), "stretch"), ["s_hi", "s_lo", "stretch"])
+    seen = seen.select(*at, F.lit(None).cast("bigint").alias("distance"), "stretch", F.lit(0).cast("long").alias("before"), F.lit(None).cast("long").alias("least"), "seq", F.lit(0).alias("look"))
+    inside = Window.partitionBy(*at, "stretch").orderBy("seq", F.desc("look")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = looks.unionByName(seen).withColumn("n", F.col("before") + F.sum(1 - F.col("look")).over(inside)).withColumn("first", F.least("least", F.min(F.when(F.col("look") == 0, F.col("seq"))).over(inside)))
+    return both.where("look = 1 and n > 0").groupBy("seq").agg(F.sum("n").alias("n_earlier"), F.min("first").alias("first_earlier"), F.min("distance").cast("int").alias("nearest"))
 
 
 def other_paths(found: DataFrame) -> DataFrame:
@@ -104,5 +125,5 @@ def debug_lines(found: DataFrame, frames: DataFrame | None = None, threshold: in
 
 
 def random_paths(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n distinct paths, without replacement."""
-    return rows.select("path").distinct().orderBy(F.rand(seed), "path").limit(n)
+    """n distinct paths, without replacement: the first ones by the MD5 of seed and path, so a seed gives the same ones again."""
+    return rows.select("path").distinct().orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "path")), "path").limit(n)

@@ -56,7 +56,7 @@ def test_judging_images(spark):
     noise = rng.integers(60, 256, 64).tolist()
     rows = [(1, 8, 8, noise), (2, 8, 8, [7] * 64), (3, 0, 0, []), (4, None, None, None), (5, 8, 8, noise)]
     got = {r["id"]: r for r in quality.judge(spark.createDataFrame(rows, "id long, w int, h int, px array<int>")).collect()}
-    assert [got[i]["reason"] for i in range(1, 6)] == ["ok", "too_one_colour", "empty", "empty", "ok"]
+    assert [got[i]["reason"] for i in range(1, 6)] == ["ok", "too_one_color", "empty", "empty", "ok"]
     assert got[1]["hi"] == got[5]["hi"] and got[2]["hi"] is None and got[3]["modal"] is None
     assert (got[1]["hi"], got[1]["lo"]) != (got[1]["mirror_hi"], got[1]["mirror_lo"])
 
@@ -96,7 +96,14 @@ def test_numbers_over_partitions(spark):
 
 
 def test_masks():
-    assert len(rangejoin.masks(23)) == 1 + 16 + 120 and rangejoin.masks(7) == [0] and len(rangejoin.masks(5, 4)) == 17
+    assert len(rangejoin.masks(16, 2)) == 1 + 16 + 120 and rangejoin.masks(16, 0) == [0]
+    for bands in (2, 6, 8, 24, 40):
+        for within in (0, 3, 23, 34):
+            plan = rangejoin.band_plan(bands, within)
+            # fewer bits than any way to differ everywhere: each band one more than its radius, at least within + 1 in all
+            assert sum(radius + 1 for *_, radius in plan) == within + 1 and len({(h, s) for h, s, *_ in plan}) == len(plan)
+    sizes = [max(bits for _, _, bits, _ in rangejoin.best_plan(n, 23)) for n in (10**3, 10**6, 10**9)]
+    assert sizes == sorted(sizes) and sizes[0] < sizes[-1]
 
 
 def differ(a, b):

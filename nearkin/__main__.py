@@ -1,7 +1,7 @@
-"""python -m nearkin edit INDEX GOAL... | find FRAMES INDEX OUT [--create] [--threshold N] [--limit N] | compare FOLDER OUT [--threshold N]
+"""python -m nearkin videos FOLDER... --index INDEX --out OUT | find FRAMES INDEX OUT | edit INDEX GOAL... | compare FOLDER OUT
 
-`find` takes a Parquet folder of sampled frames (id, video, ts, phantom, w, h, px); `compare` the pictures of a folder. Without
-arguments they are read from .nearkinrc.
+`videos` goes from folders of video files to answers; `find` takes a Parquet folder of sampled frames (id, video, ts, phantom, w, h, px) in
+their place; `compare` the pictures of a folder. Without arguments they are read from .nearkinrc.
 """
 
 from __future__ import annotations
@@ -47,18 +47,44 @@ def main(argv: list[str]) -> int:
         two.add_argument(name)
     two.add_argument("--create", action="store_true")
     two.add_argument("--limit", type=int)
+    four = commands.add_parser("videos")
+    four.add_argument("folders", nargs="+")
+    four.add_argument("--index", required=True)
+    four.add_argument("--out", required=True)
+    four.add_argument("--create", action="store_true")
+    four.add_argument("--limit", type=int)
+    four.add_argument("--decoder", default="ffmpeg")
+    quality_of, sampling_of = conf.Quality(), conf.Sampling()
+    for p in (two, four):
+        p.add_argument("--ignore-dir", action="append", default=[])
+        p.add_argument("--maskify-threshold", type=int, default=quality_of.borders.maskify_threshold)
+        p.add_argument("--maximum-whites", type=conf.percent, default=quality_of.borders.maximum_whites)
+        p.add_argument("--one-colour-threshold", type=conf.percent, default=quality_of.one_colour.threshold)
+        p.add_argument("--one-colour-tolerance", type=int, default=quality_of.one_colour.tolerance)
+        p.add_argument("--emptiness", type=conf.percent, default=quality_of.emptiness)
+    four.add_argument("--min-frames", type=int, default=sampling_of.min_frames)
+    four.add_argument("--step", type=conf.duration_ms, default=sampling_of.step_ms)
+    four.add_argument("--phantom-step", type=conf.duration_ms, action="append")
     three = commands.add_parser("compare")
     for name in ("folder", "out"):
         three.add_argument(name)
-    for p in (two, three):
+    for p in (two, three, four):
         p.add_argument("--threshold", type=int, default=conf.Similarity().threshold)
     args = parser.parse_args(conf.arguments(argv))
     spark = SparkSession.builder.appName("nearkin").getOrCreate()
     if args.command == "edit":
         for value in edit.run(HashIndex.open(spark, args.index, VIDEO), args.goals):
             print(json.dumps(value))
-    elif args.command == "find":
-        print(json.dumps(flow.process(spark, spark.read.parquet(args.frames), args.index, args.out, similarity=conf.Similarity(args.threshold), limit=args.limit, create=args.create)))
+    elif args.command in ("find", "videos"):
+        kind = conf.Quality(conf.Borders(args.maskify_threshold, args.maximum_whites), conf.OneColour(args.one_colour_threshold, args.one_colour_tolerance), args.emptiness)
+        near = conf.Similarity(args.threshold)
+        if args.command == "find":
+            ignored = flow.ignored_hashes(spark, args.ignore_dir, kind, near.threshold) if args.ignore_dir else None
+            done = flow.process(spark, spark.read.parquet(args.frames), args.index, args.out, kind, near, ignored, args.limit, args.create)
+        else:
+            steps = conf.Sampling(args.min_frames, args.step, tuple(args.phantom_step) if args.phantom_step else conf.Sampling().phantom_steps_ms)
+            done = flow.find(spark, args.folders, args.index, args.out, args.decoder, kind, near, steps, args.ignore_dir, args.limit, args.create)
+        print(json.dumps(done))
     else:
         compare(spark, args.folder, args.out, args.threshold)
     return 0

@@ -43,27 +43,32 @@ def pushed_hashes(frames: DataFrame, within: int = 23) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         video, last = object(), None
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                if r["video"] != video:
-                    video, last = r["video"], None
-                own = (r["hi"], r["lo"])
+            at, halves, mirrored = [], [], []
+            for i, (v, hi, lo, m_hi, m_lo, phantom) in enumerate(zip(*(b.column(c).to_pylist() for c in ("video", "hi", "lo", "mirror_hi", "mirror_lo", "phantom")), strict=True)):
+                if v != video:
+                    video, last = v, None
+                own, other = (hi, lo), (m_hi, m_lo)
                 if last is not None and differ(last, own) <= within:
                     continue
                 last = own
-                base = {k: r[k] for k in ("video", "ts", "id", "phantom")}
-                out.append(base | {"hi": own[0], "lo": own[1], "mirrored": "Normal"})
-                other = (r["mirror_hi"], r["mirror_lo"])
-                if not r["phantom"] and other[0] is not None and differ(own, other) > within:
+                at.append(i)
+                halves.append(own)
+                mirrored.append("Normal")
+                if not phantom and m_hi is not None and differ(own, other) > within:
                     last = other
-                    out.append(base | {"hi": other[0], "lo": other[1], "mirrored": "Mirrored"})
-            yield pa.RecordBatch.from_pylist(out, schema=_PUSHED)
+                    at.append(i)
+                    halves.append(other)
+                    mirrored.append("Mirrored")
+            rows = pa.array(at, pa.int64())
+            kept = [b.column(c).take(rows) for c in ("video", "ts", "id")]
+            hashes = [pa.array([h[i] for h in halves], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*kept, *hashes, pa.array(mirrored, pa.string()), b.column("phantom").take(rows)], names=PUSHED_NAMES)
 
     columns = frames.select(F.col("video").cast("string"), F.col("ts").cast("long"), F.col("id").cast("long"), "hi", "lo", "mirror_hi", "mirror_lo", F.coalesce("phantom", F.lit(False)).alias("phantom"))
     return columns.repartition("video").sortWithinPartitions("video", "ts", "id").mapInArrow(run, PUSHED)
 
 
-_PUSHED = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[t]) for n, t in (x.split(" ") for x in PUSHED.split(", "))])
+PUSHED_NAMES = [x.split(" ")[0] for x in PUSHED.split(", ")]
 
 
 def stored(pushed: DataFrame) -> DataFrame:

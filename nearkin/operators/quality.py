@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 
 from nearkin.conf import Quality
 from nearkin.functions.hashing import image_hash
+from nearkin.functions.measures import clock
+from nearkin.operators.dealing import settled
+from nearkin.operators.rangejoin import find_within
 
-OK, EMPTY, TOO_ONE_COLOUR, IGNORED, SIMILAR = "ok", "empty", "too_one_colour", "ignored", "similar_previous"
+# Names of the reasons, which are parts of file names.
+OK, EMPTY, TOO_ONE_COLOUR, IGNORED, SIMILAR = "ok", "empty", "too_one_color", "ignored", "similar_previous"
 
 
 def modal_grey(grey: np.ndarray) -> int:
@@ -96,10 +100,12 @@ def judge(images: DataFrame, conf: Quality | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for key, w, h, px in zip(b.column("id").to_pylist(), b.column("w").to_pylist(), b.column("h").to_pylist(), b.column("px"), strict=True):
-                pixels = np.asarray(px.values) if px.is_valid else np.zeros(0, np.int64)
-                grey = pixels.astype(np.int64).reshape(h, w) if pixels.size else np.zeros((0, 0), np.int64)
+            px = b.column("px")
+            edge, values = px.offsets.to_numpy(), px.values.to_numpy(zero_copy_only=False).astype(np.int64)
+            out: list[list] = [[] for _ in _NAMES]
+            for i, (key, w, h) in enumerate(zip(*(b.column(c).to_pylist() for c in ("id", "w", "h")), strict=True)):
+                pixels = values[edge[i] : edge[i + 1]]
+                grey = pixels.reshape(h, w) if pixels.size else np.zeros((0, 0), np.int64)
                 reason, box, covered = verdict(grey, conf)
                 modal = modal_grey(grey) if grey.size else None
                 share = near_percent(grey, modal, conf.one_colour.tolerance) if grey.size else None
@@ -108,8 +114,9 @@ def judge(images: DataFrame, conf: Quality | None = None) -> DataFrame:
                     x, y, cw, ch = box
                     inside = grey[y : y + ch, x : x + cw]
                     hashes = (*image_hash(inside), *image_hash(inside[:, ::-1]))
-                rows.append((key, modal, share, *box, covered, reason, *hashes))
-            yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, r, strict=True)) for r in rows], schema=_SCHEMA)
+                for column, value in zip(out, (key, modal, share, *box, covered, reason, *hashes), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SCHEMA, strict=True)], schema=_SCHEMA)
 
     return images.select(F.col("id").cast("long"), F.col("w").cast("int"), F.col("h").cast("int"), F.col("px").cast("array<int>")).mapInArrow(run, JUDGED)
 
@@ -121,28 +128,33 @@ _NAMES = _SCHEMA.names
 
 def rejected(judged: DataFrame, frames: DataFrame) -> DataFrame:
     """The graveyard: rejected frames that are not mirrored, with their reason; frames too similar to the one before are not
-    kept. judged: id, reason; frames: id, mirrored, ts."""
+    kept. judged: id, reason; frames: id, mirrored, ts (ms). `file` is the name under which a rejected frame is kept."""
     bad = judged.where(F.col("reason").isin(EMPTY, TOO_ONE_COLOUR, IGNORED))
-    return frames.where(F.col("mirrored") == "Normal").join(bad.select("id", "reason"), "id").withColumn("file", F.format_string("%s_%s.jpg", "reason", "ts"))
+    return frames.where(F.col("mirrored") == "Normal").join(bad.select("id", "reason"), "id").withColumn("file", F.format_string("%s_%s.jpg", F.col("reason"), clock(F.col("ts"))))
 
 
 def ignore_list(judged: DataFrame, within: int = 23) -> DataFrame:
     """(id, mirrored, hi, lo) of the hashes to ignore. In order of id, accepted images give their hash and their mirrored one,
     but one that is similar to a kept, not mirrored hash of another image is left out. What is kept depends on all kept
-    before, so similar pairs, found by the range join, are folded in order; images without a similar one take no part."""
-    from nearkin.operators.rangejoin import find_within
-
-    good = judged.where(F.col("reason") == OK)
-    both = good.select("id", F.lit("Normal").alias("mirrored"), "hi", "lo").unionByName(good.select("id", F.lit("Mirrored").alias("mirrored"), F.col("mirror_hi").alias("hi"), F.col("mirror_lo").alias("lo")))
-    pairs = find_within(both, good.select("hi", "lo"), within)
-    normal = good.select(F.col("id").alias("other"), F.col("hi").alias("s_hi"), F.col("lo").alias("s_lo"))
-    against = both.withColumnsRenamed({"hi": "q_hi", "lo": "q_lo"}).join(pairs, ["q_hi", "q_lo"]).join(normal, ["s_hi", "s_lo"]).where("other < id").select("id", "mirrored", "other")
-    kept = {}
-    for r in against.groupBy("id", "mirrored").agg(F.collect_set("other").alias("others")).orderBy("id", F.desc("mirrored")).toLocalIterator():
-        kept[r["id"], r["mirrored"]] = not any(kept.get((o, "Normal"), True) for o in r["others"])
-    out = [k for k, v in kept.items() if not v]
-    gone = judged.sparkSession.createDataFrame(out, "id long, mirrored string")
-    return both.join(gone, ["id", "mirrored"], "left_anti")
+    before, so it is found in rounds: an image without an undecided or kept earlier neighbour is kept, and its later neighbours
+    are not. There are as many rounds as the longest chain of neighbours needs, and each one is settled."""
+    good = settled(judged.where(F.col("reason") == OK).select("id", "hi", "lo", "mirror_hi", "mirror_lo"))
+    normal = good.select("id", F.lit("Normal").alias("mirrored"), "hi", "lo")
+    both = normal.unionByName(good.select("id", F.lit("Mirrored").alias("mirrored"), F.col("mirror_hi").alias("hi"), F.col("mirror_lo").alias("lo")))
+    pairs = find_within(both, normal, within)
+    others = normal.select(F.col("id").alias("other"), F.col("hi").alias("s_hi"), F.col("lo").alias("s_lo"))
+    met = both.withColumnsRenamed({"hi": "q_hi", "lo": "q_lo"}).join(pairs, ["q_hi", "q_lo"]).join(others, ["s_hi", "s_lo"])
+    against = settled(met.where("other < id").select("id", "mirrored", "other").distinct())
+    left = against.where("mirrored = 'Normal'").select("id", "other")
+    gone = left.select("id").limit(0)
+    while not left.isEmpty():
+        kept = left.select("other").distinct().join(left.select(F.col("id").alias("other")).distinct(), "other", "left_anti")
+        now = left.join(kept, "other", "left_semi").select("id").distinct()
+        gone = settled(gone.union(now))
+        left = left.join(gone, "id", "left_anti").join(gone.select(F.col("id").alias("other")), "other", "left_anti")
+        left = settled(left.select("id", "other"))
+    kept_others = against.join(gone.select(F.col("id").alias("other")), "other", "left_anti")
+    return both.join(kept_others.select("id", "mirrored").distinct(), ["id", "mirrored"], "left_anti")
 
 
 def average_colour(r, g, b):

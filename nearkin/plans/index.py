@@ -3,13 +3,18 @@
 An index is a folder of Parquet data. Every change is one append of one row to its `log`, made after the data it names
 are written, so a failed job leaves the index as it was and readers see whole changes only:
 
-    log/      (version, action, ident, folder)
-    rows/…    hi, lo, src, added, row         one folder for each add or rebuild
-    gone/…    added, row                      one folder for each delete
-
-A stored row is known by (added, row): the version that brought it and a number in it. Deletes append those pairs; a
-scan is an anti-join of rows and deletes. A rebuild writes the live rows to a new folder and starts a new
-generation; older folders stay as a backup until `vacuum`.
+    log/       (version, action, ident, folder, tag)
+    versions/  an empty file for each version
+    rows/…     hi, lo, src, added, row         one folder for each add or rebuild
+    gone/…     added, row                      one folder for each delete
+
+A stored row is known by (added, row): a random number of the folder that it came with, and a number in it. Deletes append
+those pairs; a scan is an anti-join of rows and deletes. A rebuild writes the live rows to a new folder and starts a
+new generation; older folders stay as a backup until `vacuum`.
+
+A version belongs to the writer that creates its file, which the file system lets only one do. Adds that meet take the
+next version; a delete or a rebuild that finds that others changed the index since it read it fails with `Conflict` and can be
+repeated. A tag names a change that must happen once only, such as the storing of a stream's batch.
 """
 
 from __future__ import annotations
@@ -23,7 +28,17 @@ from pyspark.sql import functions as F
 from nearkin.operators.rangejoin import find_within
 from nearkin.schemas import PAYLOADS, SourceMismatch
 
-LOG = "version long, action string, ident string, folder string"
+LOG = "version long, action string, ident string, folder string, tag string"
+
+
+class Conflict(RuntimeError):
+    """Another writer changed the index meanwhile."""
+
+
+def _folder(kind: str, version: int) -> tuple[str, int]:
+    """A new folder's name and its random number."""
+    name = uuid.uuid4()
+    return f"{kind}/{version}-{name.hex}", name.int >> 65
 
 
 @dataclass(frozen=True)
@@ -56,9 +71,21 @@ class HashIndex:
         return HashIndex.open(self.spark, self.path, ident)
 
     # the log: as many rows as there were changes since the last vacuum
-    def _log(self, version: int, action: str, folder: str) -> None:
+    def _log(self, version: int, action: str, folder: str, tag: str | None = None) -> None:
         ident = self.ident or self.held_ident()
-        self.spark.createDataFrame([(version, action, ident, folder)], LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+        hadoop = self.spark._jvm.org.apache.hadoop
+        while not self._claimed(hadoop.fs.Path(f"{self.path}/versions/{version}")):
+            if action != "add":
+                raise Conflict(f"{self.path} was changed by another writer")
+            version += 1
+        self.spark.createDataFrame([(version, action, ident, folder, tag)], LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+
+    def _claimed(self, file) -> bool:
+        return file.getFileSystem(self.spark._jsc.hadoopConfiguration()).createNewFile(file)
+
+    def has(self, tag: str) -> bool:
+        """Whether a change with this tag was made."""
+        return not self._entries().where(F.col("tag") == tag).isEmpty()
 
     def _entries(self) -> DataFrame:
         return self.spark.read.schema(LOG).parquet(f"{self.path}/log")
@@ -93,24 +120,24 @@ class HashIndex:
         live = self._read(rows, self._schema())
         return live.join(self._read(gone, "added long, row long"), ["added", "row"], "left_anti") if gone else live
 
-    def add(self, rows: DataFrame) -> None:
+    def add(self, rows: DataFrame, tag: str | None = None) -> None:
         """Appends (hi, lo, src) rows; equal ones are kept apart."""
         version, _, _ = self._state()
-        folder = f"rows/{version}-{uuid.uuid4().hex}"
-        rows.select("hi", "lo", F.col("src").cast(PAYLOADS[self.held_ident()])).withColumn("added", F.lit(version).cast("long")).withColumn("row", F.monotonically_increasing_id()).write.parquet(f"{self.path}/{folder}")
-        self._log(version, "add", folder)
+        folder, number = _folder("rows", version)
+        rows.select("hi", "lo", F.col("src").cast(PAYLOADS[self.held_ident()])).withColumn("added", F.lit(number).cast("long")).withColumn("row", F.monotonically_increasing_id()).write.parquet(f"{self.path}/{folder}")
+        self._log(version, "add", folder, tag)
 
     def remove(self, which: Column | DataFrame, on: str = "src.path") -> int:
         """Marks live rows as removed: those where a condition on hi, lo and src holds, or whose `on` is in a table's first
         column. The number of rows that were marked."""
+        version, _, _ = self._state()
         live = self.scan()
         if isinstance(which, DataFrame):
             keys = which.select(F.col(which.columns[0]).alias("_key")).distinct()
             bad = live.withColumn("_key", F.col(on)).join(keys, "_key", "left_semi")
         else:
             bad = live.where(which)
-        version, _, _ = self._state()
-        folder = f"gone/{version}-{uuid.uuid4().hex}"
+        folder, _ = _folder("gone", version)
         bad.select("added", "row").write.parquet(f"{self.path}/{folder}")
         self._log(version, "remove", folder)
         return self._read([folder], "added long, row long").count()
@@ -118,8 +145,8 @@ class HashIndex:
     def rebuild(self) -> None:
         """Live rows only, in a new folder; what was there stays on disk until `vacuum`."""
         version, _, _ = self._state()
-        folder = f"rows/{version}-{uuid.uuid4().hex}"
-        self.scan().select("hi", "lo", "src", F.lit(version).cast("long").alias("added"), F.monotonically_increasing_id().alias("row")).write.parquet(f"{self.path}/{folder}")
+        folder, number = _folder("rows", version)
+        self.scan().select("hi", "lo", "src", F.lit(number).cast("long").alias("added"), F.monotonically_increasing_id().alias("row")).write.parquet(f"{self.path}/{folder}")
         self._log(version, "rebuild", folder)
 
     def rebuild_to(self, path: str) -> HashIndex:
@@ -157,7 +184,7 @@ class HashIndex:
     def search(self, query: DataFrame, within: int = 23) -> DataFrame:
         """query (hi, lo, ...) with every live row within the distance as `other`, and the distance."""
         live = self.scan()
-        pairs = find_within(query, live, within)
+        pairs = find_within(query, live.select("hi", "lo"), within)
         found = live.select(F.col("hi").alias("s_hi"), F.col("lo").alias("s_lo"), F.struct("hi", "lo", "src").alias("other"))
         return query.join(pairs.withColumnsRenamed({"q_hi": "hi", "q_lo": "lo"}), ["hi", "lo"]).join(found, ["s_hi", "s_lo"]).drop("s_hi", "s_lo")
 

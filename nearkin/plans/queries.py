@@ -7,7 +7,9 @@ events are a video's frames; a document's length is a video's length in seconds;
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +17,11 @@ from pyspark.sql import functions as F
 from nearkin.conf import OneColour, Quality
 from nearkin.functions import hashing, imaging, measures, paths
 from nearkin.operators import fold, quality, rangejoin, sampling
-from nearkin.plans import collisions
-from nearkin.plans.index import dead_sources, live_and_dead
+from nearkin.operators.dealing import settled, shared_folder
+from nearkin.plans import collisions, flow
+from nearkin.plans.flow import frame_source
+from nearkin.plans.index import HashIndex, dead_sources
+from nearkin.schemas import VIDEO
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -40,7 +45,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # Stand-ins -----------------------------------------------------------------------------------------------------------
 def doc_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hashing.text_hash(table(spark, sf_dir, "documents"), "doc_id", "text")
+    """Hashed once for each query, and settled."""
+    return settled(hashing.text_hash(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
 def words_of(hi, lo):
@@ -138,7 +144,7 @@ def other_paths(spark, sf_dir):
 def purge_paths(spark, sf_dir):
     """What stays when both sides of all collisions are removed."""
     h = doc_hashes(spark, sf_dir)
-    pairs = rangejoin.find_within(h, h, 23).where("q_hi <> s_hi or q_lo <> s_lo").select(F.col("q_hi").alias("hi"), F.col("q_lo").alias("lo"))
+    pairs = rangejoin.find_within(h, None, 23).where("q_hi <> s_hi or q_lo <> s_lo").select(F.col("q_hi").alias("hi"), F.col("q_lo").alias("lo"))
     bad = pairs.union(rangejoin.classes(h).where("n > 1").select("hi", "lo")).distinct()
     return h.join(bad, ["hi", "lo"], "left_anti").select(F.col("id").alias("doc_id"))
 
@@ -207,9 +213,31 @@ REVERSED = "list_aggregate([substr(md5(CAST(event_id AS VARCHAR)), 2 * i + 1, 2)
 B64 = f"rtrim(to_base64(unhex({REVERSED})), '=')"
 
 
+@contextmanager
+def kept_index(spark, sf_dir):
+    """An index of all events below the shared folder, from which the errors are removed; it goes when its user is done."""
+    place = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    index = HashIndex.create(spark, place, VIDEO)
+    try:
+        events = event_index(spark, sf_dir)
+        for part in (0, 1):  # two appends
+            index.add(events.where(F.col("event_id") % 2 == part).select("hi", "lo", frame_source("event_id", "path").alias("src")))
+        index.remove(events.where("removed").select("event_id"), on="src.frame_pos.ts")
+        yield index
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(place)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def stored_events(rows):
+    return rows.select(F.col("src.frame_pos.ts").alias("event_id"), F.substring("src.path", 6, 20).cast("long").alias("user_id"))
+
+
 @query("SELECT CAST(count_if(event_type <> 'error') AS BIGINT) AS alive, CAST(count_if(event_type = 'error') AS BIGINT) AS dead, 100.0::DOUBLE * count_if(event_type = 'error') / count(*) AS dead_percent FROM events")
 def index_stats(spark, sf_dir):
-    return live_and_dead(event_index(spark, sf_dir))
+    """Live and removed rows of a real index."""
+    with kept_index(spark, sf_dir) as index:
+        return settled(index.stats())
 
 
 @query("SELECT sum(CASE WHEN d THEN 1 ELSE 0 END)::BIGINT AS dead, count(*) AS sources, 100.0::DOUBLE * sum(CASE WHEN d THEN 1 ELSE 0 END) / count(*) AS dead_percent FROM (SELECT user_id, bool_and(event_type = 'error') AS d FROM events GROUP BY user_id)")
@@ -219,12 +247,35 @@ def legacy_dead_sources(spark, sf_dir):
 
 @query("SELECT event_id, user_id FROM events WHERE event_type <> 'error'")
 def index_rebuild(spark, sf_dir):
-    return event_index(spark, sf_dir).where(~F.col("removed")).select("event_id", "user_id")
+    """The rows of an index after removal, rebuilding and vacuuming."""
+    with kept_index(spark, sf_dir) as index:
+        index.rebuild()
+        index.vacuum()
+        return settled(stored_events(index.all_rows().where(~F.col("removed"))))
 
 
 @query(f"SELECT 'Source=user_' || user_id || ', Hash=' || {B64} AS line FROM events WHERE event_type <> 'error' ORDER BY line")
 def index_list(spark, sf_dir):
-    return collisions.listing(event_index(spark, sf_dir).where(~F.col("removed")))
+    """The listing of an index."""
+    with kept_index(spark, sf_dir) as index:
+        return settled(collisions.listing(index.scan().select("hi", "lo", F.col("src.path").alias("path"))))
+
+
+@query(f"SELECT event_id, user_id, {B64} AS b64 FROM events WHERE event_type <> 'error' UNION ALL SELECT event_id, user_id, {B64} FROM events WHERE event_type <> 'error' AND user_id % 2 = 0")
+def index_import(spark, sf_dir):
+    """An index exported, imported into a copy of itself, and purged of the sources with odd numbers on one side."""
+    with kept_index(spark, sf_dir) as index:
+        index.backup(f"{index.path}-copy")
+        copy = HashIndex.open(spark, f"{index.path}-copy", VIDEO)
+        try:
+            copy.remove(copy.scan().where("cast(substring(src.path, 6) as long) % 2 = 1").select("src.path").distinct())
+            index.export(f"{copy.path}/export")
+            copy.load(f"{copy.path}/export")
+            rows = copy.scan()
+            return settled(rows.select(F.col("src.frame_pos.ts").alias("event_id"), F.substring("src.path", 6, 20).cast("long").alias("user_id"), hashing.to_base64(F.col("hi"), F.col("lo")).alias("b64")))
+        finally:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(copy.path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 @query(f"SELECT event_id, {B64} AS b64, md5(CAST(event_id AS VARCHAR)) AS hex FROM events")
@@ -242,7 +293,10 @@ def video_counts(spark, sf_dir):
     return event_index(spark, sf_dir).groupBy("path").agg(F.count("*").alias("hashes"), F.count_if(~F.col("removed")).alias("saved"))
 
 
-@query()
+@query(
+    "SELECT event_id, 'user_' || user_id AS path FROM events WHERE event_type <> 'error' AND user_id NOT IN "
+    "(SELECT user_id FROM (SELECT DISTINCT user_id FROM events WHERE event_type <> 'error') ORDER BY md5('7:user_' || user_id), 'user_' || user_id LIMIT 10)"
+)
 def random_delete(spark, sf_dir):
     """Live rows after ten random sources were deleted."""
     rows = event_index(spark, sf_dir).where(~F.col("removed"))
@@ -280,7 +334,7 @@ def border_bbox(spark, sf_dir):
     "ins AS (SELECT t.id, v FROM t JOIN bb USING (id) WHERE p % 8 >= x AND p % 8 < x + cw AND p // 8 >= y AND p // 8 < y + ch), "
     "im AS (SELECT id, arg_max(v, n * 256 + v) AS m FROM (SELECT id, v, count(*) AS n FROM ins GROUP BY id, v) GROUP BY id), "
     "g AS (SELECT ins.id, 100.0 * count_if(abs(v - m) <= 20) / count(*) AS share FROM ins JOIN im USING (id) GROUP BY ins.id) "
-    "SELECT bb.id, CASE WHEN f.share >= 50 THEN 'too_one_colour' WHEN 100.0 * cw * ch / 64 <= 10 THEN 'empty' WHEN g.share >= 50 THEN 'too_one_colour' ELSE 'ok' END AS reason FROM bb JOIN f USING (id) LEFT JOIN g USING (id)"
+    "SELECT bb.id, CASE WHEN f.share >= 50 THEN 'too_one_color' WHEN 100.0 * cw * ch / 64 <= 10 THEN 'empty' WHEN g.share >= 50 THEN 'too_one_color' ELSE 'ok' END AS reason FROM bb JOIN f USING (id) LEFT JOIN g USING (id)"
 )
 def preproc_check(spark, sf_dir):
     return quality.judge(tiles(spark, sf_dir), TILE_QUALITY).select("id", "reason")
@@ -327,17 +381,75 @@ def running_stats(spark, sf_dir):
     return stats.select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("mean", "variance", "biased", "deviation")])
 
 
-@query()
+def reasons(threshold: int) -> str:
+    """SQL: rs (id, reason) of the pictures, with the box bb."""
+    return (
+        f"{MODE}, {BOX}, f AS (SELECT t.id, 100.0 * count_if(abs(v - m) <= 20) / count(*) AS share FROM t JOIN md USING (id) GROUP BY t.id), "
+        "ins AS (SELECT t.id, p % 8 - x AS x, p // 8 - y AS y, cw, ch, v FROM t JOIN bb USING (id) WHERE p % 8 >= x AND p % 8 < x + cw AND p // 8 >= y AND p // 8 < y + ch), "
+        "im AS (SELECT id, arg_max(v, n * 256 + v) AS m FROM (SELECT id, v, count(*) AS n FROM ins GROUP BY id, v) GROUP BY id), "
+        "g AS (SELECT ins.id, 100.0 * count_if(abs(v - m) <= 20) / count(*) AS share FROM ins JOIN im USING (id) GROUP BY ins.id), "
+        f"rs AS (SELECT bb.id, CASE WHEN f.share >= {threshold} THEN 'too_one_color' WHEN 100.0 * cw * ch / 64 <= 10 THEN 'empty' WHEN g.share >= {threshold} THEN 'too_one_color' ELSE 'ok' END AS reason FROM bb JOIN f USING (id) LEFT JOIN g USING (id))"
+    )
+
+
+def weights(name: str, cells: int, frequencies: int) -> str:
+    """SQL: cosine frequencies of a line of n pixels that is averaged to `cells` stretches, (n, k, z, c)."""
+    share = f"greatest(0, least((r + 1) * n / {cells}.0, z + 1) - greatest(r * n / {cells}.0, z)) * {cells}.0 / n"
+    return f"{name} AS (SELECT n, k, z, sum(cos(pi() * k * (2 * r + 1) / {2 * cells}) * {share}) AS c FROM range(1, 9) AS a(n), range({frequencies}) AS b(k), range(8) AS d(z), range({cells}) AS e(r) WHERE z < n GROUP BY n, k, z)"
+
+
+def signed(bits: str) -> str:
+    return f"CAST(CASE WHEN {bits} >= 9223372036854775808 THEN {bits} - 18446744073709551616 ELSE {bits} END AS BIGINT)"
+
+
+#: SQL: ih (id, hi, lo, mirror_hi, mirror_lo) of the accepted pictures.
+IMAGE_HASH = (
+    f"{weights('wy', 18, 9)}, {weights('wx', 32, 16)}, "
+    "px AS (SELECT id, x, y, cw, ch, v, 0 AS side FROM ins UNION ALL SELECT id, cw - 1 - x, y, cw, ch, v, 1 FROM ins), "
+    "co AS (SELECT id, side, wy.k AS ky, wx.k AS kx, round(sum(v * wy.c * wx.c), 6) AS c FROM px JOIN wy ON wy.n = ch AND wy.z = y JOIN wx ON wx.n = cw AND wx.z = x GROUP BY id, side, wy.k, wx.k), "
+    "bt AS (SELECT a.id, a.side, (a.ky - 1) * 16 + a.kx AS i, a.c > b.c AS one FROM co a JOIN co b ON b.id = a.id AND b.side = a.side AND b.kx = a.kx AND b.ky = a.ky - 1), "
+    "un AS (SELECT id, side, sum(CASE WHEN one AND i < 64 THEN 1::HUGEINT << CAST(63 - i AS INT) ELSE 0 END)::HUGEINT AS hi, sum(CASE WHEN one AND i >= 64 THEN 1::HUGEINT << CAST(127 - i AS INT) ELSE 0 END)::HUGEINT AS lo FROM bt GROUP BY id, side), "
+    f"sg AS (SELECT id, side, {signed('hi')} AS hi, {signed('lo')} AS lo FROM un), "
+    "ih AS (SELECT a.id, a.hi, a.lo, b.hi AS mirror_hi, b.lo AS mirror_lo FROM sg a JOIN sg b ON b.id = a.id AND b.side = 1 JOIN rs ON rs.id = a.id WHERE a.side = 0 AND reason = 'ok')"
+)
+NEAR = "bit_count(xor({a}.hi, {b}.hi)) + bit_count(xor({a}.lo, {b}.lo)) <= 23"
+
+
+@query(f"WITH {TILE}, {reasons(90)}, {IMAGE_HASH} SELECT * FROM ih")
 def image_hashes(spark, sf_dir):
     """Gradient hashes of the accepted pictures and of their mirror images."""
-    return quality.judge(tiles(spark, sf_dir)).where("reason = 'ok'").select("id", "hi", "lo", "mirror_hi", "mirror_lo")
+    return quality.judge(tiles(spark, sf_dir)).where(F.col("reason") == quality.OK).select("id", "hi", "lo", "mirror_hi", "mirror_lo")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {TILE}, {reasons(90)}, {IMAGE_HASH}, o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY id) AS rn FROM ih), "
+    "w AS (SELECT 0::BIGINT AS rn, []::STRUCT(id BIGINT, hi BIGINT, lo BIGINT)[] AS kept UNION ALL SELECT o.rn, CASE WHEN len(list_filter(kept, lambda x: bit_count(xor(x.hi, o.hi)) + bit_count(xor(x.lo, o.lo)) <= 23)) = 0 "
+    "THEN list_append(kept, {'id': o.id, 'hi': o.hi, 'lo': o.lo}) ELSE kept END FROM w JOIN o ON o.rn = w.rn + 1), "
+    "n AS (SELECT unnest(kept, recursive := true) FROM (SELECT kept FROM w ORDER BY rn DESC LIMIT 1)) "
+    "SELECT id, 'Normal' AS mirrored, hi, lo FROM n UNION ALL SELECT o.id, 'Mirrored', mirror_hi, mirror_lo FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.id < o.id AND bit_count(xor(n.hi, o.mirror_hi)) + bit_count(xor(n.lo, o.mirror_lo)) <= 23)"
+)
 def ignore_list(spark, sf_dir):
     return quality.ignore_list(quality.judge(tiles(spark, sf_dir)))
 
 
+@query(
+    f"WITH RECURSIVE {TILE}, {reasons(50)}, {IMAGE_HASH}, fr AS (SELECT vec_id AS id, 'user_' || label AS video, vec_id % 2 = 1 AS phantom FROM embeddings), "
+    "ig AS (SELECT hi, lo FROM ih WHERE id % 97 = 3 UNION ALL SELECT mirror_hi, mirror_lo FROM ih WHERE id % 97 = 3), "
+    "bad AS (SELECT DISTINCT ih.id FROM ih JOIN ig ON bit_count(xor(ih.hi, ig.hi)) + bit_count(xor(ih.lo, ig.lo)) <= 23), "
+    "badm AS (SELECT DISTINCT ih.id FROM ih JOIN ig ON bit_count(xor(ih.mirror_hi, ig.hi)) + bit_count(xor(ih.mirror_lo, ig.lo)) <= 23) "
+    "SELECT fr.id, video, phantom, CASE WHEN bad.id IS NOT NULL THEN 'ignored' ELSE reason END AS reason, coalesce(hi, 0) AS hi, coalesce(lo, 0) AS lo, CASE WHEN badm.id IS NULL THEN coalesce(mirror_hi, 0) ELSE 0 END AS mirror_hi, CASE WHEN badm.id IS NULL THEN coalesce(mirror_lo, 0) ELSE 0 END AS mirror_lo "
+    "FROM fr JOIN rs USING (id) LEFT JOIN ih USING (id) LEFT JOIN bad USING (id) LEFT JOIN badm USING (id)"
+)
+def flow_classify(spark, sf_dir):
+    """Quality, hashes (0 where there is none) and ignored pictures of stand-in frames, mirror images included."""
+    pictures = tiles(spark, sf_dir)
+    videos = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("user_"), "label").alias("video"), F.col("vec_id").alias("ts"), (F.col("vec_id") % 2 == 1).alias("phantom"))
+    listed = quality.judge(pictures.where("id % 97 = 3"), TILE_QUALITY).where(F.col("reason") == quality.OK)
+    ignored = listed.select("hi", "lo").union(listed.select("mirror_hi", "mirror_lo"))
+    found = flow.classify(pictures.join(videos, "id"), TILE_QUALITY, 23, ignored)
+    return found.select("id", "video", "phantom", "reason", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("hi", "lo", "mirror_hi", "mirror_lo")])
+
+
 # Time and sampling ---------------------------------------------------------------------------------------------------
 SKIP_SQL = (
     "CASE WHEN l < 30000 THEN 0 WHEN l < 60000 THEN 5000 WHEN l < 300000 THEN 5000 + (l - 60000) * 70000 // 240000 WHEN l < 1920000 THEN 75000 WHEN l < 3600000 THEN 240000 ELSE 600000 END"
@@ -386,7 +498,28 @@ def greedy_sample(spark, sf_dir):
     return sampling.greedy_sample(event_frames(spark, sf_dir), "user_id", "t", 12 * 3600 * 1_000_000, "event_id").select("user_id", "event_id")
 
 
-@query()
+def vector_words(vector: str, prefix: str) -> str:
+    """SQL: sums that make the halves of a vector's hash, from its numbers in rows (i, x, y)."""
+    return ", ".join(f"sum(CASE WHEN {vector}_{c} THEN 1::HUGEINT << CAST(i AS INT) ELSE 0 END)::HUGEINT AS {prefix}{half}" for half, c in (("hi", "s"), ("lo", "g")))
+
+
+VECTOR_HASH = (
+    "vb AS (SELECT vec_id, label, embedding[1] < embedding[2] AS phantom, i, embedding[i + 1] > 0 AS a_s, embedding[i + 1] > embedding[(i + 8) % 64 + 1] AS a_g, "
+    "embedding[64 - i] > 0 AS b_s, embedding[64 - i] > embedding[64 - (i + 8) % 64] AS b_g FROM embeddings, range(64) AS r(i)), "
+    f"vu AS (SELECT vec_id, CAST(label AS VARCHAR) AS video, phantom, {vector_words('a', '')}, {vector_words('b', 'm')} FROM vb GROUP BY vec_id, label, phantom), "
+    f"vh AS (SELECT vec_id AS id, video, phantom, {signed('hi')} AS hi, {signed('lo')} AS lo, {signed('mhi')} AS mhi, {signed('mlo')} AS mlo, row_number() OVER (PARTITION BY video ORDER BY vec_id) AS rn FROM vu)"
+)
+FAR = "bit_count(xor({0}, {2})) + bit_count(xor({1}, {3})) > 60"
+
+
+@query(
+    f"WITH RECURSIVE {VECTOR_HASH}, vm AS MATERIALIZED (SELECT *, NOT phantom AND {FAR.format('hi', 'lo', 'mhi', 'mlo')} AS pair FROM vh), "
+    "w AS (SELECT video, rn, id, true AS keep, CASE WHEN pair THEN mhi ELSE hi END AS lhi, CASE WHEN pair THEN mlo ELSE lo END AS llo FROM vm WHERE rn = 1 "
+    f"UNION ALL SELECT vm.video, vm.rn, vm.id, {FAR.format('lhi', 'llo', 'vm.hi', 'vm.lo')}, CASE WHEN NOT ({FAR.format('lhi', 'llo', 'vm.hi', 'vm.lo')}) THEN lhi WHEN pair THEN mhi ELSE hi END, "
+    f"CASE WHEN NOT ({FAR.format('lhi', 'llo', 'vm.hi', 'vm.lo')}) THEN llo WHEN pair THEN mlo ELSE lo END FROM w JOIN vm ON vm.video = w.video AND vm.rn = w.rn + 1), "
+    "k AS (SELECT vm.* FROM vm JOIN w ON w.video = vm.video AND w.rn = vm.rn WHERE keep) "
+    "SELECT video, id AS ts, id, hi, lo, 'Normal' AS mirrored, phantom FROM k UNION ALL SELECT video, id, id, mhi, mlo, 'Mirrored', phantom FROM k WHERE pair"
+)
 def pushed_hashes(spark, sf_dir):
     """The fold with mirrored hashes over the pictures of each label; the backward vector is the mirror image, and pictures
     whose first two pixels rise are phantoms."""

@@ -17,25 +17,25 @@ from nearkin.plans.index import HashIndex
 
 def search_then_store(frames: DataFrame, index_path: str, results_path: str, checkpoint: str, within: int = 23, ident: str = "video:1", available_now: bool = True) -> StreamingQuery:
     """A stream of frames (seq, hi, lo, src, store): each micro-batch is searched in the index and among the batch's own
-    earlier items, collisions are appended to `results_path`, then the frames to store join the index. A batch that is run
-    again after a failure writes its own results folder again and is not stored twice."""
+    earlier items, collisions are written to the batch's own folder below `results_path`, then the frames to store join the
+    index in one change that has the batch's number as its tag. A batch that is run again after a failure finds its tag and does
+    nothing, or none and does everything again: its results replace what it had written, and none of its frames is in the index."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        index = HashIndex.open(spark, index_path, ident)
+        index, tag = HashIndex.open(rows.sparkSession, index_path, ident), f"{checkpoint}#{number}"
+        if index.has(tag):
+            return
         rows = rows.persist()
-        old = index.search(rows.select("seq", "hi", "lo", "src"), within).select("seq", "src", F.col("other.src").alias("other"), "distance")
-        keep = rows.where("store")
-        pairs = find_within(rows, keep, within)
-        own = pairs.join(rows.select(F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo"), "seq", "src"), ["q_hi", "q_lo"]).join(keep.select(F.col("hi").alias("s_hi"), F.col("lo").alias("s_lo"), F.col("seq").alias("before"), F.col("src").alias("other")), ["s_hi", "s_lo"])
-        found = old.unionByName(own.where("before < seq").select("seq", "src", "other", "distance"))
-        found.write.mode("overwrite").parquet(f"{results_path}/batch={number}")
-        marks = spark._jvm.org.apache.hadoop.fs.Path(f"{results_path}/_stored/{number}")
-        fs = marks.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not fs.exists(marks):
-            index.add(keep)
-            fs.mkdirs(marks)
-        rows.unpersist()
+        try:
+            old = index.search(rows.select("seq", "hi", "lo", "src"), within).select("seq", "src", F.col("other.src").alias("other"), "distance")
+            keep = rows.where("store")
+            pairs = find_within(rows, keep, within)
+            own = pairs.join(rows.select(F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo"), "seq", "src"), ["q_hi", "q_lo"]).join(keep.select(F.col("hi").alias("s_hi"), F.col("lo").alias("s_lo"), F.col("seq").alias("before"), F.col("src").alias("other")), ["s_hi", "s_lo"])
+            found = old.unionByName(own.where("before < seq").select("seq", "src", "other", "distance"))
+            found.write.mode("overwrite").parquet(f"{results_path}/batch={number}")
+            index.add(keep, tag)
+        finally:
+            rows.unpersist()
 
     writer = frames.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

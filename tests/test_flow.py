@@ -64,6 +64,58 @@ def test_command_line(spark, tmp_path, capsys):
     assert sum(histogram.values()) == 1 and len(histogram) == 129  # the black picture has nothing left to hash
 
 
+def test_from_files_to_report(spark, tmp_path, capsys):
+    """Folders of videos, one of them broken, a folder of ignored pictures: sampling, quality, mirrors, search, report."""
+    from test_plans import y4m
+
+    (tmp_path / "v").mkdir()
+    (tmp_path / "pics").mkdir()
+
+    def film(name, images):  # one second for each image
+        (tmp_path / "v" / name).write_bytes(y4m([np.asarray(i).ravel().tolist() for i in images for _ in range(25)], 32, 24))
+
+    scenes = clip(1, 8)
+    film("a.y4m", scenes)
+    film("b.y4m", [*scenes[:6], np.zeros((24, 32), int), scenes[7]])
+    film("c.y4m", clip(2, 8))
+    film("d.y4m", clip(2, 8, mirror=True))
+    (tmp_path / "v" / "e.y4m").write_bytes(b"no video")
+    logo = clip(3, 1)[0]
+    film("f.y4m", [logo[:, ::-1]] * 8)
+    # the ignored picture, as grey rows of a PNG
+    import struct
+    import zlib
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = b"".join(b"\0" + bytes(int(v) for v in line) for line in logo)
+    (tmp_path / "pics" / "logo.png").write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 32, 24, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b""))
+    out = f"{tmp_path}/out"
+    command = ["videos", f"{tmp_path}/v", "--index", f"{tmp_path}/i", "--out", out, "--decoder", "y4m", "--ignore-dir", f"{tmp_path}/pics"]
+    cli.main([*command, "--create"])
+    done = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert (done["failed"], done["duplicates"]) == (1, 2)
+    assert [r["path"].rsplit("/", 1)[1] for r in spark.read.json(f"{out}/errors").collect()] == ["e.y4m"]
+    names = {(r["name"].split("_", 1)[1], r["target"] and r["target"].rsplit("/", 1)[1]) for r in spark.read.parquet(f"{out}/report").collect()}
+    assert names == {("the_new_one", "b.y4m"), ("dup", "a.y4m"), ("the_new_one", "d.y4m"), ("dup", "c.y4m"), ("debuginfo", None)}
+    grave = {(r["video"].rsplit("/", 1)[1], r["file"]) for r in spark.read.parquet(f"{out}/graveyard").collect()}
+    assert ("b.y4m", "too_one_color_00:00:06.440.jpg") in grave
+    assert all(f.startswith("ignored_00:00:0") for v, f in grave if v == "f.y4m") and any(v == "f.y4m" for v, _ in grave)
+    stored = {r["path"].rsplit("/", 1)[1] for r in HashIndex.open(spark, f"{tmp_path}/i", VIDEO).scan().select("src.path").distinct().collect()}
+    assert stored == {"a.y4m", "b.y4m", "c.y4m", "d.y4m"}
+    (tmp_path / "v" / "c.y4m").unlink()
+    cli.main(command)
+    again = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert (again["gone"], again["failed"], again["collisions"]) == (1, 1, 0)
+
+
+def test_mirror_images_near_ignored_ones_are_left_out(spark):
+    frames = table(spark, {"a": clip(5, 2)})
+    judged = quality.judge(frames).orderBy("id").collect()
+    ignored = spark.createDataFrame([(judged[0]["mirror_hi"], judged[0]["mirror_lo"])], "hi long, lo long")
+    got = flow.classify(frames, flow.Quality(), 5, ignored).orderBy("id").collect()
+    assert [(r["reason"], r["mirror_hi"] is None) for r in got] == [("ok", True), ("ok", False)]
+
+
 def test_scheduled_frames_drift(spark):
     frames = spark.createDataFrame([("a", t, 20_000) for t in range(0, 20_000, 40)] + [("b", 0, 0), ("b", 40, 0)] + [("c", t, 100_000) for t in range(0, 100_000, 1000)], "video string, ts long, length_ms long")
     got = {}

@@ -48,6 +48,27 @@ def test_tombstones_and_rebuilding(spark, tmp_path):
     assert stats(index) == (3, 0) and len(os.listdir(f"{tmp_path}/i/rows")) == 2
 
 
+def test_writers_that_meet_keep_their_own_rows(spark, tmp_path, monkeypatch):
+    """Two adds that read the same state stand beside each other; a delete or rebuild that others overtook fails."""
+    from nearkin.plans import index as module
+
+    one, two = (HashIndex.create(spark, f"{tmp_path}/i", STRING) if i == 0 else HashIndex.open(spark, f"{tmp_path}/i", STRING) for i in (0, 1))
+    rows = lambda *names: spark.createDataFrame([(0, 0, n) for n in names], "hi long, lo long, src string").coalesce(1)
+    state = one._state()
+    one.add(rows("a", "b"))
+    with monkeypatch.context() as m:
+        m.setattr(HashIndex, "_state", lambda self: state)
+        two.add(rows("c", "d"))  # as if it had read the index before the first add
+        with pytest.raises(module.Conflict):
+            two.rebuild()
+        with pytest.raises(module.Conflict):
+            two.remove(F.col("src") == "c")
+    assert one.remove(F.col("src") == "a") == 1
+    assert {r["src"] for r in two.scan().collect()} == {"b", "c", "d"}
+    one.add(rows("e"), tag="batch 7")
+    assert two.has("batch 7") and not two.has("batch 8")
+
+
 def test_payload_types_are_checked(spark, tmp_path):
     HashIndex.create(spark, f"{tmp_path}/i", STRING)
     with pytest.raises(SourceMismatch):
@@ -115,6 +136,16 @@ def test_earlier_matches_equal_pairs(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("stretch", [7, 100_000])
+def test_earlier_matches_of_hot_hashes(spark, stretch, monkeypatch):
+    """One hash in most items, over several stretches of the order."""
+    monkeypatch.setattr(collisions, "STRETCH", stretch)
+    rows = [(i * 3, str(i), 0, 0 if i % 5 else 1, 0) for i in range(60)] + [(1000, "x", 0, 255, 0)]
+    got = {r["seq"]: tuple(r)[1:] for r in collisions.earlier_matches(items(spark, rows).select("seq", "hi", "lo"), 1).collect()}
+    want = {i * 3: (i, 0, min((0 if i % 5 else 1) ^ (0 if j % 5 else 1) for j in range(i))) for i in range(1, 60)}
+    assert got == want
+
+
 def test_catalogues(spark):
     paths = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
     new, gone = collisions.catalogue_changes(paths("a", "b", "b", "c"), paths("b", "d", "d"))
@@ -181,3 +212,23 @@ def test_video_source(spark, tmp_path):
     assert read().schema("path string, ts long").load().columns == ["path", "ts"]
     with pytest.raises(Exception):  # noqa: B017
         read(decoder="none").load().collect()
+    bad = read(decoder="y4m", on_error="row").schema("path string, error string").load().collect()
+    assert len(bad) == 1 and bad[0]["path"] == path and "YUV4MPEG2" in bad[0]["error"]
+
+
+def y4m(frames, w, h, kind="mono"):
+    small = {"mono": 0, "444": w * h, "420jpeg": -(-w // 2) * -(-h // 2)}[kind]
+    return f"YUV4MPEG2 W{w} H{h} F25:1 Ip A1:1 C{kind}\n".encode() + b"".join(b"FRAME\n" + bytes(f) + bytes([128]) * small * 2 for f in frames)
+
+
+def test_y4m_files(spark, tmp_path):
+    spark.dataSource.register(video.VideoSource)
+    for kind in ("mono", "444", "420jpeg"):
+        (tmp_path / "v.y4m").write_bytes(y4m([[i] * 15 for i in range(50)], 5, 3, kind))
+        rows = spark.read.format("nearkin_video").options(path=f"file:{tmp_path}/v.y4m", decoder="y4m", from_ms=1000, step_ms=400).load().orderBy("ts").collect()
+        assert [(r["ts"], r["tb_num"], r["tb_den"], r["w"], r["h"]) for r in rows] == [(t, 1, 25, 5, 3) for t in (25, 35, 45)]
+        assert rows[0]["px"] == [25 * 0x010101] * 15
+    red = b"YUV4MPEG2 W2 H2 F25:1 C444\nFRAME\n" + bytes([76] * 4 + [85] * 4 + [255] * 4)
+    assert next(video.y4m_frames(io.BytesIO(red), 0, {"px"}))[6] == [0xFE0000] * 4
+    with pytest.raises(ValueError, match="cut short"):
+        list(video.y4m_frames(io.BytesIO(red[:-1]), 0, {"px"}))

@@ -375,7 +375,9 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, id_col: str = "doc_id", tex
     judged = (packs.select("pack", F.lit(BLOB).alias("step"), F.lit(0).alias("shard"), F.col("blob").alias("data")), bits.select("pack", F.col("line").alias("step"), "shard", F.col("bits").alias("data")))
     entries = _streamed(*judged).mapInArrow(_send_exact(k, sizes), EXACT)
     exact = entries.groupBy("shard").applyInArrow(_merge_exact, "pack int, shard int, least binary")
-    answers = exact.select("pack", F.lit(EXACT_STEP).alias("step"), "shard", F.col("least").alias("data"))
+    answers = reliable(exact.select("pack", F.lit(EXACT_STEP).alias("step"), "shard", F.col("least").alias("data")))
+    del entries, exact
+    free_finished(spark)
     found = _streamed(*judged, answers).mapInArrow(_finish(k, sizes, texts), RESULT)
     own = dealt_join(rows.select("id", *KEY), found, list(KEY), COPIES)
     copy = (F.col("id") != F.col("least")) & (F.col("n_words") >= k)

@@ -40,13 +40,20 @@ def hot_keys(rows: DataFrame, keys: list[str], share: int) -> DataFrame:
     return rows.groupBy(*keys).agg(F.ceil(F.count("*") / limit).cast("int").alias("_shares")).where("_shares > 1")
 
 
-def dealt_join(many: DataFrame, few: DataFrame, keys: list[str], share: int = 20_000, how: str = "inner", where=None) -> DataFrame:
+def dealt_join(many: DataFrame, few: DataFrame, keys: list[str], share: int = 20_000, how: str = "inner", where=None, hot: DataFrame | None = None) -> DataFrame:
     """An equi-join, with an optional further condition, in which the rows of `many` with a hot key are dealt to several tasks,
-    each with all of the key's rows in `few`. `many` is read twice, so it should be settled or cheap; rows are dealt by a hash of all
-    their columns, so a repeated task deals them alike. how: inner or left."""
-    hot = F.broadcast(hot_keys(many, keys, share))
+    each with all of the key's rows in `few`. `many` is read twice, so it should be settled or cheap, or `hot` has its
+    `hot_keys`; rows are dealt by a hash of all their columns, so a repeated task deals them alike. how: inner or left."""
+    hot = F.broadcast(hot_keys(many, keys, share) if hot is None else hot)
     shares = F.coalesce("_shares", F.lit(1))
     left = many.withColumn("_deal", F.xxhash64(*many.columns)).join(hot, keys, "left").withColumn("_share", F.pmod("_deal", shares).cast("int")).drop("_deal", "_shares")
     right = few.join(hot, keys, "left").withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("_shares")
     joined = left.join(right, [*keys, "_share"], how).drop("_share")
     return joined if where is None else joined.where(where)
+
+
+def hot_of(counted: DataFrame, keys: list[str], n: str, share: int = 20_000) -> DataFrame:
+    """`hot_keys` out of a settled table that has each key's number of rows already."""
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    limit = max(share, -(-total // HOT_KEYS))
+    return counted.select(*keys, F.ceil(F.col(n) / limit).cast("int").alias("_shares")).where("_shares > 1")

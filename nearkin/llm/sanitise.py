@@ -5,7 +5,7 @@ value found is a protected entity. All statistics have one unit, the different t
 N texts, n_e that hold entity e, n_t that hold term t anywhere, and n_et that hold t within `REACH` words of a mention of
 e. Their pointwise mutual information is ``PMI = log2(N * n_et / (n_e * n_t))``, and the share of the entity's information
 ``IC(e) = log2(N / n_e)`` that the term discloses is ``PMI / IC(e)`` (1: the term never occurs without the entity).
-n_e and n_et need `SUPPORT` texts. The window bounds the pairs by the mentions, however long a text is.
+n_e and n_et need `SUPPORT` texts, and an entity in more than half of all texts is public and has none. The window bounds the pairs by the mentions, however long a text is.
 
 A term that discloses `REMOVE` or more of an entity is removed wherever it stands, in all texts; one that discloses
 `GENERALISE` or more is generalised wherever it stands in the documents that hold the entity. It is replaced by its
@@ -34,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearkin.llm.textcore import U64, Words, bounded_batches, hash_filter, mix, passing, reliable, slices, utf8
+from nearkin.llm.textcore import U64, Words, bounded_batches, dealt_join, hash_filter, mix, passing, reliable, slices, utf8
 
 #: Kinds in the order in which spans with one start are listed; the last two are the method's.
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
 REACH, SUPPORT, GENERALISE, REMOVE = 128, 3, 0.6, 0.9
+#: Share of all texts above which an entity is public: so little information needs no protection.
+PUBLIC = 0.5
 #: Characters of the beginnings that are a word's classes, narrowest first.
 CLASSES = (6, 5, 4, 3)
 #: Counts that a task holds before it hands them on.
@@ -310,13 +312,13 @@ def disclosing_terms(docs: DataFrame, support: int = SUPPORT, generalise: float
     copied = hash_filter(found.where("entity = 0 and n > 1"), "text")
     held = reliable(found.groupBy("entity").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= support) | (F.col("entity") == 0)))
     n_texts = float((held.where("entity = 0").first() or {"n_e": 0})["n_e"])
-    entities = held.where("entity <> 0")
+    entities = held.where((F.col("entity") != 0) & (F.col("n_e") <= PUBLIC * n_texts))
     wanted = hash_filter(entities, "entity")
     if wanted is None:  # no entity has the support, so there is nothing to count
         return none
     evidence = docs.mapInArrow(_evidence(wanted), "entity long, term long, text long").distinct()
     together = evidence.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    pairs = reliable(together.join(entities, "entity"))
+    pairs = reliable(dealt_join(reliable(together), entities, ["entity"]))
     wanted = hash_filter(pairs, "term")
     if wanted is None:
         return none
@@ -396,8 +398,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scan = _scan(hash_filter(removed, "term"), hash_filter(generalised, "term"), hash_filter(generalised, "entity"))
     scanned = reliable(docs.mapInArrow(scan, f"doc_id long, base {_SPAN}, held array<bigint>, found {_FOUND}").withColumn("row", F.monotonically_increasing_id()))
     where = scanned.select("row", F.explode("found").alias("c")).select("row", "c.term", "c.start", "c.end")
-    anywhere = where.join(removed.select("term", "kind", "keep").distinct(), "term")
-    own = scanned.select("row", F.explode("held").alias("entity")).join(generalised, "entity").groupBy("row", "term").agg(F.max("kind").alias("kind"), F.min("keep").alias("keep"))
+    where = reliable(where)
+    anywhere = dealt_join(where, removed.select("term", "kind", "keep").distinct(), ["term"])
+    own = dealt_join(scanned.select("row", F.explode("held").alias("entity")), generalised, ["entity"]).groupBy("row", "term").agg(F.max("kind").alias("kind"), F.min("keep").alias("keep"))
     added = anywhere.unionByName(where.join(own, ["row", "term"])).groupBy("row", "start", "end").agg(F.max("kind").alias("kind"), F.min("keep").alias("keep"))
     added = added.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end", "keep")).alias("added"))
     both = scanned.join(added, "row", "left")

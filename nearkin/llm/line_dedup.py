@@ -20,7 +20,8 @@ Lines are the text between line feeds, compared unchanged by hash; empty lines a
 as white space makes or, where that is more, a word for every two Han or kana and every four Thai, Lao, Burmese or
 Khmer characters, which are written without spaces. Earlier means a
 smaller id. Defined cases: null texts stay null and have no lines; rows with a null id link nothing and stay; rows that
-share an id are not compared with each other, and lose lines by the first of them; tables may be empty.
+share an id are not compared with each other, and lose lines by the first of them; a text of any length is aligned whole, by one task;
+tables may be empty.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearkin.llm.textcore import U64, Words, bounded_batches, mix, reliable, runs, slices, utf8
+from nearkin.llm.textcore import U64, Words, bounded_batches, dealt_join, hot_of, mix, reliable, runs, slices, utf8
 
 MIN_LINE_WORDS, MIN_BLOCK_WORDS = 4, 20
 #: Characters to a word in scripts without spaces.
@@ -174,12 +175,9 @@ def _align(min_block_words: int):
 
 def _aligned(one: DataFrame, pairs: DataFrame, min_block_words: int) -> DataFrame:
     """(doc_id, gone) of the pairs (doc_id, first) of documents."""
-    # A first holder of very many documents is sent to several tasks, each with a share of its pairs.
-    hot = pairs.groupBy("first").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")).where("shares > 1")
-    dealt = pairs.join(hot, "first", "left").withColumn("share", F.pmod(F.xxhash64("doc_id"), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares")
-    earlier = one.select(F.col("doc_id").alias("first"), F.col("lines").alias("earlier")).join(hot, "first", "left")
-    earlier = earlier.withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
-    both = dealt.join(one, "doc_id").join(earlier, ["first", "share"])
+    # a first holder of very many documents is sent to several tasks, each with a share of its pairs
+    earlier = one.select(F.col("doc_id").alias("first"), F.col("lines").alias("earlier"))
+    both = dealt_join(pairs, earlier, ["first"], SHARE).join(one, "doc_id")
     return both.select("doc_id", "lines", "words", "earlier").mapInArrow(_align(min_block_words), "doc_id long, gone array<int>")
 
 
@@ -194,11 +192,12 @@ def repeated_lines(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS, min_bl
     lines = rows.mapInArrow(_lines, "doc_id long, lines array<long>, words array<int>")
     one = reliable(lines.groupBy("doc_id").agg(F.min(F.struct("lines", "words")).alias("x")).select("doc_id", "x.lines", "x.words"))
     long = one.select("doc_id", F.explode(F.arrays_zip("lines", "words")).alias("x")).where(F.col("x.words") >= min_line_words).select("doc_id", F.col("x.lines").alias("line")).distinct()
-    first = long.groupBy("line").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("line", "first")
+    first = reliable(long.groupBy("line").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    linked = dealt_join(long, first.select("line", "first"), ["line"], hot=hot_of(first, ["line"], "n")).where("doc_id > first").select("doc_id", "first")
     blocks = one.mapInArrow(_blocks(min_block_words), "doc_id long, key long, start int, end int")
-    holders = blocks.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first")
-    held = reliable(blocks.join(holders, "key").where("doc_id > first"))
-    pairs = reliable(long.join(first, "line").where("doc_id > first").select("doc_id", "first").union(held.select("doc_id", "first")).distinct())
+    holders = reliable(blocks.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last"))
+    held = reliable(dealt_join(blocks, holders.select("key", "first"), ["key"], hot=hot_of(holders, ["key"], "n")).where("doc_id > first"))
+    pairs = reliable(linked.union(held.select("doc_id", "first")).distinct())
     gone = _merged(_aligned(one, pairs, min_block_words))
     inside = F.array_except(F.sequence("start", F.col("end") - 1), F.coalesce("gone", F.array().cast("array<int>")))
     left = reliable(held.join(gone, "doc_id", "left").where(F.size(inside) > 0).select("doc_id", "key").distinct())

@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearkin.llm.textcore import reliable
+from nearkin.llm.textcore import dealt_join, reliable
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return dealt_join(both, least, ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    linked = down.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+    linked = dealt_join(down, least, ["a"]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
     return linked.select("e.a", "e.b").where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of each id in the edges (a, b) but the smallest of its component. Each round leaves a checkpoint;
-    the driver sees a count and a checksum, and the rounds grow with the logarithm of the longest chain."""
+    the driver sees a count and a checksum, and the rounds grow with the logarithm of the longest chain. Links of a hub are dealt
+    to several tasks. Null ids and links of an id with itself are left out; an empty table gives an empty result."""
     edges = reliable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     while True:
@@ -31,4 +32,4 @@ def components(edges: DataFrame) -> DataFrame:
         if now == mark or not now[0]:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
         mark = now
-        edges = reliable(_small_star(_large_star(edges)))
+        edges = reliable(_small_star(reliable(_large_star(edges))))

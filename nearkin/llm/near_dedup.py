@@ -9,8 +9,8 @@ the first one: 16 bits in place of 64. Documents are linked if 100 * intersectio
    5e-8, at 0.85 of 5e-11. Bands without any shingle are no keys.
 3. In each bucket of a band the registers' collision-corrected Jaccard estimate, with a margin of 5.5 standard deviations, tells
    which documents may have a partner, each pair in the first band that it shares. Buckets are dealt by hash into blocks
-   of about 256 documents and pairs of blocks are judged apart, so no task holds a large bucket, and only documents come
-   out, never pairs.
+   of about 256 documents or half a million shingles (4 MB), whichever is less, and pairs of blocks are judged apart, so no task
+   holds a large bucket, and only documents come out, never pairs.
 4. The full sets of those documents are compared exactly, block pair by block pair, with intersections counted as matrix
    products over the shingles that at least two of them share. What comes out is a spanning forest of the block pair's links, at
    most one fewer than its documents; it keeps every document's class and loses no link between classes.
@@ -18,7 +18,7 @@ the first one: 16 bits in place of 64. Documents are linked if 100 * intersectio
 
 Words are runs of characters other than ASCII white space, A-Z lower-cased. Defined cases: null texts and texts without
 words have empty sets and are linked with nothing; a text of one to k-1 words is one shingle; rows that repeat an id are one node; a
-null id is linked with nothing and kept; tables may be empty; other columns are ignored.
+null id is linked with nothing and kept; a text of any length is one set, in a block of its own or with others; tables may be empty; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearkin.llm.components import components
-from nearkin.llm.textcore import U64, Words, bounded_batches, mix, reliable, roll, slices, spread, utf8
+from nearkin.llm.textcore import U64, Words, bounded_batches, dealt_join, hot_of, mix, reliable, roll, slices, spread, utf8
 
 SHINGLE, REGISTERS, BAND = 5, 128, 4
 BANDS = REGISTERS // BAND
@@ -39,7 +39,8 @@ MANTISSA = 10
 #: Chance that different smallest hashes of a bucket share a register: equal leading zeros and mantissa bits.
 COLLISION = 1 / (3 << MANTISSA)
 MARGIN = 5.5
-BLOCK = 256
+#: Documents and shingles in a block, as expected of a deal by hash.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 19
 
 
 def shingle_sets(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -120,8 +121,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         regs = np.frombuffer(b"".join(b.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
         key, real = band_keys(regs)
         row, band = np.nonzero(real)
-        ids = b.column("rep").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(key[row, band].astype(np.int64)), pa.array(band.astype(np.int32)), pa.array(ids[row])], names=["key", "band", "rep"])
+        ids, n = b.column("rep").to_numpy(), b.column("n").to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(key[row, band].astype(np.int64)), pa.array(band.astype(np.int32)), pa.array(ids[row]), pa.array(n[row])], names=["key", "band", "rep", "n"])
 
 
 def _pair_rows(a: np.ndarray, b: np.ndarray):
@@ -271,10 +272,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, id_col
     sketched = reliable(docs.mapInArrow(_sketch(k), SKETCH))
     usable = sketched.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     equal = reliable(usable.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers")))
-    bands = equal.select("rep", "registers").mapInArrow(_bands, "key long, band int, rep long")
-    crowded = bands.groupBy("key", "band").agg(F.count("*").alias("m")).where("m > 1")
-    members = bands.join(crowded, ["key", "band"])
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    bands = equal.select("rep", "n", "registers").mapInArrow(_bands, "key long, band int, rep long, n long")
+    crowded = reliable(bands.groupBy("key", "band").agg(F.count("*").alias("m"), F.sum("n").alias("size")).where("m > 1"))
+    members = dealt_join(bands.drop("n"), crowded, ["key", "band"], hot=hot_of(crowded, ["key", "band"], "m"))
+    blocks = F.least("m", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES))).cast("int")
     members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = members.withColumn("other", other).withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))

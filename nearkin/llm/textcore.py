@@ -6,14 +6,17 @@ memory of a task depends on the slice size and the longest single text, never on
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearkin.operators.dealing import HOT_KEYS, dealt_join, hot_of, shared_folder
+from nearkin.operators.dealing import settled as reliable
+
+__all__ = ["HOT_KEYS", "dealt_join", "hot_of", "reliable", "shared_folder"]
+
 U64 = np.uint64
 #: Text bytes that a kernel works on at once; one longer text makes a larger slice of its own.
 SLICE_BYTES = 2 << 20
@@ -25,28 +28,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Only a local master, whose driver and executors are one
-    process, gets a folder of its own where none is set; elsewhere that is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="nearkin-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def reliable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the cluster's shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 #: Least and most bits of a filter (8 MB at most), its bits for each hash, and the bits that are asked for a hash.
 FILTER_LEAST, FILTER_MOST, _SPARSE, _PROBES = 1 << 20, 1 << 26, 32, 4
 
@@ -90,28 +71,6 @@ def passing(bits: bytes, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Keys at most that count as hot, so that a table of them is small whatever the input.
-HOT_KEYS = 100_000
-
-
-def hot_keys(rows: DataFrame, keys: list[str], share: int) -> DataFrame:
-    """(keys, _shares): the keys with more than `share` rows, or more than a 100,000th of all, and into how many shares their
-    rows are to be dealt. At most HOT_KEYS rows of that size, so it may be broadcast."""
-    limit = max(share, -(-rows.count() // HOT_KEYS))
-    return rows.groupBy(*keys).agg(F.ceil(F.count("*") / limit).cast("int").alias("_shares")).where("_shares > 1")
-
-
-def dealt_join(many: DataFrame, few: DataFrame, keys: list[str], share: int = 20_000, how: str = "inner") -> DataFrame:
-    """An equi-join in which the rows of `many` with a hot key are dealt to several tasks, each with all of the key's rows in
-    `few`, which should be one or a few. `many` is read twice, so it should be a checkpoint or cheap; rows are dealt by a hash
-    of all their columns, so a repeated task deals them alike. how: inner or left."""
-    hot = F.broadcast(hot_keys(many, keys, share))
-    shares = F.coalesce("_shares", F.lit(1))
-    left = many.withColumn("_deal", F.xxhash64(*many.columns)).join(hot, keys, "left").withColumn("_share", F.pmod("_deal", shares).cast("int")).drop("_deal", "_shares")
-    right = few.join(hot, keys, "left").withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("_shares")
-    return left.join(right, [*keys, "_share"], how).drop("_share")
-
-
 def free_finished(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of steps whose results are checkpointed: its cleaner acts when the JVM collects."""
     import gc

@@ -106,10 +106,11 @@ def greedy_sample(frames: DataFrame, key: str, ts: str, step_ms: int, *tie: str,
 
 def legacy_positions(length_s: Column, window_s: float = 20.0, samples: int = 17, seed: int = 0) -> Column:
     """Sampled seconds of the older pipeline: start, middle and end of a window of `window_s` on both sides of the middle, cut
-    to the video, and pseudo-random places in it, ascending."""
+    to the video, and pseudo-random places in it, ascending; these come from the MD5 of seed, number and length."""
     low = F.greatest(length_s / 2 - window_s, F.lit(0.0))
     high = F.least(length_s / 2 + window_s, length_s)
-    chance = F.transform(F.sequence(F.lit(1), F.lit(samples)), lambda i: F.pmod(F.xxhash64(i, length_s, F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0)
+    name = lambda i: F.concat_ws(":", F.lit(str(seed)), i.cast("string"), F.floor(length_s * 1000).cast("string"))
+    chance = F.transform(F.sequence(F.lit(1), F.lit(samples)), lambda i: F.conv(F.substring(F.md5(name(i).cast("binary")), 1, 8), 16, 10).cast("long") / float(1 << 32))
     return F.array_sort(F.transform(F.concat(F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0)), chance), lambda p: low + p * (high - low)))
 
 

@@ -18,7 +18,7 @@ from nearkin.conf import OneColour, Quality
 from nearkin.functions import hashing, imaging, measures, paths
 from nearkin.operators import fold, quality, rangejoin, sampling
 from nearkin.operators.dealing import settled, shared_folder
-from nearkin.plans import collisions, flow
+from nearkin.plans import collisions, edit, flow
 from nearkin.plans.flow import frame_source
 from nearkin.plans.index import HashIndex, dead_sources
 from nearkin.schemas import VIDEO
@@ -572,3 +572,153 @@ def percent_lerp(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_custkey") + F.col("o_orderkey")).alias("whole")).where("whole > 0")
     zero = F.lit(0).cast("long")
     return rows.select("o_orderkey", F.round(measures.percent_of(F.col("o_custkey"), F.col("whole")), 6).alias("share"), measures.lerp_whole(zero, F.col("whole"), F.lit(1000).cast("long"), F.lit(6000).cast("long"), F.col("o_custkey")).alias("place"))
+
+
+# Walks, searches and reports of the stand-ins ------------------------------------------------------------------------
+def lanczos(name: str, new: int, old: int) -> str:
+    """SQL: weights (j, i, c) that scale a line of `old` pixels to `new`."""
+    wide = max(1.0, old / new)
+    x = f"((i - ((j + 0.5) * {old / new} - 0.5)) / {wide})::DOUBLE"
+    kernel = "CASE WHEN x = 0 THEN 1 WHEN abs(x) < 3 THEN sin(pi() * x) / (pi() * x) * sin(pi() * x / 3) / (pi() * x / 3) ELSE 0 END"
+    return f"{name} AS (SELECT j, i, w / sum(w) OVER (PARTITION BY j) AS c FROM (SELECT j, i, {kernel} AS w FROM (SELECT j, i, {x} AS x FROM range({new}) AS a(j), range({old}) AS b(i))))"
+
+
+def scaled(name: str, source: str, weight: str) -> str:
+    return f"{name} AS (SELECT id, y.j AS y, x.j AS x, greatest(0, least(255, round(sum(v * y.c * x.c)))) AS v FROM {source} s JOIN {weight} y ON y.i = s.y JOIN {weight} x ON x.i = s.x GROUP BY id, y.j, x.j)"
+
+
+@query(f"WITH {TILE}, {lanczos('dn', 4, 8)}, {lanczos('up', 8, 4)}, s8 AS (SELECT id, p // 8 AS y, p % 8 AS x, v FROM t), {scaled('s4', 's8', 'dn')}, {scaled('sw', 's4', 'up')} SELECT id, string_agg(CAST(CAST(v AS INT) AS VARCHAR), ',' ORDER BY y, x) AS px FROM sw GROUP BY id")
+def worsened(spark, sf_dir):
+    """Pictures scaled to half their height and back."""
+    return quality.worsened(tiles(spark, sf_dir), 4).select("id", F.array_join(F.col("px").cast("array<string>"), ",").alias("px"))
+
+
+@query(
+    f"WITH {TILE}, a AS (SELECT id, p % 8 AS x, p // 8 AS y, CASE WHEN v > 160 THEN 1 ELSE 0 END AS w FROM t), cx AS (SELECT id, x FROM a GROUP BY id, x HAVING sum(w) / 8.0 > 0.13), cy AS (SELECT id, y FROM a GROUP BY id, y HAVING sum(w) / 8.0 > 0.13), "
+    "bx AS (SELECT id, min(x) AS x0, max(x) AS x1 FROM cx GROUP BY id), b_y AS (SELECT id, min(y) AS y0, max(y) AS y1 FROM cy GROUP BY id), bo AS (SELECT * FROM bx JOIN b_y USING (id)) "
+    "SELECT vec_id AS id, CAST(coalesce(x0, -1) AS INT) AS x, CAST(coalesce(y0, -1) AS INT) AS y, CAST(coalesce(x1 - x0 + 1, -1) AS INT) AS cw, CAST(coalesce(y1 - y0 + 1, -1) AS INT) AS ch FROM embeddings LEFT JOIN bo ON bo.id = vec_id"
+)
+def legacy_boxes(spark, sf_dir):
+    """Borders by the older rule, over brighter masks and with a larger limit, so that it decides on these pictures; -1 where
+    nothing is left."""
+    boxes = quality.boxes_by_length(tiles(spark, sf_dir), 160, 0.13)
+    return boxes.select("id", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("x", "y", "cw", "ch")])
+
+
+@query(
+    f"WITH {TILE}, c AS (SELECT r.id, r.p, r.v AS r, g.v AS g, b.v AS b FROM t r JOIN t g ON g.id = r.id AND g.p = (r.p + 1) % 64 JOIN t b ON b.id = r.id AND b.p = (r.p + 2) % 64) "
+    "SELECT c.id, string_agg(CAST((r * 2126 + g * 7152 + b * 722) // 10000 AS VARCHAR), ',' ORDER BY c.p) AS grey, string_agg(CAST(r AS VARCHAR), ',' ORDER BY c.p) FILTER (WHERE c.p % 8 < 5) AS unpadded, "
+    "round(max(CASE WHEN c.p = 0 THEN sqrt((r - 50) * (r - 50) + (g - 100) * (g - 100) + (b - 200) * (b - 200)) END), 6) AS distance, false AS no_pixels FROM c GROUP BY c.id"
+)
+def pixel_fns(spark, sf_dir):
+    """Brightness of packed colours, rows without their padding, the distance of a colour to a fixed one."""
+    at = lambda i: F.get("px", (i % 64).cast("int"))
+    packed = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: imaging.pack_rgb(at(i), at(i + 1), at(i + 2)))
+    text = lambda c: F.array_join(c.cast("array<string>"), ",")
+    far = imaging.rgb_distance(tuple(F.get("px", F.lit(i)) for i in range(3)), (F.lit(50), F.lit(100), F.lit(200)))
+    cut = imaging.unstride(F.col("px"), F.lit(5), F.col("h"), F.col("w"))
+    return tiles(spark, sf_dir).select("id", text(imaging.grey(packed)).alias("grey"), text(cut).alias("unpadded"), F.round(far, 6).alias("distance"), imaging.is_empty(F.col("w"), F.col("h")).alias("no_pixels"))
+
+
+def sql_clock(ms: str) -> str:
+    part = lambda by, within, n: f"lpad(CAST(abs({ms}) // {by} % {within} AS VARCHAR), {n}, '0')"
+    return f"CASE WHEN {ms} < 0 THEN '-' ELSE '' END || lpad(CAST(abs({ms}) // 3600000 AS VARCHAR), 2, '0') || ':' || {part(60000, 60, 2)} || ':' || {part(1000, 60, 2)} || '.' || {part(1, 1000, 3)}"
+
+
+@query(f"WITH {TILE}, {reasons(50)}, fr AS (SELECT vec_id AS id, embedding[1] < embedding[2] AS turned, vec_id * 7919 AS m FROM embeddings) SELECT id, reason, reason || '_' || {sql_clock('m')} || '.jpg' AS file FROM rs JOIN fr USING (id) WHERE reason <> 'ok' AND NOT turned")
+def graveyard(spark, sf_dir):
+    """Rejected pictures that are not mirrored, and the names they are kept under."""
+    turned = F.when(F.expr("embedding[0] < embedding[1]"), "Mirrored").otherwise("Normal")
+    frames = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), turned.alias("mirrored"), (F.col("vec_id") * 7919).alias("ts"))
+    return quality.rejected(quality.judge(tiles(spark, sf_dir), TILE_QUALITY), frames).select("id", "reason", "file")
+
+
+@query(
+    f"SELECT event_id, '\"user_' || user_id || '\":' || {sql_clock('m')} || CASE WHEN m % 2 = 0 THEN ':N' ELSE ':M' END AS frame, CAST(greatest(0, round(CAST(m AS DECIMAL(18,0)) * 1001 * 1000 / 30000, 0)) AS BIGINT) AS length_ms, "
+    "CAST(round(CAST(m AS DECIMAL(18,0)) * 30 / 1001, 0) AS BIGINT) AS ticks FROM (SELECT event_id, user_id, event_id * 7919 - 500000 AS m FROM events)"
+)
+def frame_texts(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("user_"), "user_id").alias("path"), (F.col("event_id") * 7919 - 500000).alias("m"))
+    mirrored, num, den = F.when(F.col("m") % 2 == 0, "Normal").otherwise("Mirrored"), F.lit(1001), F.lit(30000)
+    return rows.select("event_id", measures.frame_text(F.col("path"), F.col("m"), mirrored).alias("frame"), measures.duration_ms(F.col("m"), F.lit(0).cast("long"), num, den).alias("length_ms"), measures.ticks(F.col("m"), num, den).alias("ticks"))
+
+
+@query(f"SELECT * FROM ({ORACLE['pushed_hashes']}) WHERE mirrored = 'Normal' AND NOT phantom")
+def stored_hashes(spark, sf_dir):
+    """What of the pushed hashes goes into an index."""
+    return fold.stored(pushed_hashes(spark, sf_dir))
+
+
+@query(
+    f"WITH pu AS ({ORACLE['pushed_hashes']}) SELECT x.id, x.mirrored, y.id AS other, CAST(bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)) AS INT) AS distance FROM pu x JOIN pu y ON y.id < x.id "
+    "WHERE y.mirrored = 'Normal' AND NOT y.phantom AND bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)) <= 46"
+)
+def asymmetric_matches(spark, sf_dir):
+    """All pushed hashes, mirrored and phantom ones too, against earlier stored ones, which are neither."""
+    pushed = settled(pushed_hashes(spark, sf_dir)).withColumn("seq", F.col("id"))
+    return collisions.collisions(pushed, fold.stored(pushed), 46).select("reference.id", "reference.mirrored", F.col("other.id").alias("other"), "distance")
+
+
+DOC_B64 = "rtrim(to_base64(unhex(list_aggregate([substr({0}, 2 * i + 1, 2) FOR i IN range(15, -1, -1)], 'string_agg', ''))), '=')"
+
+
+@query(
+    f"WITH {DOC_HASH}, {CLASS}, {TILE}, x AS (SELECT rep, 'doc_' || rep AS path, rep * 1000 AS ts, q0, q1, q2, q3, format('{{:08x}}{{:08x}}{{:08x}}{{:08x}}', q0, q1, q2, q3) AS hex FROM k), "
+    "px AS (SELECT 'doc_' || id AS path, id * 1000 AS ts, string_agg(CAST(v AS VARCHAR), ',' ORDER BY p) AS px FROM t GROUP BY id), "
+    f"c AS (SELECT x.path AS reference_path, {sql_clock('x.ts')} AS reference_time, {DOC_B64.format('x.hex')} AS reference_hash, y.path AS other_path, {sql_clock('y.ts')} AS other_time, {DOC_B64.format('y.hex')} AS other_hash, {DISTANCE} AS distance, x.ts AS rt, y.ts AS ot "
+    f"FROM x JOIN x y ON y.rep < x.rep WHERE {DISTANCE} <= 23 ORDER BY distance, reference_path, other_path LIMIT 100) "
+    "SELECT c.* EXCLUDE (distance, rt, ot), distance || ' <= 23' AS verdict, a.px AS reference_px, b.px AS other_px FROM c LEFT JOIN px a ON a.path = reference_path AND a.ts = rt LEFT JOIN px b ON b.path = other_path AND b.ts = ot"
+)
+def debug_report(spark, sf_dir):
+    """The nearest hundred collisions with both frames' times, hashes and pictures."""
+    items = rangejoin.classes(doc_hashes(spark, sf_dir)).select(F.col("rep").alias("seq"), F.concat(F.lit("doc_"), "rep").alias("path"), (F.col("rep") * 1000).alias("ts"), "hi", "lo")
+    frames = tiles(spark, sf_dir).select(F.concat(F.lit("doc_"), "id").alias("path"), (F.col("id") * 1000).alias("ts"), F.array_join(F.col("px").cast("array<string>"), ",").alias("px"))
+    return collisions.debug_lines(collisions.collisions(items, items, 23), frames)
+
+
+EVENT_WORDS = ", ".join(f"('0x' || substr(md5(CAST(event_id AS VARCHAR)), {8 * i + 1}, 8))::BIGINT AS q{i}" for i in range(4))
+
+
+@query(f"WITH h AS (SELECT event_id, event_type = 'error' AS asked, {EVENT_WORDS} FROM events) SELECT x.event_id, y.event_id AS other, {DISTANCE} AS distance FROM h x JOIN h y ON x.asked AND NOT y.asked WHERE {DISTANCE} <= 40")
+def index_search(spark, sf_dir):
+    """The errors' hashes, searched among the live rows of an index, from which they were removed."""
+    with kept_index(spark, sf_dir) as index:
+        asked = event_index(spark, sf_dir).where("removed").select("event_id", "hi", "lo")
+        return settled(index.search(asked, 40).select("event_id", F.col("other.src.frame_pos.ts").alias("other"), F.col("distance").cast("int").alias("distance")))
+
+
+@query(ORACLE["random_delete"])
+def index_goals(spark, sf_dir):
+    """Live rows of an index that was given the goals to delete ten random sources and to rebuild."""
+    with kept_index(spark, sf_dir) as index:
+        edit.run(index, ["stats", "randel:10", "rebuild"], seed=7)
+        return settled(index.scan().select(F.col("src.frame_pos.ts").alias("event_id"), "src.path"))
+
+
+@query(
+    "WITH v AS (SELECT doc_id, n_chars, greatest(n_chars / 2.0::DOUBLE - 20, 0) AS low, least(n_chars / 2.0::DOUBLE + 20, n_chars) AS high FROM documents), "
+    "c AS (SELECT doc_id, low, high, unnest([0.0, 0.5, 1.0]::DOUBLE[]) AS p FROM v UNION ALL SELECT doc_id, low, high, ('0x' || substr(md5('0:' || i || ':' || n_chars * 1000), 1, 8))::BIGINT / 4294967296.0::DOUBLE FROM v, range(1, 18) AS r(i)) "
+    "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY low + p * (high - low)) - 1 AS INT) AS n, round(low + p * (high - low), 6) AS second FROM c"
+)
+def legacy_samples(spark, sf_dir):
+    """Seconds that the older sampler looks at, in videos as long as documents have characters."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("s"))
+    return docs.select("doc_id", F.posexplode(sampling.legacy_positions(F.col("s"))).alias("n", "second")).withColumn("second", F.round("second", 6))
+
+
+@query(
+    f"WITH RECURSIVE f AS (SELECT CAST(user_id AS VARCHAR) AS video, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) // 10000000 AS ts FROM events), "
+    f"l AS (SELECT video, ts, max(ts) OVER (PARTITION BY video) AS l, row_number() OVER (PARTITION BY video ORDER BY ts) AS rn FROM f), e AS MATERIALIZED (SELECT *, {SKIP_SQL} AS cut, least(l // 5, 10000) AS s FROM l), "
+    "w AS (SELECT DISTINCT video, 0::BIGINT AS rn, 0::BIGINT AS spot, 0::BIGINT AS target, false AS odd, false AS done, false AS take, false AS phantom, 0::BIGINT AS ts FROM e UNION ALL "
+    "SELECT video, rn, CASE WHEN take AND s > 0 THEN nxt ELSE spot END, CASE WHEN take AND s > 0 THEN ts + nxt - spot ELSE target END, CASE WHEN take AND s > 0 THEN nxt < key ELSE odd END, done OR (take AND s = 0), take, odd, ts FROM "
+    "(SELECT e.video, e.rn, e.ts, e.s, w.spot, w.target, w.odd, w.done, NOT w.done AND e.ts >= greatest(w.target, CASE WHEN w.spot = 0 THEN e.cut ELSE 0 END) AND NOT (e.cut > 0 AND e.cut <= e.l AND e.l < e.ts + e.cut) AS take, "
+    "CASE WHEN e.s > 0 THEN (w.spot // e.s + 1) * e.s END AS key, least(CASE WHEN e.s > 0 THEN (w.spot // e.s + 1) * e.s END, (w.spot // 4200 + 1) * 4200) AS nxt FROM w JOIN e ON e.video = w.video AND e.rn = w.rn + 1)) "
+    "SELECT video, CAST(ts AS BIGINT) AS ts, phantom FROM w WHERE take"
+)
+def scheduled_walk(spark, sf_dir):
+    """The frames looked at of videos whose frames are a user's events, ten seconds to a millisecond."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("video"), micros("ts").alias("t"))
+    first = rows.groupBy("video").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    ms = lambda c: F.floor((F.col(c) - F.col("first")) / 10_000_000).cast("long")
+    frames = rows.join(first, "video").select("video", ms("t").alias("ts"), ms("last").alias("length_ms"))
+    return sampling.scheduled_frames(frames).select("video", "ts", "phantom")

@@ -211,3 +211,13 @@ def test_time_columns_of_the_tables(spark):
 
     row = spark.createDataFrame([(datetime(1970, 1, 1, 0, 0, 1),)], "ts timestamp_ntz").select(micros("ts").alias("t")).first()
     assert row["t"] == 1_000_000
+
+
+def test_older_boxes_and_worse_pictures_of_odd_images(spark):
+    rows = [(1, 3, 2, [0, 200, 0, 0, 0, 0]), (2, 3, 2, [0] * 6), (3, 0, 0, []), (4, 0, 0, None)]
+    images = spark.createDataFrame(rows, "id long, w int, h int, px array<int>")
+    boxes = {r["id"]: tuple(r)[1:] for r in quality.boxes_by_length(images).collect()}
+    assert boxes == {1: (1, 0, 1, 1), 2: (None,) * 4, 3: (None,) * 4, 4: (None,) * 4}
+    worse = {r["id"]: (r["w"], r["h"], r["px"]) for r in quality.worsened(images, 1).collect()}
+    assert worse[2] == (2, 2, [0] * 4) and worse[3] == worse[4] == (0, 0, [])
+    assert not quality.worsened(images.limit(0), 1).collect()

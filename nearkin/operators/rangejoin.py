@@ -67,7 +67,7 @@ def nested(q: DataFrame, s: DataFrame, within: int, broadcast_query: bool = Fals
 
 
 def _bits(value: Column, shift: int, bits: int) -> Column:
-    return F.shiftrightunsigned(value, shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    return value if bits == 64 else F.shiftrightunsigned(value, shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
 
 
 def banded(q: DataFrame, s: DataFrame, within: int, plan: list[tuple[str, int, int, int]]) -> DataFrame:
@@ -75,7 +75,8 @@ def banded(q: DataFrame, s: DataFrame, within: int, plan: list[tuple[str, int, i
         values = [F.struct(F.lit(i).alias("band"), _bits(F.col(f"{p}_{half}"), shift, bits).alias("value")) for i, (half, shift, bits, _) in enumerate(plan)]
         return rows.withColumn("x", F.explode(F.array(*values))).select(f"{p}_hi", f"{p}_lo", "x.band", "x.value")
 
-    near = s.sparkSession.createDataFrame([(i, m) for i, (_, _, bits, radius) in enumerate(plan) for m in masks(bits, radius)], "band int, mask long")
+    signed = lambda m: m - (m >> 63 << 64)
+    near = s.sparkSession.createDataFrame([(i, signed(m)) for i, (_, _, bits, radius) in enumerate(plan) for m in masks(bits, radius)], "band int, mask long")
     probes = cut(q, "q").join(F.broadcast(near), "band").select("q_hi", "q_lo", "band", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
     first = F.lit(len(plan))
     for i, (half, shift, bits, radius) in reversed(list(enumerate(plan))):

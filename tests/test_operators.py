@@ -71,8 +71,8 @@ def test_ignore_list_is_folded_in_order(spark):
 
 def test_rejected_frames(spark):
     judged = spark.createDataFrame([(1, "empty"), (2, "ok"), (3, "similar_previous"), (4, "ignored")], "id long, reason string")
-    frames = spark.createDataFrame([(1, "Normal", "t1"), (2, "Normal", "t2"), (3, "Normal", "t3"), (4, "Mirrored", "t4"), (4, "Normal", "t4")], "id long, mirrored string, ts string")
-    assert sorted(r["file"] for r in quality.rejected(judged, frames).collect()) == ["empty_t1.jpg", "ignored_t4.jpg"]
+    frames = spark.createDataFrame([(1, "Normal", 1001), (2, "Normal", 2000), (3, "Normal", 3000), (4, "Mirrored", 3_723_004), (4, "Normal", 3_723_004)], "id long, mirrored string, ts long")
+    assert sorted(r["file"] for r in quality.rejected(judged, frames).collect()) == ["empty_00:00:01.001.jpg", "ignored_01:02:03.004.jpg"]
 
 
 def test_average_colours(spark):

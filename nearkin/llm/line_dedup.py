@@ -13,8 +13,9 @@
 4. Aligned lines that follow each other in both documents form a block. Blocks of `min_block_words` (20) words or more are deleted
    from the later document, over all its partners; all documents are judged on the input.
 5. A run that an earlier document holds can stay where its first holder has it in another order or among repeated lines. Its document
-   is then aligned with all other earlier holders of that run. So the result is that of aligning all pairs of documents. The
-   last step takes work with the square of a run's holders where alignment leaves the run in most of them.
+   is then aligned with all other earlier holders of that run, copies of one document counted once. So the result is that of
+   aligning all pairs of documents. The last step takes work with the square of a run's different holders where alignment
+   leaves the run in most of them.
 
 Lines are the text between line feeds, compared unchanged by hash; empty lines are not numbered and stay. A line has as many words
 as white space makes or, where that is more, a word for every two Han or kana and every four Thai, Lao, Burmese or
@@ -203,7 +204,11 @@ def repeated_lines(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS, min_bl
     left = reliable(held.join(gone, "doc_id", "left").where(F.size(inside) > 0).select("doc_id", "key").distinct())
     if left.isEmpty():
         return gone
-    others = left.join(blocks.select("key", F.col("doc_id").alias("first")), "key").where("doc_id > first").select("doc_id", "first").distinct()
+    # of earlier holders with the same lines the first one stands for all; `left` has no copies, as whole documents are keys too
+    same = [F.size("lines").alias("n"), F.xxhash64("lines").alias("f1"), F.xxhash64(F.lit(1), "lines").alias("f2")]
+    firsts = one.select("doc_id", *same).groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("first")).select("first")
+    earlier = blocks.join(left.select("key").distinct(), "key", "left_semi").select("key", F.col("doc_id").alias("first")).join(firsts, "first", "left_semi")
+    others = dealt_join(left, earlier, ["key"]).where("doc_id > first").select("doc_id", "first").distinct()
     others = reliable(others.join(pairs, ["doc_id", "first"], "left_anti"))
     return gone if others.isEmpty() else _merged(gone.union(_aligned(one, others, min_block_words)))
 

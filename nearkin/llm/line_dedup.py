@@ -21,8 +21,8 @@ Lines are the text between line feeds, compared unchanged by hash; empty lines a
 as white space makes or, where that is more, a word for every two Han or kana and every four Thai, Lao, Burmese or
 Khmer characters, which are written without spaces. Earlier means a
 smaller id. Defined cases: null texts stay null and have no lines; rows with a null id link nothing and stay; rows that
-share an id are not compared with each other, and lose lines by the first of them; a text of any length is aligned whole, by one task;
-tables may be empty.
+share an id are not compared with each other, and each loses lines by its own text (known by a 64-bit hash, the version); a
+text of any length is aligned whole, by one task; tables may be empty.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ from nearkin.llm.textcore import U64, Words, bounded_batches, dealt_join, hot_of
 MIN_LINE_WORDS, MIN_BLOCK_WORDS = 4, 20
 #: Characters to a word in scripts without spaces.
 HAN, THAI = 2, 4
+#: What tells texts apart: rows that share an id may have several.
+ROW = ["doc_id", "version"]
 #: Pairs of one earlier document that go to one task together.
 SHARE = 500
 
@@ -72,8 +74,8 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             line, size = w.hash.astype(np.int64), np.maximum(n, unspaced(part, w.start, w.end)).astype(np.int32)
             edge = pa.array(w.first.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(first, count), pa.ListArray.from_arrays(edge, pa.array(line)), pa.ListArray.from_arrays(edge, pa.array(size))],
-                names=["doc_id", "lines", "words"],
+                [b.column(0).slice(first, count), b.column(2).slice(first, count), pa.ListArray.from_arrays(edge, pa.array(line)), pa.ListArray.from_arrays(edge, pa.array(size))],
+                names=["doc_id", "version", "lines", "words"],
             )
 
 
@@ -81,7 +83,7 @@ def _blocks(min_block_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The shortest runs of enough words that begin or end at each line, and whole documents of enough words."""
         for b in batches:
-            lines, words, ids = b.column(1), b.column(2), b.column(0).to_numpy()
+            ids, versions, lines, words = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2), b.column(3)
             edge = lines.offsets.to_numpy().astype(np.int64)
             line = lines.values.to_numpy()[edge[0] : edge[-1]].view(U64)
             at = words.offsets.to_numpy()
@@ -96,8 +98,8 @@ def _blocks(min_block_words: int):
             whole = np.flatnonzero((total[edge[1:]] - total[edge[:-1]] >= min_block_words) & (np.diff(edge) > 0))
             key = np.concatenate([runs(line, some[1], some[2]), mix(~runs(line, edge[whole], edge[whole + 1]))])
             row, begin, end = np.concatenate([some, np.stack([whole, edge[whole], edge[whole + 1]])], axis=1)
-            made = [ids[row], key.view(np.int64), (begin - edge[row]).astype(np.int32), (end - edge[row]).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["doc_id", "key", "start", "end"])
+            made = [ids[row], versions[row], key.view(np.int64), (begin - edge[row]).astype(np.int32), (end - edge[row]).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["doc_id", "version", "key", "start", "end"])
 
     return run
 
@@ -163,53 +165,54 @@ def deleted(later: list[int], earlier: list[int], words: list[int], min_block_wo
 def _align(min_block_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, gone = [], []
-            for doc_id, lines, words, others in zip(*(b.column(c).to_pylist() for c in ("doc_id", "lines", "words", "earlier")), strict=True):
+            ids, versions, gone = [], [], []
+            for doc_id, version, lines, words, others in zip(*(b.column(c).to_pylist() for c in ("doc_id", "version", "lines", "words", "earlier")), strict=True):
                 found = list(range(len(lines))) if lines == others and sum(words) >= min_block_words else deleted(lines, others, words, min_block_words)
                 if found:
                     ids.append(doc_id)
+                    versions.append(version)
                     gone.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "gone"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=[*ROW, "gone"])
 
     return run
 
 
 def _aligned(one: DataFrame, pairs: DataFrame, min_block_words: int) -> DataFrame:
-    """(doc_id, gone) of the pairs (doc_id, first) of documents."""
+    """(doc_id, version, gone) of the pairs (doc_id, version, first) of documents."""
     # a first holder of very many documents is sent to several tasks, each with a share of its pairs
     earlier = one.select(F.col("doc_id").alias("first"), F.col("lines").alias("earlier"))
-    both = dealt_join(pairs, earlier, ["first"], SHARE).join(one, "doc_id")
-    return both.select("doc_id", "lines", "words", "earlier").mapInArrow(_align(min_block_words), "doc_id long, gone array<int>")
+    both = dealt_join(pairs, earlier, ["first"], SHARE).join(one, ROW)
+    return both.select(*ROW, "lines", "words", "earlier").mapInArrow(_align(min_block_words), "doc_id long, version long, gone array<int>")
 
 
 def _merged(found: DataFrame) -> DataFrame:
-    return reliable(found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")))
+    return reliable(found.groupBy(*ROW).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")))
 
 
 def repeated_lines(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
-    """(doc_id, gone): for documents that lose lines, the numbers of those among their non-empty lines. docs: doc_id, text."""
+    """(doc_id, version, gone): for texts that lose lines, the numbers of those among their non-empty lines. docs: doc_id, text."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    lines = rows.mapInArrow(_lines, "doc_id long, lines array<long>, words array<int>")
-    one = reliable(lines.groupBy("doc_id").agg(F.min(F.struct("lines", "words")).alias("x")).select("doc_id", "x.lines", "x.words"))
-    long = one.select("doc_id", F.explode(F.arrays_zip("lines", "words")).alias("x")).where(F.col("x.words") >= min_line_words).select("doc_id", F.col("x.lines").alias("line")).distinct()
-    first = reliable(long.groupBy("line").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
-    linked = dealt_join(long, first.select("line", "first"), ["line"], hot=hot_of(first, ["line"], "n")).where("doc_id > first").select("doc_id", "first")
-    blocks = one.mapInArrow(_blocks(min_block_words), "doc_id long, key long, start int, end int")
+    lines = rows.withColumn("version", F.xxhash64("text")).mapInArrow(_lines, "doc_id long, version long, lines array<long>, words array<int>")
+    one = reliable(lines.groupBy(*ROW).agg(F.min(F.struct("lines", "words")).alias("x")).select(*ROW, "x.lines", "x.words"))
+    long = one.select(*ROW, F.explode(F.arrays_zip("lines", "words")).alias("x")).where(F.col("x.words") >= min_line_words).select(*ROW, F.col("x.lines").alias("line")).distinct()
+    first = reliable(long.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last"))
+    linked = dealt_join(long, first.select("line", "first"), ["line"], hot=hot_of(first, ["line"], "n")).where("doc_id > first").select(*ROW, "first")
+    blocks = one.mapInArrow(_blocks(min_block_words), "doc_id long, version long, key long, start int, end int")
     holders = reliable(blocks.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last"))
     held = reliable(dealt_join(blocks, holders.select("key", "first"), ["key"], hot=hot_of(holders, ["key"], "n")).where("doc_id > first"))
-    pairs = reliable(linked.union(held.select("doc_id", "first")).distinct())
+    pairs = reliable(linked.union(held.select(*ROW, "first")).distinct())
     gone = _merged(_aligned(one, pairs, min_block_words))
     inside = F.array_except(F.sequence("start", F.col("end") - 1), F.coalesce("gone", F.array().cast("array<int>")))
-    left = reliable(held.join(gone, "doc_id", "left").where(F.size(inside) > 0).select("doc_id", "key").distinct())
+    left = reliable(held.join(gone, ROW, "left").where(F.size(inside) > 0).select(*ROW, "key").distinct())
     if left.isEmpty():
         return gone
     # of earlier holders with the same lines the first one stands for all; `left` has no copies, as whole documents are keys too
     same = [F.size("lines").alias("n"), F.xxhash64("lines").alias("f1"), F.xxhash64(F.lit(1), "lines").alias("f2")]
-    firsts = one.select("doc_id", *same).groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("first")).select("first")
+    firsts = one.select("doc_id", *same).groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("first")).select("first").distinct()
     earlier = blocks.join(left.select("key").distinct(), "key", "left_semi").select("key", F.col("doc_id").alias("first")).join(firsts, "first", "left_semi")
-    others = dealt_join(left, earlier, ["key"]).where("doc_id > first").select("doc_id", "first").distinct()
-    others = reliable(others.join(pairs, ["doc_id", "first"], "left_anti"))
+    others = dealt_join(left, earlier, ["key"]).where("doc_id > first").select(*ROW, "first").distinct()
+    others = reliable(others.join(pairs, [*ROW, "first"], "left_anti"))
     return gone if others.isEmpty() else _merged(gone.union(_aligned(one, others, min_block_words)))
 
 
@@ -242,11 +245,11 @@ def dedup_lines(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS, min_block
     """The documents with repeated blocks deleted from `text`, other columns unchanged, and two columns more: n_lines and
     n_removed, both of non-empty lines; columns of docs that have these names are replaced. Needs doc_id and text."""
     gone = repeated_lines(docs, min_line_words, min_block_words)
-    gone = gone.select(F.col("doc_id").alias("_gone_of"), F.col("gone").alias("_gone"))
+    gone = gone.select(F.col("doc_id").alias("_gone_of"), F.col("version").alias("_gone_version"), F.col("gone").alias("_gone"))
     # the columns travel as one struct, so none of their names can clash
     named = docs.drop("n_lines", "n_removed").withColumn("text", F.col("text").cast("string"))
-    packed = named.select(F.col("doc_id").cast("long").alias("_of"), F.struct(*named.columns).alias("_row"))
-    joined = packed.join(gone, F.col("_of") == F.col("_gone_of"), "left").select("_row.*", "_gone")
+    packed = named.select(F.col("doc_id").cast("long").alias("_of"), F.xxhash64("text").alias("_version"), F.struct(*named.columns).alias("_row"))
+    joined = packed.join(gone, (F.col("_of") == F.col("_gone_of")) & (F.col("_version") == F.col("_gone_version")), "left").select("_row.*", "_gone")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema.fields) + ", n_lines long, n_removed long"
     return joined.mapInArrow(_kept, schema)
 
@@ -254,5 +257,3 @@ def dedup_lines(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS, min_block
 def line_digest(kept: DataFrame) -> DataFrame:
     """Counts and the digest of the kept text (null: empty)."""
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
-
-

@@ -5,8 +5,7 @@ stage's docs. All but the last return the columns of documents; other columns ar
 
 Defined cases: a null text, or one without a letter, goes at the first stage; a null lang is replaced by the predicted one, and
 null source and n_chars stay; a row without doc_id is no duplicate of anything and goes only if it is contaminated itself; rows that
-repeat an id are judged each by its own text, but for line dedup, where they lose lines by the first of them; a text of any length
-is judged whole; an empty table gives an empty result.
+repeat an id are judged each by its own text; a text of any length is judged whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations

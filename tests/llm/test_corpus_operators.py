@@ -249,6 +249,22 @@ def test_line_dedup_equals_brute_force_over_all_pairs(spark):
     assert removed(spark, rows) == want and len(want) > 50
 
 
+def test_rows_that_share_an_id_lose_lines_by_their_own_text(spark):
+    rng = random.Random(9)
+    pool = [" ".join(f"l{n}x{i}" for i in range(rng.choice([2, 5, 12, 25]))) for n in range(10)]
+    rows = [(i // 2, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 8)))) for i in range(80)] * 2
+    want = []
+    for i, t in rows:
+        own = [x for x in t.split("\n") if x]
+        gone = set()
+        for p, earlier in rows:
+            if p < i:
+                gone.update(lines.deleted(own, [x for x in earlier.split("\n") if x], [len(x.split()) for x in own]))
+        want.append((i, lines.kept_text(t, gone), len(own), len(gone)))
+    got = [(r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in lines.dedup_lines(make(spark, rows)).collect()]
+    assert sorted(got) == sorted(want) and sum(w[3] > 0 for w in want) > 40
+
+
 def test_short_lines_and_lines_without_spaces_are_deduplicated(spark):
     verse = "\n".join(f"one two{i} three" for i in range(100))
     assert removed(spark, [(1, verse), (2, "mine\n" + verse), (3, "a\n" * 19 + "a"), (4, "a\n" * 19 + "a")]) == {2: set(range(1, 101)), 4: set(range(20))}

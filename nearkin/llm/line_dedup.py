@@ -189,6 +189,14 @@ def _merged(found: DataFrame) -> DataFrame:
     return reliable(found.groupBy(*ROW).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")))
 
 
+def _covered(gone: DataFrame) -> DataFrame:
+    """(doc_id, version, start, until): each deleted line, and the first line after it that stays. One row a line, so a run is
+    looked up by its own start and no row holds a document's deleted lines."""
+    line = gone.select(*ROW, F.posexplode("gone").alias("n", "line"))
+    stretch = line.groupBy(*ROW, F.expr("line - n")).agg(F.min("line").alias("begin"), (F.max("line") + 1).alias("until"))
+    return stretch.select(*ROW, F.explode(F.sequence("begin", F.col("until") - 1)).alias("start"), "until")
+
+
 def repeated_lines(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """(doc_id, version, gone): for texts that lose lines, the numbers of those among their non-empty lines. docs: doc_id, text."""
     bounded_batches(docs.sparkSession)
@@ -203,8 +211,7 @@ def repeated_lines(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS, min_bl
     held = reliable(dealt_join(blocks, holders.select("key", "first"), ["key"], hot=hot_of(holders, ["key"], "n")).where("doc_id > first"))
     pairs = reliable(linked.union(held.select(*ROW, "first")).distinct())
     gone = _merged(_aligned(one, pairs, min_block_words))
-    inside = F.array_except(F.sequence("start", F.col("end") - 1), F.coalesce("gone", F.array().cast("array<int>")))
-    left = reliable(held.join(gone, ROW, "left").where(F.size(inside) > 0).select(*ROW, "key").distinct())
+    left = reliable(held.join(_covered(gone), [*ROW, "start"], "left").where("until is null or until < end").select(*ROW, "key").distinct())
     if left.isEmpty():
         return gone
     # of earlier holders with the same lines the first one stands for all; `left` has no copies, as whole documents are keys too

@@ -265,6 +265,14 @@ def test_rows_that_share_an_id_lose_lines_by_their_own_text(spark):
     assert sorted(got) == sorted(want) and sum(w[3] > 0 for w in want) > 40
 
 
+def test_line_dedup_of_very_long_texts(spark):
+    long = "\n".join(f"line {i} of the long text" for i in range(200_000))
+    one = "word " * 500_000
+    got = {r["doc_id"]: r for r in lines.dedup_lines(make(spark, [(1, long), (2, "mine\n" + long + "\n\nown"), (3, one), (4, one), (5, "line 7 of the long text")])).collect()}
+    assert got[2]["text"] == "mine\n\nown" and got[2]["n_removed"] == 200_000
+    assert got[4]["text"] == "" and [got[i]["n_removed"] for i in (1, 3, 5)] == [0, 0, 0]
+
+
 def test_short_lines_and_lines_without_spaces_are_deduplicated(spark):
     verse = "\n".join(f"one two{i} three" for i in range(100))
     assert removed(spark, [(1, verse), (2, "mine\n" + verse), (3, "a\n" * 19 + "a"), (4, "a\n" * 19 + "a")]) == {2: set(range(1, 101)), 4: set(range(20))}

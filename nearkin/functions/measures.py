@@ -49,7 +49,7 @@ def lerp(x0: Column, x1: Column, y0: Column, y1: Column, x: Column) -> Column:
 def lerp_whole(x0: Column, x1: Column, y0: Column, y1: Column, x: Column) -> Column:
     """Interpolation of whole numbers, cut off; null outside x0..x1 or where that is empty."""
     at = lambda c: c.cast("decimal(38,0)")
-    up = F.floor(at(x - x0) * at(F.abs(y1 - y0)) / at(x1 - x0)).cast("long")
+    up = F.call_function("div", at(x - x0) * at(F.abs(y1 - y0)), at(x1 - x0))  # a decimal quotient is rounded to six digits first
     return F.when((x0 < x1) & (x >= x0) & (x <= x1), F.when(y1 >= y0, y0 + up).otherwise(y0 - up))
 
 

@@ -1,7 +1,7 @@
 """Hamming-range search: all stored hashes within a distance of each query hash, exactly.
 
 Equal hashes are merged first on both sides, so copies cost nothing; what is searched are distinct hashes, settled in the
-shared folder, so hashes that are dear to compute are computed once. There are two ways to the same result:
+shared folder, so hashes that are dear to compute are computed once. There are three ways to the same result:
 
 * `nested`: every pair is tested in a broadcast nested-loop join, where the smaller side is at most `BROADCAST_ROWS`
   distinct hashes (16 bytes each) and the pairs are at most `NESTED_PAIRS`;
@@ -10,16 +10,22 @@ shared folder, so hashes that are dear to compute are computed once. There are t
   bits and joins the other side's bands by value; the distance is tested in the join, and a pair comes only from the first band in
   which it agrees so far, so there are no repeats to drop. The number of bands is the one for which probes and
   expected candidates are fewest for the stored side's size. Band values that very many hashes have are dealt to several tasks.
-  Only the masks are broadcast, at most `MASKS` rows.
+  Only the masks are broadcast, at most `MASKS` rows;
+* `blocks`: both sides are cut into blocks by a hash, and every pair of blocks is tested in numpy by one task, for a table with
+  itself each pair once. Nothing is broadcast; what is shuffled is each hash (16 bytes) once for each block of the other
+  side, while bands shuffle it once for each probe, thousands of times where the distance is large.
 
 `find_within` counts the distinct hashes of both sides to choose.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +33,11 @@ from nearkin.functions.hashing import hamming, hamming64
 from nearkin.operators.dealing import dealt_join, settled
 
 BROADCAST_ROWS, NESTED_PAIRS, MASKS = 1_000_000, 10**10, 100_000
+#: Hashes in a block, at least and at most, blocks of a side that are enough for many tasks, and tasks at most.
+BLOCK_LEAST, BLOCK_MOST, BLOCKS, BLOCK_TASKS = 4096, 131_072, 16, 10_000
+#: Pairs tested side by side, and pairs in blocks that take the time of one probe or candidate of the bands (an estimate).
+TILE, PROBE_PAIRS = 32_768, 500
+MET = "q_hi long, q_lo long, s_hi long, s_lo long, distance int"
 
 
 def masks(bits: int, radius: int) -> list[int]:
@@ -43,14 +54,15 @@ def band_plan(bands: int, within: int) -> list[tuple[str, int, int, int]]:
     return [p for p in plan if p[3] >= 0]
 
 
-def best_plan(n: int, within: int) -> list[tuple[str, int, int, int]]:
-    """The plan with the fewest probes and expected candidates for each query hash among n stored ones."""
+def plan_cost(plan: list[tuple[str, int, int, int]], n: int) -> float:
+    """Probes and expected candidates for each query hash among n stored ones."""
+    sizes = [(sum(comb(bits, k) for k in range(min(bits, radius) + 1)), bits) for _, _, bits, radius in plan]
+    return sum(m * (1 + n / 2**bits) for m, bits in sizes) if sum(m for m, _ in sizes) <= MASKS else float("inf")
 
-    def cost(plan) -> float:
-        sizes = [(sum(comb(bits, k) for k in range(min(bits, radius) + 1)), bits) for _, _, bits, radius in plan]
-        return sum(m * (1 + n / 2**bits) for m, bits in sizes) if sum(m for m, _ in sizes) <= MASKS else float("inf")
 
-    return min((band_plan(bands, within) for bands in range(2, 65, 2)), key=cost)
+def best_plan(n: int, within: int) -> list[tuple[str, int, int, int]]:
+    """The plan with the fewest probes and expected candidates for each query hash among n stored ones."""
+    return min((band_plan(bands, within) for bands in range(2, 65, 2)), key=lambda plan: plan_cost(plan, n))
 
 
 def _distance() -> Column:
@@ -86,15 +98,103 @@ def banded(q: DataFrame, s: DataFrame, within: int, plan: list[tuple[str, int, i
     return met.select("q_hi", "q_lo", "s_hi", "s_lo", _distance().alias("distance"))
 
 
+def block_count(n: int) -> int:
+    return max(1, -(-n // BLOCK_MOST), min(BLOCKS, -(-n // BLOCK_LEAST)))
+
+
+def _met(left: np.ndarray, right: np.ndarray, within: int, both: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows (hi, lo) of two blocks within the distance; both: also the other way round."""
+    names, most = MET.replace(" long", "").replace(" int", "").split(", "), 4 * TILE
+    found, waiting = [], 0
+
+    def batch() -> pa.RecordBatch:
+        a, b, d = (np.concatenate(x) for x in zip(*found, strict=True))
+        columns = [*left[:, a], *right[:, b]]
+        if both:
+            columns = [np.concatenate([x, y]) for x, y in zip(columns, columns[2:] + columns[:2], strict=True)]
+            d = np.concatenate([d, d])
+        return pa.RecordBatch.from_arrays([*[pa.array(c.view(np.int64)) for c in columns], pa.array(d.astype(np.int32))], names=names)
+
+    for begin in range(0, right.shape[1], TILE // 2):
+        hi, lo = right[:, begin : begin + TILE // 2]
+        rows = max(2, TILE // len(hi))
+        for first in range(0, left.shape[1], rows):
+            own = left[:, first : first + rows, None]
+            d = np.bitwise_count(own[0] ^ hi)
+            d += np.bitwise_count(own[1] ^ lo)
+            if d.min() <= within:
+                a, b = np.nonzero(d <= within)
+                found.append((a + first, b + begin, d[a, b]))
+                waiting += len(a)
+                if waiting > most:
+                    yield batch()
+                    found, waiting = [], 0
+    if found:
+        yield batch()
+
+
+def _block_pairs(within: int, itself: bool):
+    """Rows (i, j, side, hi, lo), sorted by pair of blocks, to the pairs within the distance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def tested() -> Iterator[pa.RecordBatch]:
+            if now is None:
+                return
+            same = itself and now[0] == now[1]
+            left, right = (np.concatenate(h, axis=1) if h else np.zeros((2, 0), np.uint64) for h in (held[0], held[0] if same else held[1]))
+            if left.size and right.size:
+                yield from _met(left, right, within, itself and not same)
+
+        now, held = None, ([], [])
+        for b in batches:
+            i, j, side, hi, lo = (b.column(c).to_numpy() for c in ("i", "j", "side", "hi", "lo"))
+            hashes = np.stack([hi, lo]).view(np.uint64)
+            change = np.flatnonzero((np.diff(i) != 0) | (np.diff(j) != 0) | (np.diff(side) != 0)) + 1
+            for first, last in zip([0, *change], [*change, len(i)], strict=True):
+                if first == last:
+                    continue
+                pair = (int(i[first]), int(j[first]))
+                if pair != now:
+                    yield from tested()
+                    now, held = pair, ([], [])
+                held[side[first]].append(hashes[:, first:last])
+        yield from tested()
+
+    return run
+
+
+def blocked(q: DataFrame, s: DataFrame | None, n: int, m: int, within: int) -> DataFrame:
+    """Each pair of blocks of n and m hashes in one task; s None: of q with itself."""
+
+    def dealt(rows: DataFrame, p: str, own: int, others: int, side: int) -> DataFrame:
+        block, other = F.pmod(F.xxhash64(f"{p}_hi", f"{p}_lo"), F.lit(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        cut = rows.dropna().select(F.col(f"{p}_hi").alias("hi"), F.col(f"{p}_lo").alias("lo"), block.alias("b"), other.alias("o"))
+        if s is None:
+            return cut.select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).cast("int").alias("side"), "hi", "lo")
+        return cut.select(F.col("o" if side else "b").alias("i"), F.col("b" if side else "o").alias("j"), F.lit(side).alias("side"), "hi", "lo")
+
+    left, right = block_count(n), block_count(m)
+    rows = dealt(q, "q", left, right, 0)
+    if s is not None:
+        rows = rows.unionByName(dealt(s, "s", right, left, 1))
+    place = F.col("i") * right + F.col("j") if s is not None else (F.col("j") * (F.col("j") + 1) / 2).cast("int") + F.col("i")
+    tasks = left * right if s is not None else left * (left + 1) // 2
+    sorted_rows = rows.repartitionById(min(tasks, BLOCK_TASKS), place.cast("int")).sortWithinPartitions("i", "j", "side")
+    return sorted_rows.mapInArrow(_block_pairs(within, s is None), MET)
+
+
 def find_within(query: DataFrame, stored: DataFrame | None, within: int = 23, way: str | None = None) -> DataFrame:
     """(q_hi, q_lo, s_hi, s_lo, distance) for the distinct hashes of two tables with hi and lo; stored None: of one table with
-    itself. way: `nested`, `bands`, or None to choose by the sides' sizes."""
+    itself. way: `nested`, `bands`, `blocks`, or None to choose by the sides' sizes."""
     q = settled(distinct_hashes(query, "q"))
     s = settled(distinct_hashes(stored, "s")) if stored is not None else q.withColumnsRenamed({"q_hi": "s_hi", "q_lo": "s_lo"})
     n, m = q.count(), s.count()
+    plan = best_plan(m, within)
     if way is None:
-        way = "nested" if min(n, m) <= BROADCAST_ROWS and n * m <= NESTED_PAIRS else "bands"
-    return nested(q, s, within, broadcast_query=n < m) if way == "nested" else banded(q, s, within, best_plan(m, within))
+        way = "nested" if min(n, m) <= BROADCAST_ROWS and n * m <= NESTED_PAIRS else "bands" if plan_cost(plan, m) * PROBE_PAIRS < (m if stored is not None else m / 2) else "blocks"
+    if way == "blocks":
+        return blocked(q, s if stored is not None else None, n, m, within)
+    return nested(q, s, within, broadcast_query=n < m) if way == "nested" else banded(q, s, within, plan)
 
 
 def find_within64(query: DataFrame, stored: DataFrame, within: int = 3) -> DataFrame:

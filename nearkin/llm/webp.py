@@ -1,14 +1,14 @@
 """Lossless WebP (VP8L) in numpy: a reader of the whole format and a writer of grey strips.
 
 Reader: `read_many` decodes many images side by side. Headers, prefix code lengths and transform data are parsed image
-by image; the pixels of all images that have one group of prefix codes are then decoded in lockstep, one symbol of each
-image at a time, with table look-ups over arrays. Back-references and colour cache symbols, which are few, are followed
-image by image inside the same loop. Images with several groups of prefix codes, and the small images that carry transform data,
+by image; the pixels of all images that have one group of prefix codes are then decoded in lockstep, one pixel of each
+image at a time, with table look-ups over arrays: an image either reads a symbol or copies a pixel of its last back-reference.
+Colour cache symbols, and the back-references of images with a colour cache, are followed image by image inside the same loop. Images with several groups of prefix codes, and the small images that carry transform data,
 go through `_pixels`, symbol by symbol. Predictor, cross-colour, subtract-green and palette transforms are inverted on
 the arrays.
 
-Writer: `write_strips` stores rows of 8-bit samples as grey images of one prefix code group, with literals, one back-reference for
-the zeros at the end, and the subtract-green transform. `write` stores any ARGB image and takes transforms, a colour cache,
+Writer: `write_strips` stores rows of 8-bit samples as grey images of one prefix code group, with literals, back-references to
+the nearest earlier place of the same five samples, and the subtract-green transform. `write` stores any ARGB image and takes transforms, a colour cache,
 several code groups and back-references on demand; it is slower.
 """
 
@@ -33,6 +33,7 @@ NEAR = (
     (7, 3), (-7, 3), (5, 6), (-5, 6), (6, 5), (-6, 5), (8, 0), (4, 7), (-4, 7), (7, 4), (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6),
     (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
+_NEAR = np.array([(0, 0), *NEAR], np.int64)
 SIGNATURE, LENGTHS, DISTANCES, CACHE_FACTOR = 0x2F, 24, 40, 0x1E35A7BD
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 MAX_BITS = 15
@@ -387,13 +388,33 @@ def _lockstep(images: list[Image]) -> list[np.ndarray]:
     flat, row = green.ravel(), np.arange(n) << bits
     mask = (1 << bits) - 1
     last = len(window) - 1
+    widths = np.array([i.packed for i in images], np.int64)
+    left, back = np.zeros(n, np.int64), np.zeros(n, np.int64)
+
+    def ahead(k, count):
+        """The next `count` bits, 24 at most, of images k."""
+        q = position[k]
+        return (window[np.minimum(q >> 3, last)] >> (q & 7).astype(np.uint32)).astype(np.int64) & (1 << count) - 1
+
+    def prefixed(k, prefix):
+        """Length or distance values of images k."""
+        extra = np.maximum(prefix - 2 >> 1, 0)
+        value = np.where(prefix < 4, prefix, (2 + (prefix & 1) << extra) + ahead(k, extra)) + 1
+        position[k] += extra
+        return value
+
     live = n
+    copies = False
     while live:
         a, p = at[:live], position[:live]
         entry = flat[row[:live] + (window[np.minimum(p >> 3, last)] >> (p & 7).astype(np.uint32) & mask)]
-        p += entry & 15
         symbol = entry >> 4
         literal = symbol < 256
+        copying = left[:live] > 0
+        if copies:
+            entry = np.where(copying, 0, entry)
+            literal &= ~copying
+        p += entry & 15
         simple = bool(literal.all())
         if plain:
             argb = symbol.astype(np.uint32) << 8 | rest[:live]
@@ -410,9 +431,28 @@ def _lockstep(images: list[Image]) -> list[np.ndarray]:
         if held is not None:
             rows = np.flatnonzero(literal & (caches[:live] > 0))
             held[rows, ((argb[rows] * np.uint32(CACHE_FACTOR)) >> (32 - caches[rows]).astype(np.uint32)).astype(np.int64)] = argb[rows]
+        if not simple:
+            other = ~literal & ~copying & (a < end[:live])
+            new = np.flatnonzero(other & (symbol < 256 + LENGTHS) & (caches[:live] == 0))
+            if len(new):
+                left[new] = prefixed(new, symbol[new].astype(np.int64) - 256)
+                code = distance[1][new, ahead(new, distance[0])].astype(np.int64)
+                position[new] += code & 15
+                value = prefixed(new, code >> 4)
+                near = _NEAR[np.minimum(value, 120)]
+                back[new] = np.where(value > 120, value - 120, np.maximum(near[:, 0] + near[:, 1] * widths[new], 1))
+                if (back[new] > at[new] - base[new]).any() or (at[new] + left[new] > end[new]).any():
+                    raise ValueError("a back-reference leaves the image")
+                copying[new] = True
+                other[new] = False
+            k = np.flatnonzero(copying)
+            out[a[k]] = out[a[k] - back[k]]
+            left[k] -= 1
+            a[k] += 1
+            copies = len(k) > 0
         a += literal
         if not simple:
-            for k in np.flatnonzero(~literal & (a < end[:live])).tolist():
+            for k in np.flatnonzero(other).tolist():
                 _follow(images[k], k, int(symbol[k]), at, position, begin, out, base, end, distance, held)
         np.minimum(a, end[:live], out=a)
         while live and at[live - 1] >= end[live - 1]:
@@ -593,31 +633,95 @@ def _codes(lengths: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+#: Samples that are matched at once, samples that must be equal, the least and the greatest length of a back-reference.
+PIECE, EQUAL, COPY_LEAST, COPY_MOST = 1 << 20, 5, 7, 4096
+
+
+def _prefixes_of(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`_prefix_of` of many values."""
+    x = value - 1
+    high = np.frexp(np.maximum(x, 1).astype(float))[1].astype(np.int64) - 1
+    extra = np.maximum(high - 1, 0)
+    return np.where(x < 4, x, 2 * high + (x >> extra & 1)), np.where(x < 4, 0, extra), np.where(x < 4, 0, x & (1 << extra) - 1)
+
+
+def _copies(samples: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, length, distance) of the back-references, in order, that follow one another from the left in each stretch. A place may
+    be copied from the nearest earlier one with the same EQUAL samples, as far as the places behind it have the same distance."""
+    edges = np.unique(np.concatenate([begin, *[np.arange(a, b, PIECE) for a, b in zip(begin, begin[1:], strict=False) if b - a > PIECE]]))
+    found, first = [], 0
+    while first < len(edges) - 1:
+        last = max(first + 1, int(np.searchsorted(edges, edges[first] + PIECE, "right")) - 1)
+        origin, n = int(edges[first]), int(edges[last] - edges[first])
+        start, stop = edges[first:last] - origin, edges[first + 1 : last + 1] - origin
+        first = last
+        if n < EQUAL:
+            continue
+        x = samples[origin : origin + n].astype(np.uint64)
+        gram = x[: n - EQUAL + 1].copy()
+        for i in range(1, EQUAL):
+            gram |= x[i : n - EQUAL + 1 + i] << np.uint64(8 * i)
+        key = np.sort(gram << np.uint64(24) | np.arange(len(gram), dtype=np.uint64))
+        same = key[1:] >> np.uint64(24) == key[:-1] >> np.uint64(24)
+        place = (key & np.uint64(0xFFFFFF)).astype(np.int32)
+        distance = np.zeros(n + 1, np.int32)
+        distance[place[1:][same]] = np.diff(place)[same]
+        here = np.arange(n + 1, dtype=np.int32)
+        size = stop - start
+        low, high = np.append(np.repeat(start, size), n), np.append(np.repeat(stop, size), n)
+        distance[(here - distance < low) | (here + EQUAL > high)] = 0
+        ends = np.append(distance[1:] != distance[:-1], True)
+        run = np.minimum.accumulate(np.where(ends, here, n)[::-1])[::-1]
+        length = np.where(distance > 0, np.minimum(run - here + EQUAL, COPY_MOST), 0)
+        following = np.minimum.accumulate(np.where(length >= COPY_LEAST, here, n)[::-1])[::-1]
+        taken = []
+        while len(start):
+            c = following[start]
+            go = c < stop
+            c, stop = c[go], stop[go]
+            taken.append(c)
+            start = c + length[c]
+        c = np.sort(np.concatenate(taken))
+        found.append((c + origin, length[c], distance[c]))
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(f).astype(np.int64) for f in zip(*found, strict=True))
+
+
 def write_strips(samples: np.ndarray, begin: np.ndarray, width: int) -> list[bytes]:
     """A WebP file for each stretch begin[i]:begin[i+1] of 8-bit samples, a multiple of `width` long, as a grey image."""
     n = len(begin) - 1
     size = np.diff(begin)
-    # zeros at the end, beyond the first of them, become one back-reference
-    filled = np.flatnonzero(samples)
-    before = np.searchsorted(filled, begin)
-    last = np.where(before[1:] > before[:-1], filled[np.maximum(before[1:] - 1, 0)] + 1 if len(filled) else 0, begin[:-1])
-    zeros = begin[1:] - last
-    literals = np.where(zeros >= 4, size - zeros + 1, size)
-    tail = size - literals
-    lane = np.repeat(np.arange(n), literals)
-    place = np.arange(int(literals.sum())) - np.repeat(np.cumsum(literals) - literals, literals)
-    value = samples[begin[lane] + place].astype(np.int64)
+    place, length, distance = _copies(samples, begin)
+    # each symbol's place: literals have one entry, back-references one for the length and one for the distance
+    covered = np.zeros(len(samples) + 1, np.int8)
+    covered[place] += 1
+    covered[place + length] -= 1
+    single = np.flatnonzero(np.cumsum(covered[:-1], dtype=np.int8) == 0)
+    near = np.full(8 * width + 9, 0, np.int64)
+    for code, (x, y) in reversed(list(enumerate(NEAR, 1))):
+        near[max(1, x + y * width)] = code
+    short = near[np.minimum(distance, len(near) - 1)] * (distance < len(near))
+    long_symbol, long_bits, long_rest = _prefixes_of(length)
+    far_symbol, far_bits, far_rest = _prefixes_of(np.where(short > 0, short, distance + 120))
+    order = np.argsort(np.concatenate([single, place, place]), kind="stable")
+    lane = np.searchsorted(begin, np.concatenate([single, place, place])[order], "right") - 1
+    value = np.concatenate([samples[single].astype(np.int64), 256 + long_symbol, 256 + LENGTHS + far_symbol])[order]
+    bits = np.concatenate([np.zeros(len(single), np.int64), long_bits, far_bits])[order]
+    rest = np.concatenate([np.zeros(len(single), np.int64), long_rest, far_rest])[order]
     alphabet = 256 + LENGTHS
-    prefix = [_prefix_of(t) if t else (0, 0, 0) for t in tail.tolist()]
-    ending = np.flatnonzero(tail)
-    counts = np.bincount(lane * alphabet + value, minlength=n * alphabet).reshape(n, alphabet)
-    for k in ending.tolist():
-        counts[k, 256 + prefix[k][0]] += 1
-    lengths = np.zeros((n, alphabet), np.int64)
+    both = alphabet + DISTANCES
+    counts = np.bincount(lane * both + value, minlength=n * both).reshape(n, both)
+    lengths = np.zeros((n, both), np.int64)
     heads: list[BitWriter] = []
+
+    def code_of(row: list[int]) -> tuple[list[int], bool]:
+        some = sum(map(bool, row)) > 1
+        return huffman(row, STRIP_BITS) if some else [int(bool(c)) for c in row], some
+
     for k in range(n):
         row = counts[k].tolist()
-        own = huffman(row, STRIP_BITS) if sum(map(bool, row)) > 1 else [int(bool(c)) for c in row]
+        (own, some), (far, more) = code_of(row[:alphabet]), code_of(row[alphabet:])
         w = BitWriter()
         w.put(SIGNATURE, 8)
         w.put(width - 1, 14)
@@ -629,19 +733,15 @@ def write_strips(samples: np.ndarray, begin: np.ndarray, width: int) -> list[byt
         w.put(0b0001, 4)  # red: always 0
         w.put(0b0001, 4)  # blue: always 0
         w.put(255 << 3 | 0b101, 11)  # alpha: always 255
-        w.put(0b1001, 4)  # distance symbol 1: the pixel to the left
+        _put_lengths(w, far)
         heads.append(w)
-        lengths[k] = own if sum(map(bool, row)) > 1 else 0
-    codes = _codes(lengths, STRIP_BITS)
-    code, bits = codes[lane, value], lengths[lane, value]
-    if len(ending):  # the back-reference stands behind its image's literals
-        at = np.cumsum(literals)[ending]
-        symbol = np.array([256 + prefix[k][0] for k in ending.tolist()])
-        extra, rest = (np.array([prefix[k][i] for k in ending.tolist()], np.int64) for i in (1, 2))
-        own = lengths[ending, symbol]
-        lane = np.insert(lane, at, ending)
-        code = np.insert(code, at, codes[ending, symbol] | rest << own)
-        bits = np.insert(bits, at, own + extra)
+        if some:
+            lengths[k, :alphabet] = own
+        if more:
+            lengths[k, alphabet:] = far
+    codes = np.concatenate([_codes(lengths[:, :alphabet], STRIP_BITS), _codes(lengths[:, alphabet:], STRIP_BITS)], axis=1)
+    taken = lengths[lane, value]
+    code, bits = codes[lane, value] | rest << taken, taken + bits
     head = np.array([w.n for w in heads], np.int64)
     total = head + np.bincount(lane, weights=bits, minlength=n).astype(np.int64)
     byte_size = total + 7 >> 3

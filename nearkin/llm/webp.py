@@ -704,8 +704,9 @@ def write_strips(samples: np.ndarray, begin: np.ndarray, width: int) -> list[byt
     short = near[np.minimum(distance, len(near) - 1)] * (distance < len(near))
     long_symbol, long_bits, long_rest = _prefixes_of(length)
     far_symbol, far_bits, far_rest = _prefixes_of(np.where(short > 0, short, distance + 120))
-    order = np.argsort(np.concatenate([single, place, place]), kind="stable")
-    lane = np.searchsorted(begin, np.concatenate([single, place, place])[order], "right") - 1
+    places = np.concatenate([single, place, place])
+    order = np.argsort(places, kind="stable")
+    lane = np.repeat(np.arange(n), np.diff(np.searchsorted(places[order], begin)))
     value = np.concatenate([samples[single].astype(np.int64), 256 + long_symbol, 256 + LENGTHS + far_symbol])[order]
     bits = np.concatenate([np.zeros(len(single), np.int64), long_bits, far_bits])[order]
     rest = np.concatenate([np.zeros(len(single), np.int64), long_rest, far_rest])[order]

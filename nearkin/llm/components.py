@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearkin.llm.textcore import dealt_join, reliable
+from nearkin.llm.textcore import dealt_join, free_finished, reliable
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -22,12 +22,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of each id in the edges (a, b) but the smallest of its component. Each round leaves a checkpoint;
-    the driver sees a count and a checksum, and the rounds grow with the logarithm of the longest chain. Links of a hub are dealt
-    to several tasks. Null ids and links of an id with itself are left out; an empty table gives an empty result."""
+    """(id, component) of each id in the edges (a, b) but the smallest of its component. Each round leaves a checkpoint
+    and lets the files before it be deleted, so disk does not grow with the rounds; the driver sees a count and a checksum, and
+    the rounds grow with the logarithm of the longest chain. Links of a hub are dealt to several tasks. Null ids and links of an id with itself are left out; an empty table gives an empty result."""
     edges = reliable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     while True:
+        free_finished(edges.sparkSession)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
         if now == mark or not now[0]:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))

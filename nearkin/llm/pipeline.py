@@ -21,7 +21,7 @@ from nearkin.llm.language_id import identify, learned_from
 from nearkin.llm.line_dedup import dedup_lines
 from nearkin.llm.near_dedup import near_duplicates
 from nearkin.llm.sentencepiece_bpe import encode_digest
-from nearkin.llm.textcore import dealt_join, reliable, shared_folder
+from nearkin.llm.textcore import dealt_join, free_finished, reliable, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Bits per byte from which a text is no text of a learned language: no better than a uniform byte code.
@@ -51,6 +51,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = near_duplicates(named, percent=NEAR_PERCENT, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
     several = classes.where("component_id <> _row").select("component_id").distinct()
     members = reliable(classes.join(several, "component_id", "left_semi").join(rows.select("_row", "doc_id"), "_row"))
+    free_finished(spark)
     first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("_first"))
     gone = dealt_join(members, first, ["component_id"]).where("_row <> _first").select("_row")
     return rows.join(gone, "_row", "left_anti").select(*COLUMNS)

@@ -72,11 +72,21 @@ def passing(bits: bytes, hashes: np.ndarray) -> np.ndarray:
 
 
 def free_finished(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps whose results are checkpointed: its cleaner acts when the JVM collects."""
+    """Lets Spark delete the shuffle files of steps whose results are checkpointed: its cleaner acts when the JVM collects. py4j
+    tells the JVM only once a second what Python has let go of, so what waits there is told before. One collection was seen to
+    leave the last step's files, a second one none."""
     import gc
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    waiting = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", ())
+    for _ in range(2):
+        gc.collect()
+        for _ in range(len(waiting)):
+            try:
+                client, target = waiting.pop()
+            except IndexError:  # py4j's own thread was faster
+                break
+            client.garbage_collect_object(target, False)
+        spark.sparkContext._jvm.System.gc()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
